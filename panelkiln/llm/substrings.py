@@ -252,8 +252,9 @@ def second_pass(kind: Kind, n: int, most: int) -> Callable:
             distinct = np.bincount(anchor[head], minlength=anchor[-1] + 1)[anchor]
             rest = ~again
             apart = np.isin(kh, marked)
-            by_window = (flag == SPREAD_OUT) | apart | (np.bincount(anchor[rest], minlength=anchor[-1] + 1)[anchor] > most)
-            need = rest & ((distinct > 1) | by_window)
+            elsewhere = (flag == SPREAD_OUT) | apart
+            by_window = elsewhere | (np.bincount(anchor[rest], minlength=anchor[-1] + 1)[anchor] > most)
+            need = rest & ((distinct > 1) | elsewhere)
             out.append([doc[again], lo[again], (lo + size)[again], np.zeros(again.sum(), np.int64)])
             out.append([doc[need], lo[need], (lo + size)[need], np.where(by_window[need], 1, 2)])
         cols = sort_by([np.concatenate(c) for c in zip(*out, strict=True)], 0, 1)
@@ -438,9 +439,27 @@ def removal_pass(kind: Kind) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, kind: Kind, *, key: str, text: str, search: Callable | None = None, most: int = 0) -> DataFrame:
-    """doc_id, n, spans, kept for each row; see first_pass and on. search: how stretches dealt by anchor are compared, for
-    anchors of up to `most` stretches; by default all are compared by window."""
+def spans_pass(kind: Kind) -> Callable:
+    """doc_id and its removed spans, without the texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, lo, hi, state = stacked(table["blob"], 4)
+        gone = state == 0
+        doc, lo, hi = runs(*(c[gone] for c in (doc, lo, hi)))
+        # windows of neighbouring runs may overlap: spans join where they touch
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > hi[:-1] + kind.window)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(doc))[: len(first)] - 1
+        doc, lo, hi = doc[first], lo[first], hi[last] + kind.window
+        head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], ["start", "end"]))
+        return pa.table({"doc_id": pa.array([None if d == NO_ID else d for d in doc[head].tolist()], pa.int64()), "spans": lists})
+
+    return run
+
+
+def _passes(docs: DataFrame, kind: Kind, key: str, text: str, search: Callable | None, most: int):
     n = max(LEAST_BUCKETS, common.input_bytes(docs) // BUCKET_BYTES)
     rows = common.keyed_text(docs, key, text).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     name = "words" if kind.words else "bytes"
@@ -449,5 +468,17 @@ def remove_repeats(docs: DataFrame, kind: Kind, *, key: str, text: str, search:
     texts = rows.mapInArrow(text_blobs(n), SCHEMA)
     windows = texts.groupBy("bucket").cogroup(compared.groupBy("bucket")).applyInArrow(window_pass(kind, n), SCHEMA)
     found = common.settle(windows.groupBy("bucket").applyInArrow(last_pass(kind, n, search), SCHEMA), f"{name}-windows")
-    gone = compared.unionAll(found)
+    return texts, compared.unionAll(found)
+
+
+def remove_repeats(docs: DataFrame, kind: Kind, *, key: str, text: str, search: Callable | None = None, most: int = 0) -> DataFrame:
+    """doc_id, n, spans, kept for each row; see first_pass and on. search: how stretches dealt by anchor are compared, for
+    anchors of up to `most` stretches; by default all are compared by window."""
+    texts, gone = _passes(docs, kind, key, text, search, most)
     return texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(removal_pass(kind), "doc_id long, n long, spans array<struct<start: long, end: long>>, kept binary")
+
+
+def repeated_spans(docs: DataFrame, kind: Kind, *, key: str, text: str, search: Callable | None = None, most: int = 0) -> DataFrame:
+    """doc_id, spans of the documents with something to remove."""
+    _, gone = _passes(docs, kind, key, text, search, most)
+    return gone.groupBy("bucket").applyInArrow(spans_pass(kind), "doc_id long, spans array<struct<start: long, end: long>>")
