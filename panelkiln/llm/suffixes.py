@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from . import substrings
+from . import common, substrings
 
 
 def remove_repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -15,3 +18,26 @@ def remove_repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "
     text): judged as one document, each returned; if an id comes with several texts, what is found in one goes from all. Texts under
     100 bytes: kept whole. Empty table: no rows. Other columns are not read. Strings are compared by 128 hash bits."""
     return substrings.remove_repeats(docs, substrings.BYTES, key=key, text=text)
+
+
+def cut_repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the repeated bytes gone from the text, and with them what is left of a character that lost one. A null text stays
+    null; all rows and columns stay. The spans join the rows by id, so texts are moved only where Spark finds no smaller way."""
+    spans = substrings.repeated_spans(docs, substrings.BYTES, key=key, text=text)
+    spans = spans.select(F.col("doc_id").alias("_cut_doc"), F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))).alias("_cut"))
+    joined = docs.join(spans, F.col(key).cast("long").eqNullSafe(F.col("_cut_doc")), "left").select(*docs.columns, "_cut")
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            cuts = b.column(b.num_columns - 1)
+            texts = b.column(at).to_pylist()
+            for i in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                if texts[i]:
+                    raw = texts[i].encode()
+                    edges = [0, *cuts[i].as_py(), len(raw)]
+                    texts[i] = b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)).decode(errors="ignore")
+            cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)
