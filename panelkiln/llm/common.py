@@ -19,6 +19,9 @@ CHUNK_BYTES = 2_000_000
 
 _CACHE: dict = {}
 
+#: From the first code point that no table assigns.
+_PAST_LATIN = re.compile("[\u0378-\U0010ffff]")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -93,7 +96,7 @@ def _unassigned() -> re.Pattern:
 
 def newer_than_tables(text: str) -> bool:
     """Whether text has a code point that this Python's Unicode tables lack: there regex engines may disagree on letters."""
-    return once("unassigned", _unassigned).search(text) is not None
+    return _PAST_LATIN.search(text) is not None and once("unassigned", _unassigned).search(text) is not None
 
 
 # Arrow -------------------------------------------------------------------------------------------------------------

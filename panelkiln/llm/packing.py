@@ -12,13 +12,17 @@ from pyspark.sql import Window
 
 from . import common
 
+#: Rows of the table of places that is broadcast at most; beyond, the join shuffles.
+BROADCAST_ROWS = 200_000
+
 #: Sources are dealt to so many queues by hash, which bounds the table of queue totals; two sources in one queue share it.
 QUEUES = 65_536
 
 
 class Encoder:
-    """Ids as the vocabulary's own library gives them: the same merges through the rank file, which is several times faster,
-    wherever both agree; the library itself for texts with code points newer than its tables; special strings by its default."""
+    """Ids as the vocabulary's own library gives them, packed as unsigned 16-bit integers. Where both agree, the same merges run
+    through the rank file, which is several times faster; the library itself takes texts with code points newer than its tables;
+    special strings follow its default."""
 
     def __init__(self, vocabulary: bytes, ranks: bytes, pattern: str):
         import re
@@ -30,19 +34,17 @@ class Encoder:
 
         self.library = Tokenizer.from_str(vocabulary.decode())
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks), special_tokens={})
-        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.special = special
-        self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
         if not text.isascii() and common.newer_than_tables(text):
-            return self.library.encode(text, add_special_tokens=False).ids
-        if "<|" not in text or not self.split:
-            return self.fast.encode_ordinary(text)
-        out: list[int] = []
-        for part in self.split.split(text):
-            out += [self.special[part]] if part in self.special else self.fast.encode_ordinary(part)
-        return out
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        elif "<|" in text and self.split and self.split.search(text):
+            ids = [i for p in self.split.split(text) for i in ([self.special[p]] if p in self.special else self.fast.encode_ordinary(p))]
+        else:
+            ids = self.fast.encode_ordinary(text)
+        return np.array(ids, "<u2").tobytes()
 
 
 def encode_queues(docs: DataFrame, *, tokenizer_path: str, ranks_path: str, pattern: str, end_id: int, key: str, text: str, source: str) -> DataFrame:
@@ -58,18 +60,17 @@ def encode_queues(docs: DataFrame, *, tokenizer_path: str, ranks_path: str, patt
         from pyspark import TaskContext
 
         own = common.once(("packing", tokenizer_path, ranks_path), lambda: Encoder(*sent.value, pattern))
-        part, ends = TaskContext.get().partitionId(), {}
+        part, ends, end = TaskContext.get().partitionId(), {}, int(end_id).to_bytes(2, "little")
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 few = b.slice(at, 500)
                 ids, starts, sizes = [], [], []
                 for t, q in zip(few.column(1), few.column(2).to_pylist(), strict=True):
-                    x = own.encode(t.as_py())
-                    x.append(end_id)
-                    ids.append(np.array(x, "<u2").tobytes())
+                    x = own.encode(t.as_py()) + end
+                    ids.append(x)
                     starts.append(ends.get(q, 0))
-                    sizes.append(len(x))
-                    ends[q] = starts[-1] + len(x)
+                    sizes.append(len(x) // 2)
+                    ends[q] = starts[-1] + sizes[-1]
                 yield pa.RecordBatch.from_arrays([pa.array([part] * few.num_rows, pa.int32()), few.column(2), few.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], ["part", "queue", "doc_id", "start", "n", "ids"])
 
     return rows.mapInArrow(run, "part int, queue int, doc_id long, start long, n long, ids binary")
@@ -161,6 +162,8 @@ def pack(
     # a part's place in its queue: the parts before it (a row for each part and queue, not for each document)
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("part", "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
+    if totals.count() <= BROADCAST_ROWS:
+        base = F.broadcast(base)
     placed = encoded.join(base, ["part", "queue"]).select("doc_id", "queue", (F.col("base") + F.col("start")).alias("begin"), "n", "ids")
     whole = int(sums.sum())
 
