@@ -68,4 +68,5 @@ def indicator(d: str, c: str) -> str:
 def snapped(d: str, x: str, digits: int = 10) -> str:
     """x to so many decimals, so that ties don't hang on the order in which a sum was formed; no minus zero."""
     scale = f"1E{digits}"
-    return f"({'rint' if d == 'spark' else 'round'}({x} * {scale}) / {scale} + {number(0)})"
+    whole = f"rint({x} * {scale})" if d == "spark" else f"round_even({x} * {scale}, 0)"
+    return f"({whole} / {scale} + {number(0)})"
