@@ -21,8 +21,8 @@ def sdiv(d: str, a: str, b: str) -> str:
 
 
 def slog(d: str, x: str) -> str:
-    """Logarithm: of 0 minus infinity, of less missing."""
-    return f"(CASE WHEN {x} > 0 THEN ln({x}) WHEN {x} = 0 THEN {infinity(d, '-')} END)"
+    """Logarithm: of 0 minus infinity, of less missing. Snapped, as mathematics libraries differ in the last bit."""
+    return f"(CASE WHEN {x} > 0 THEN {snapped(d, f'ln({x})')} WHEN {x} = 0 THEN {infinity(d, '-')} END)"
 
 
 def spow(d: str, b: str, e: str) -> str:

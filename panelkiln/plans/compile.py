@@ -21,38 +21,45 @@ REPEATING = {"div", "pow", "log", "signedpower", "max", "min", "nn", "finite"} |
 class Plan:
     def __init__(self, outputs: dict[str, Node]):
         self.outputs = outputs
+        self.named: set[int] = set()
         self.place: dict[int, tuple[int, int]] = {}
         self.column: dict[int, str] = {}
         self.steps: dict[tuple[int, int], list[Node]] = {}
+        self._seen: set[int] = set()
+        for node in outputs.values():
+            self._need(node)
         for node in outputs.values():
             self._place(node)
 
+    def _need(self, node: Node) -> None:
+        """Which nodes become columns: operators over time or names, and operands that are named twice."""
+        if id(node) in self._seen:
+            return
+        self._seen.add(id(node))
+        if node.op in TIME | CROSS:
+            self.named.add(id(node))
+        for a in node.args:
+            if node.op in REPEATING and a.op not in ("field", "num"):
+                self.named.add(id(a))
+            self._need(a)
+
     def _place(self, node: Node) -> tuple[int, int]:
-        """(phase, step) at which the node's value can be named."""
+        """(phase, step) from which the node's value is at hand."""
         if id(node) in self.place:
             return self.place[id(node)]
         below = [self._place(a) for a in node.args]
         phase = max((p for p, _ in below), default=0)
-        if node.op in TIME | CROSS and phase % 2 != (node.op in TIME) or phase == 0 and node.op in CROSS:
-            phase += 1 if phase or node.op in TIME else 2
-        if node.op in REPEATING:
-            for a in node.args:
-                self._materialise(a)
-        step = max((s for p, s in (self.place[id(a)] for a in node.args) if p == phase), default=0)
+        if node.op in TIME and phase % 2 == 0:
+            phase += 1
+        elif node.op in CROSS and (phase % 2 or not phase):
+            phase += 1 if phase else 2
+        step = max((s for p, s in below if p == phase), default=0)
+        if id(node) in self.named:
+            step += 1
+            self.column[id(node)] = f"n{len(self.column)}"
+            self.steps.setdefault((phase, step), []).append(node)
         self.place[id(node)] = (phase, step)
-        if node.op in TIME | CROSS:
-            self.place[id(node)] = (phase, step + 1)
-            self._materialise(node, at=(phase, step + 1))
-        return self.place[id(node)]
-
-    def _materialise(self, node: Node, at: tuple[int, int] | None = None) -> None:
-        if node.op in ("field", "num") or id(node) in self.column:
-            return
-        if at is None:
-            p, s = self.place[id(node)]
-            at = self.place[id(node)] = (p, s + 1)
-        self.column[id(node)] = f"n{len(self.column)}"
-        self.steps.setdefault(at, []).append(node)
+        return phase, step
 
     def name(self, node: Node, d: str) -> str:
         if id(node) in self.column:
@@ -133,7 +140,7 @@ def over_time(d: str, op: str, a: list[str], n: int) -> str:
         else:
             sx, sy = f"stddev_samp({x}) {w}", f"stddev_samp({y}) {w}"
             full += f" AND {sx} > 1E-12 AND {sy} > 1E-12"
-            value = S.snapped(d, f"({cov} / ({sx} * {sy}))")
+            value = S.snapped(d, f"({cov} / ({sx} * {sy}))", 8)
     return f"(CASE WHEN {full} THEN {value} END)"
 
 
