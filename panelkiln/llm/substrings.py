@@ -460,7 +460,7 @@ def spans_pass(kind: Kind) -> Callable:
 
 
 def _passes(docs: DataFrame, kind: Kind, key: str, text: str, search: Callable | None, most: int):
-    n = max(LEAST_BUCKETS, common.input_bytes(docs) // BUCKET_BYTES)
+    n = max(LEAST_BUCKETS, common.input_bytes(docs, text) // BUCKET_BYTES)
     rows = common.keyed_text(docs, key, text).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     name = "words" if kind.words else "bytes"
     sent = rows.mapInArrow(first_pass(kind, n), SCHEMA)
