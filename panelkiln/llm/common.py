@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch are gathered into chunks of about so many bytes of text; only a longer single text makes a larger one.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _CACHE: dict = {}
 
@@ -141,7 +141,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** (0 .. n) modulo 2 ** 64, kept for the worker's life."""
     have = _CACHE.get(("powers", base))
     if have is None or len(have) <= n:
-        p = np.full(max(n + 1, 4_000_000), base % _M, np.uint64)
+        p = np.full(max(n + 1, 1 << 20), base % _M, np.uint64)
         p[0] = 1
         have = _CACHE[("powers", base)] = np.cumprod(p)
     return have[: n + 1]

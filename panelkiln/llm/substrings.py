@@ -28,7 +28,7 @@ from . import common
 
 #: Stretches that a task gathers before it sends; stretches of one anchor in these from which the anchor is spread; input bytes
 #: for each bucket and the least number of buckets; place bits in an anchor's sort key (symbols of the longest text).
-GATHER, SPREAD, BUCKET_BYTES, LEAST_BUCKETS, PLACE_BITS = 600_000, 32, 2 << 20, 160, 30
+GATHER, SPREAD, BUCKET_BYTES, LEAST_BUCKETS, PLACE_BITS = 300_000, 32, 2 << 20, 160, 30
 NO_ID = -(1 << 63)
 PLAIN, SPREAD_OUT, MARKER, KNOWN = 0, 1, 2, 3
 SCHEMA = "bucket int, blob binary"
@@ -97,6 +97,11 @@ def spread(h: np.ndarray, n: int) -> np.ndarray:
     return (((h.view(np.uint64) >> np.uint64(33)) * np.uint64(n)) >> np.uint64(31)).astype(np.int64)
 
 
+def anchor_bucket(kh: np.ndarray, n: int) -> np.ndarray:
+    """Anchors are hashes that are least among many, so their own upper bits are mostly 0: hashed again."""
+    return spread(common.mix(kh.view(np.uint64) ^ common.C2), n)
+
+
 def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
     return spread(common.mix(doc.astype(np.int64).view(np.uint64) * common.C1), n)
 
@@ -205,11 +210,11 @@ def first_pass(kind: Kind, n: int) -> Callable:
         anchor = grouped(kh)
         many = np.bincount(anchor[open_], minlength=anchor[-1] + 1)[anchor] >= SPREAD
         flag[open_ & many] = SPREAD_OUT
-        bucket = np.where(flag == KNOWN, doc_bucket(doc, n), np.where(flag == SPREAD_OUT, spread(common.mix(ctx.view(np.uint64) ^ common.mix(kh.view(np.uint64))), n), spread(kh, n)))
+        bucket = np.where(flag == KNOWN, doc_bucket(doc, n), np.where(flag == SPREAD_OUT, spread(common.mix(ctx.view(np.uint64) ^ common.mix(kh.view(np.uint64))), n), anchor_bucket(kh, n)))
         kh, ctx = np.where(known, 0, kh), np.where(known, 0, ctx)
         marks = np.unique(kh[flag == SPREAD_OUT])
         none = np.zeros(len(marks), np.int64)
-        cols = [np.concatenate([a, b]) for a, b in ((kh, marks), (ctx, none), (doc, none), (lo, none), (size | flag << 32, none | MARKER << 32), (bucket, spread(marks, n)))]
+        cols = [np.concatenate([a, b]) for a, b in ((kh, marks), (ctx, none), (doc, none), (lo, none), (size | flag << 32, none | MARKER << 32), (bucket, anchor_bucket(marks, n)))]
         cols = sort_by(cols, 2, 3)
         yield from dealt(cols[5], cols[:5])
 
@@ -351,7 +356,7 @@ def anchored(x, at, ids, t, lo, hi, kind: Kind, n: int):
     low = np.uint64((1 << PLACE_BITS) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
     kh = h[(least(key, kind.window - kind.anchor + 1)[a] & low).astype(np.int64)].view(np.int64)
-    bucket = spread(kh, n)
+    bucket = anchor_bucket(kh, n)
     end = np.cumsum(size)
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
