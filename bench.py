@@ -18,12 +18,13 @@ def main() -> None:
     conf = {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.codegen.maxFields": "400"}
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    groups = {f"alphas_{i + 1:02d}_{i + 15:02d}": list(library.ALPHAS)[i : i + 15] for i in range(0, 90, 15)}
     runs = {
         "flagship_alpha_003": Q.flagship,
         "classic_features": lambda s, d: evaluate(bars_from_lines(s, d), library.classic_features()),
         "baseline_features": lambda s, d: evaluate(bars_from_lines(s, d), library.baseline_features()),
-        **{k: (lambda s, d, n=n: evaluate(bars_from_lines(s, d), library.alpha_features(n))) for k, n in groups.items()},
+        "alphas_first_15_by_windows": lambda s, d: evaluate(bars_from_lines(s, d), library.alpha_features(list(library.ALPHAS)[:15])),
+        "alphas_all_90_by_kernels": lambda s, d: evaluate(bars_from_lines(s, d), library.alpha_features(), kernels=True),
+        "pool_105_by_kernels": lambda s, d: evaluate(bars_from_lines(s, d), library.pool(), kernels=True),
         **{k: O.QUERIES[k][0] for k in ("daily_ic", "decile_portfolio", "mean_daily_spearman", "walk_forward_elastic_net", "return_identity")},
     }
     seconds = {}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import semantics as S
-from .expr import CROSS, TIME, Node
+from .expr import BOOLEAN, CROSS, TIME, Node
 
 TIME_KEYS = "PARTITION BY permno, segment_id ORDER BY date"
 #: Operators that name an operand more than once; their operands become columns first.
@@ -133,7 +133,7 @@ def over_time(d: str, op: str, a: list[str], n: int) -> str:
         value = f"CAST({n} - {place} AS DOUBLE)"
     else:
         y = a[1]
-        full += f" AND count({y}) {w} = {n}"
+        full = f"count(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END) {w} = {n}"
         cov = f"covar_samp({x}, {y}) {w}"
         if op == "ts_cov":
             value = S.snapped(d, cov)
@@ -161,11 +161,14 @@ def over_names(d: str, op: str, a: list[str], p) -> str:
     return S.snapped(d, f"(CASE WHEN {p} IS NOT NULL THEN {x} - avg({x}) OVER (PARTITION BY date, {p}) END)")
 
 
-def evaluate(panel: DataFrame, signals: dict[str, Node], *, keep: tuple[str, ...] = ("permno", "segment_id", "date"), digits: int | None = None, settle=None) -> DataFrame:
-    """keep and one double column for each signal. settle: what to do with the frame between phases (say, write and reread)."""
+def evaluate(panel: DataFrame, signals: dict[str, Node], *, keep: tuple[str, ...] = ("permno", "segment_id", "date"), digits: int | None = None, settle=None, kernels: bool = False) -> DataFrame:
+    """keep and one double column for each signal. settle: what to do with the frame between phases (say, write and reread).
+    kernels: the phases as array kernels on Arrow batches, which pays for wide batches of signals; by default window functions."""
     plan = Plan(signals)
     phase = None
     frame = panel
+    if kernels:
+        return _by_kernels(panel, plan, signals, keep, digits, settle)
     for key in sorted(plan.steps):
         if settle and phase is not None and key[0] != phase:
             frame = settle(frame)
@@ -174,6 +177,83 @@ def evaluate(panel: DataFrame, signals: dict[str, Node], *, keep: tuple[str, ...
     return frame.selectExpr(*keep, *(plan.result(name, node, "spark", digits) for name, node in signals.items()))
 
 
+def _by_kernels(panel: DataFrame, plan: Plan, signals: dict[str, Node], keep, digits, settle) -> DataFrame:
+    from .kernels import Phase
+
+    phases = sorted({p for p, _ in plan.steps})
+    last_use: dict[str, int] = {}
+
+    def uses(node: Node, phase: int) -> None:
+        """Columns and fields that a node of this phase reads."""
+        for x in node.args:
+            name = plan.column.get(id(x), x.param if x.op == "field" else None)
+            if name is not None:
+                last_use[name] = max(last_use.get(name, 0), phase)
+            if id(x) not in plan.column:
+                uses(x, phase)
+        if node.op == "indneutralize":
+            last_use[node.param] = max(last_use.get(node.param, 0), phase)
+
+    for (p, _), nodes in plan.steps.items():
+        for n in nodes:
+            uses(n, p)
+    end = 99
+    for n in signals.values():
+        name = plan.column.get(id(n), n.param if n.op == "field" else None)
+        if name is not None:
+            last_use[name] = end
+        if id(n) not in plan.column:
+            uses(n, end)
+    for k in ("permno", "segment_id", "date", *keep):
+        last_use[k] = end
+    flags = {plan.column[id(n)] for nodes in plan.steps.values() for n in nodes if n.op in BOOLEAN}
+    names = dict(plan.column)
+    frame = panel.select(*(c for c in panel.columns if c in last_use))
+    for i, p in enumerate(phases):
+        steps = [plan.steps[k] for k in sorted(plan.steps) if k[0] == p]
+        if p == 0:  # scalars alone need no order
+            for step in steps:
+                frame = frame.selectExpr("*", *(f"{plan.text(n, 'spark')} AS {plan.column[id(n)]}" for n in step))
+            continue
+        if settle and i:
+            frame = settle(frame)
+        made = [plan.column[id(n)] for step in steps for n in step]
+        carried = [c for c in [*frame.columns, *made] if last_use.get(c, 0) > p]
+        key = "permno" if p % 2 else "date"
+        types = dict(frame.dtypes)
+        schema = ", ".join(f"{c} {types.get(c) or ('boolean' if c in flags else 'double')}" for c in carried)
+        work = Phase(steps, names, p % 2 == 1, carried, flags)
+        ordered = frame.repartition(key).sortWithinPartitions(key, "date")
+        frame = ordered.mapInArrow(_Run(work, key), schema)
+    return frame.selectExpr(*keep, *(plan.result(name, node, "spark", digits) for name, node in signals.items()))
+
+
+class _Run:
+    """A phase for mapInArrow. Nodes travel with the phase, so their names are kept by their place in it."""
+
+    def __init__(self, work, key: str):
+        self.work, self.key = work, key
+        self.nodes = []
+        seen = set()
+
+        def walk(n: Node) -> None:
+            if id(n) not in seen:
+                seen.add(id(n))
+                self.nodes.append(n)
+                for x in n.args:
+                    walk(x)
+
+        for step in work.steps:
+            for n in step:
+                walk(n)
+        self.labels = [work.names.get(id(n)) for n in self.nodes]
+
+    def __call__(self, batches):
+        # after the trip to a worker the nodes are other objects with the same structure
+        self.work.names = {id(n): label for n, label in zip(self.nodes, self.labels, strict=True) if label}
+        yield from self.work.batches(batches, self.key)
+
+
 def to_sql(panel_sql: str, signals: dict[str, Node], *, keep: tuple[str, ...] = ("permno", "segment_id", "date"), digits: int | None = None) -> str:
     """The same for DuckDB: panel_sql is a WITH clause that defines `panel`."""
     plan = Plan(signals)

@@ -68,6 +68,15 @@ def _signal(columns: dict[str, Node], digits: int = 8) -> Query:
     return lambda spark, sf_dir: evaluate(bars_from_lines(spark, sf_dir), columns, digits=digits)
 
 
+def alpha_library() -> dict[str, Node]:
+    return {c: n for name, columns in signals().items() if name.startswith("alpha_") for c, n in columns.items()}
+
+
+def all_alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 90 signals at once, by array kernels."""
+    return evaluate(bars_from_lines(spark, sf_dir), alpha_library(), digits=7, kernels=True)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """alpha_003: both partitionings, ranks within trailing correlations."""
     return _signal({"alpha_003": parse(library.ALPHAS[3])})(spark, sf_dir)
@@ -116,12 +125,13 @@ PANEL = {
 def queries() -> dict[str, Query]:
     from .operators.queries import QUERIES
 
-    return {k: f for k, (f, _) in PANEL.items()} | {k: _signal(v, COARSE.get(k, 8)) for k, v in signals().items()} | {k: f for k, (f, _) in QUERIES.items()}
+    return {k: f for k, (f, _) in PANEL.items()} | {"alpha_library": all_alphas} | {k: _signal(v, COARSE.get(k, 8)) for k, v in signals().items()} | {k: f for k, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     from .operators.queries import QUERIES
 
     out = {k: s for k, (_, s) in PANEL.items()}
+    out["alpha_library"] = to_sql(BARS_SQL, alpha_library(), digits=7)
     out |= {k: to_sql(BARS_SQL, v, digits=COARSE.get(k, 8)) for k, v in signals().items()}
     return out | {k: s for k, (_, s) in QUERIES.items() if s}
