@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled rows that the classifier is fitted on at most (those of least hash of the id), and the part of them held out for
-#: calibration; slots of each feature family (words, word pairs, 4-byte runs); rounds and rate of the fit; least probability.
-MAX_LABELLED, HELD, SLOTS, ROUNDS, RATE, KEEP_FROM = 3_000, 4, 1 << 16, 80, 0.5, 0.5
+#: calibration; slots of each feature family (words, word pairs, 4-byte runs); rounds and rate of the fit; least probability (junk lies
+#: far below it, and short clean texts, with little evidence, above).
+MAX_LABELLED, HELD, SLOTS, ROUNDS, RATE, KEEP_FROM = 3_000, 4, 1 << 16, 80, 0.5, 0.25
 FAMILIES, SCALE, FIXED = 3, 30.0, 1 << 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True

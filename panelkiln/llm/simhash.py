@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = BITS, key:
 
 #: Bands of minima and minima in a band (two texts of similarity 0.8 share no band once in 5,000 times); smallest shingle hashes
 #: kept of a text, its whole set where it has fewer; bits in which texts of that similarity may differ.
-BANDS, MINIMA, SKETCH, FAR_BITS = 16, 4, 128, 24
+BANDS, MINIMA, SKETCH, FAR_BITS = 16, 4, 512, 24
 
 
 def outlines(data: np.ndarray, off: np.ndarray, shingle: int):
@@ -233,7 +233,8 @@ def outlines(data: np.ndarray, off: np.ndarray, shingle: int):
         bands[has, band] = key | np.uint64(1)
     short = (h >> np.uint64(32)).astype("<u4")
     for k, s, z in zip(has.tolist(), heads.tolist(), np.append(heads[1:], len(h)).tolist(), strict=True):
-        sketch[k] = np.unique(short[s:z])[:SKETCH].tobytes()
+        own = np.unique(short[s:z])[:SKETCH]
+        sketch[k] = own[own < 0xFFFFFFFF].tobytes()
     return *whole, fp, bands, sketch
 
 
@@ -241,14 +242,14 @@ def alike(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, si
     """Whether the texts' shingle sets have that Jaccard similarity: exact where both sketches hold whole sets, else the
     estimate from the part of hash space that both cover."""
     out = np.zeros(len(i), bool)
-    none = np.uint64(1 << 40)
-    for at in range(0, len(i), 2000):
-        a, b = i[at : at + 2000], j[at : at + 2000]
+    none = np.uint32(0xFFFFFFFF)
+    for at in range(0, len(i), 1000):
+        a, b = i[at : at + 1000], j[at : at + 1000]
         ends = [np.where(size[x] == SKETCH, sketch[x, SKETCH - 1], none) for x in (a, b)]
         both = np.sort(np.concatenate([sketch[a], sketch[b]], axis=1), axis=1)
         seen = (both <= np.minimum(*ends)[:, None]) & (both < none)
         twice = ((both[:, 1:] == both[:, :-1]) & seen[:, 1:]).sum(1)
-        out[at : at + 2000] = twice >= similarity * np.maximum(1, seen.sum(1) - twice)
+        out[at : at + 1000] = twice >= similarity * np.maximum(1, seen.sum(1) - twice)
     return out
 
 
@@ -304,7 +305,7 @@ def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits:
         def solve(parts):
             t = pa.concat_tables([pa.Table.from_batches([r]) for r in parts])
             node, fp, bucket = (np.array(t.column(c)) for c in ("node", "fp", "bucket"))
-            sketch, size = np.full((len(node), SKETCH), 1 << 40, np.uint64), np.zeros(len(node), np.int64)
+            sketch, size = np.full((len(node), SKETCH), 0xFFFFFFFF, np.uint32), np.zeros(len(node), np.int64)
             for k, s in enumerate(t.column("sketch")):
                 own = np.frombuffer(s.as_buffer(), "<u4")
                 sketch[k, : len(own)], size[k] = own, len(own)
