@@ -280,7 +280,7 @@ QUERIES = {
     "offset_sensitivity": (_scored(scorecard.offset_sensitivity), _offsets_sql()),
     "decile_profile": (lambda s, d: snap(scorecard.decile_profile(deciles(s, d))), f"{DEC}, yr AS (SELECT test_year, {', '.join(f'avg({c}) AS {c}' for c in DECILES)} FROM dp0 GROUP BY test_year), lg AS ({' UNION ALL '.join(f'SELECT {k} AS decile, decile_{k} AS r FROM yr' for k in range(1, 11))}), t AS (SELECT decile, avg(r) AS mean_return, stddev_samp(r) / sqrt(count(r)) AS se_across_years, count(r) AS n_years FROM lg GROUP BY decile) SELECT decile, {sql_snap('mean_return', 'se_across_years')}, n_years FROM t"),
     "scorecard_table": (lambda s, d: snap(scorecard.scorecard({"reversal": (predictions(s, d), 1)})), f"{IC}, {dec_sql()}, a AS (SELECT avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, count(ic) AS n_active_years FROM icy), b AS (SELECT avg(sharpe) AS mean_gross_sharpe FROM (SELECT {SHARPE.format(r='long_short', h=1)} AS sharpe FROM dp0 GROUP BY test_year)), m AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in DECILES)} FROM dp0), u AS (SELECT *, mean_ic / ic_std AS ir, mean_ic / ic_std * sqrt(n_active_years) AS t_stat, coalesce({' AND '.join(f'{y} >= {x}' for x, y in zip(DECILES[:-1], DECILES[1:], strict=True))}, false) AS decile_monotonic FROM a, b, m) SELECT 'reversal' AS run, {sql_snap('mean_ic', 'ic_std', 'ir', 't_stat')}, n_active_years, {sql_snap('mean_gross_sharpe')}, decile_monotonic FROM u"),
-    "run_summary": (_scored(lambda p: scorecard.run_summary(p)), None),
+    "run_summary": (_scored(lambda p: scorecard.run_summary(p)), f"{IC}, {dec_sql()}, iy AS (SELECT test_year, avg(ic) AS ic FROM (SELECT test_year, date, {sql_corr('ry', 'rh')} AS ic FROM rk GROUP BY ALL) GROUP BY test_year), a AS (SELECT avg(ic) AS mean_ic_active, stddev_samp(ic) AS ic_std_active, count(ic) AS n_active_years, avg(coalesce(ic, 0E0)) AS mean_ic_all_years, CAST(sum(CASE WHEN ic > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_ic_years FROM iy), b AS (SELECT {SHARPE.format(r='(0.5 * long_short)', h=1)} AS gross_sharpe, avg(0.5 * long_short) * 10000 AS long_short_bps, count(*) AS n_formations FROM dp0), m AS (SELECT avg(y) AS mean_test_return FROM pred) SELECT {sql_snap('mean_ic_active', 'ic_std_active')}, n_active_years, {sql_snap('mean_ic_all_years')}, positive_ic_years, {sql_snap('gross_sharpe', 'long_short_bps')}, n_formations, {sql_snap('mean_test_return')} FROM a, b, m"),
     "nonzero_by_year": (lambda s, d: scorecard.nonzero_by_year(coefs(s, d)), f"{COEFS} SELECT test_year, CAST(sum(CASE WHEN abs(coef) > 1E-8 THEN 1 ELSE 0 END) AS BIGINT) AS n_nonzero FROM cy GROUP BY test_year"),
     "coefficient_comparison": (lambda s, d: snap(scorecard.coefficient_comparison(coefs(s, d), ["f_rev", "f_loc"])), f"{COEFS}, t AS (SELECT feature, feature IN ('f_rev', 'f_loc') AS kept_by_correlation_filter, max(abs(coef)) > 1E-8 AS kept_by_elastic_net_any_fold, avg(abs(coef)) AS mean_abs_coef FROM cy GROUP BY feature) SELECT feature, kept_by_correlation_filter, kept_by_elastic_net_any_fold, {sql_snap('mean_abs_coef')} FROM t"),
     "agreement_rate": (lambda s, d: scorecard.agreement_rate(scorecard.coefficient_comparison(coefs(s, d), ["f_rev", "f_loc"])), f"{COEFS}, t AS (SELECT feature IN ('f_rev', 'f_loc') AS a, max(abs(coef)) > 1E-8 AS b FROM cy GROUP BY feature) SELECT avg(CASE WHEN a = b THEN 1E0 ELSE 0E0 END) AS agreement FROM t"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -42,7 +43,13 @@ def top_per_date(df: DataFrame, n: int, by: str = "mcap") -> DataFrame:
 def load_panel(spark: SparkSession, path: str, *, top_n: int | None = None, start_year: int | None = None, end_year: int | None = None, lookback_years: int | None = None, require_price_data: bool = True) -> DataFrame:
     """A panel from parquet: validated, dates as dates, NaN as NULL, without rows that lack mcap or close, of the years asked for.
     lookback_years counts back from the last year of the data; an explicit start_year wins."""
-    df = no_nan(validate(spark.read.parquet(path)))
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise FileNotFoundError(path) from e
+        raise
+    df = no_nan(validate(df))
     if dict(df.dtypes)["date"] != "date":
         df = df.withColumn("date", F.to_date("date"))
     if require_price_data:
@@ -126,6 +133,25 @@ def read_runs(spark: SparkSession, pattern: str) -> DataFrame:
     return df.select("*", part(1).alias("config"), part(2).cast("int").alias("horizon"))
 
 
+def saved_runs(df: DataFrame, configs: list[str], schemes: list[str]) -> DataFrame:
+    """Persisted predictions or coefficients (config, scheme, test_year, ...) of exactly these runs: every one must be there, and all must
+    hold the same test years. Further runs are left out."""
+    years = df.groupBy("config", "scheme").agg(F.sort_array(F.collect_set("test_year")).alias("years")).collect()  # a row for each run
+    have = {(r["config"], r["scheme"]): tuple(r["years"]) for r in years}
+    wanted = [(c, s) for c in configs for s in schemes]
+    missing = [w for w in wanted if w not in have]
+    if missing:
+        raise FileNotFoundError(f"no saved runs {missing}")
+    if len({have[w] for w in wanted}) > 1:
+        raise ValueError(f"saved runs disagree on their test years: { {w: have[w] for w in wanted} }")
+    return df.where(F.col("config").isin(configs) & F.col("scheme").isin(schemes))
+
+
+def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
+    """Some columns of a report table."""
+    return spark.read.csv(path, header=True, schema=schema).select(*columns)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small report table as one CSV file."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)

@@ -203,6 +203,19 @@ def test_sinks(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "c"), header=True).count() == 2
 
 
+def test_saved_runs(spark, tmp_path):
+    df = frame(spark, [("a", "rank", 2020), ("a", "standardize", 2020), ("b", "rank", 2021), ("b", "standardize", 2020)], "config string, scheme string, test_year int")
+    assert P.saved_runs(df, ["a"], ["rank", "standardize"]).count() == 2
+    with pytest.raises(ValueError, match="disagree"):
+        P.saved_runs(df, ["b"], ["rank", "standardize"])
+    with pytest.raises(FileNotFoundError):
+        P.saved_runs(df, ["c"], ["rank"])
+    with pytest.raises(FileNotFoundError):
+        P.load_panel(spark, str(tmp_path / "none"))
+    P.write_csv(df, str(tmp_path / "r"))
+    assert P.read_csv(spark, str(tmp_path / "r"), "config string, scheme string, test_year int", ["scheme", "test_year"]).columns == ["scheme", "test_year"]
+
+
 def preds_frame(spark, seed=1, names=23, days=12):
     rng = np.random.default_rng(seed)
     rows = [(2020 + d // 6, dt.date(2020 + d // 6, 1, 1 + d % 6), p, float(rng.normal()), float(rng.integers(0, 9)) if d != 3 else 1.0) for d in range(days) for p in range(names)]
