@@ -22,9 +22,11 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     now = common.settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name)
     seen = summary(now)
     while seen[0]:
-        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # links are kept as (greater, lesser): a node's least neighbour is its least b, or itself where it has none
+        least = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        # large star: every greater neighbour a of b goes to b's least neighbour. A hub's links are the left side of a left join,
+        # which adaptive execution can split
+        large = now.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         # small star: a's lesser neighbours, and a itself, to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
