@@ -202,6 +202,33 @@ def test_url_ratio_by_hand():
     assert urls.Model(sums).ratios(np.frombuffer(b"a", np.uint8), np.array([0, 1]))[0] == pytest.approx(np.log(p[0] * 256), abs=1e-6)
 
 
+def test_url_counts_are_exact(spark):
+    """Far more contexts than any fixed table of slots would hold: ratios as from dictionaries of all of them."""
+    rng = random.Random(12)
+    name = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-") for _ in range(60))
+    data = [(i, f"{name()}.com", f"/{'fr' if i % 2 else 'de'}/{i}" if i < 3600 else f"/{i}") for i in range(4000)]
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, h, p in data], "page_id long, url string")
+    got = by_id(urls.filter_urls(df.select(urls.F.col("page_id"), "url")).withColumnRenamed("page_id", "doc_id"))
+    held = {r.page_id for r in df.where(urls.F.expr("pmod(xxhash64(page_id), 5) = 0")).collect()}
+    counts = [Counter(), Counter()]
+    for i, h, p in data[:3600]:
+        site = h + p
+        if i not in held:
+            for j in range(len(site)):
+                for k in range(min(j, urls.ORDER) + 1):
+                    counts[1 - i % 2].update([site[j - k : j], (site[j - k : j], site[j])])
+    assert sum(isinstance(k, str) for k in counts[0]) > urls.SLOTS // 2
+    for i, h, p in data[::40] + data[3600::9]:
+        site, total = h + p, 0.0
+        for j in range(len(site)):
+            est = [1 / 256, 1 / 256]
+            for k in range(min(j, urls.ORDER) + 1):
+                c = site[j - k : j]
+                est = [(n[c, site[j]] + urls.STRENGTH * e) / (n[c] + urls.STRENGTH) for n, e in zip(counts, est, strict=True)]
+            total += np.log(est[0] / est[1])
+        assert got[i].ratio == pytest.approx(total / len(site), abs=1e-6)
+
+
 # 5 and 8
 
 
