@@ -21,9 +21,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
-#: Words on each side of an entity that count as its context; documents that must hold both; part of the entity's information
-#: that a term may disclose at most; bits of the filter that spares counting terms that stand near no entity.
-NEAR, SUPPORT, DISCLOSED, FILTER_BITS = 8, 3, 0.9, 1 << 24
+#: Documents that must hold both an entity and a term; part of the entity's information that a term may disclose at most; bits of the
+#: filters that spare work on entities, terms and pairs that can't matter; counts a task holds before it hands them on.
+SUPPORT, DISCLOSED, FILTER_BITS, HOLD = 3, 0.9, 1 << 24, 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _EMAIL, _IP, _CARD, _PHONE = (re.compile(p) for p in (EMAIL, IP, CARD, PHONE))
@@ -89,34 +89,29 @@ def hashed(s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def contexts(text: str, spans) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the terms up to NEAR words from each entity that no entity overlaps."""
-    out = []
-    for a, kind, b, value in spans:
-        entity = hashed(f"{kind}:{value}")
-        after = []
-        for m in _WORD.finditer(text, b):
-            after.append((m.start(), m.end()))
-            if len(after) > NEAR:
-                break
-        back, end = [], a
-        while end > 0 and len(back) <= NEAR:  # words before, from the nearest
-            while end > 0 and text[end - 1] in " \t\n\v\f\r":
-                end -= 1
-            start = end
-            while start > 0 and text[start - 1] not in " \t\n\v\f\r":
-                start -= 1
-            if start < end:
-                back.append((start, end))
-            end = start
-        for s, e in back[:NEAR] + after[:NEAR]:
-            if any(s < y and x < e for x, _, y, _ in spans):
-                continue
-            if t := term_of(text[s:e]):
-                lead = len(text[s:e]) - len(text[s:e].lstrip(_EDGE))
-                core = text[s:e].strip(_EDGE)
-                out.append((entity, hashed(t), s + lead, s + lead + len(core)))
-    return sorted(set(out))
+def entity_of(kind: int, value: str) -> int:
+    return hashed(f"{kind}:{value}")
+
+
+def words_of(text: str, spans):
+    """(start, end) of the words that no entity overlaps."""
+    i, reach = 0, 0
+    for m in _WORD.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            reach = max(reach, spans[i][2])
+            i += 1
+        if reach <= m.start():
+            yield m.start(), m.end()
+
+
+def occurrences(text: str, spans, wanted) -> list[tuple[int, int, int, int]]:
+    """(entity, term, start, end) for every entity of the text and every place of every term with wanted(entity, term)."""
+    entities, places = {entity_of(k, v) for _, k, _, v in spans}, {}
+    for s, e in words_of(text, spans):
+        if t := term_of(text[s:e]):
+            lead = e - s - len(text[s:e].lstrip(_EDGE))
+            places.setdefault(hashed(t), []).append((s + lead, s + lead + len(text[s:e].strip(_EDGE))))
+    return sorted((x, t, s, e) for x in entities for t, own in places.items() if wanted(x, t) for s, e in own)
 
 
 def _scan(batches):
@@ -124,7 +119,7 @@ def _scan(batches):
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             few = b.slice(at, 1000)
-            counts, shas, base, near = [[] for _ in kinds], [], [], []
+            counts, shas, base, entities = [[] for _ in kinds], [], [], []
             for t in few.column(1).to_pylist():
                 spans = base_spans(t)
                 said = [f"{KINDS[k]}:{a}:{e}" for a, k, e, _ in spans]
@@ -132,35 +127,25 @@ def _scan(batches):
                     counts[k].append(sum(s[1] == k for s in spans))
                 shas.append(hashlib.sha256(",".join(said).encode()).hexdigest())
                 base.append([{"start": a, "kind": k, "end": e} for a, k, e, _ in spans])
-                near.append([{"entity": x, "term": y, "start": s, "end": e} for x, y, s, e in contexts(t, spans)])
+                entities.append(sorted({entity_of(k, v) for _, k, _, v in spans}))
             yield pa.RecordBatch.from_arrays(
-                [few.column(0), few.column(2), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(base, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))), pa.array(near, pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])))],
-                ["doc_id", "rk", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "near"],
+                [few.column(0), few.column(2), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(base, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))), pa.array(entities, pa.list_(pa.int64()))],
+                ["doc_id", "rk", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "entities"],
             )
 
 
-SCAN = "doc_id long, rk long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, near array<struct<entity: long, term: long, start: long, end: long>>"
+SCAN = "doc_id long, rk long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, entities array<long>"
 
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Base spans and the terms near them, a row for each row; rk tells rows of one id apart by their text."""
+    """Base spans and the entities in them, a row for each row; rk tells rows of one id apart by their text."""
     rows = common.keyed_text(docs, key, text)
     return common.settle(rows.select("doc_id", "text", F.xxhash64("text").alias("rk")).mapInArrow(_scan, SCAN), "pii")
 
 
-def revealing(rows: DataFrame, found: DataFrame, *, support: int, disclosed: float) -> DataFrame:
-    """entity, term: the pairs where the term discloses the entity.
-
-    With p(e) the part of documents that hold an entity and p(e|t) its part among those that hold the term, the term discloses
-    PMI(e, t) / -log p(e) = 1 - log p(e|t) / log p(e) of the entity's information. Counts are of documents, over all of them."""
-    spark = rows.sparkSession
-    n = max(2, rows.count())
-    pairs = found.select("doc_id", "rk", F.explode("near").alias("x")).select("doc_id", "rk", "x.entity", "x.term").distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    holding = found.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("holding"))
-    both = common.settle(both.join(holding, "entity"), "pairs")
-    # a bit for each candidate term, of a fixed number: counting skips what can't matter, a join afterwards is exact
-    bits = both.select(F.pmod("term", F.lit(FILTER_BITS)).alias("bit")).distinct()
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """A bit for each key (its one column, long), of a fixed number: it skips what can't matter, a join afterwards is exact."""
+    bits = keys.select(F.pmod(keys.columns[0], F.lit(FILTER_BITS)).alias("bit")).distinct()
 
     def words(batches):
         out = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -173,17 +158,70 @@ def revealing(rows: DataFrame, found: DataFrame, *, support: int, disclosed: flo
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     got = bits.mapInArrow(words, "byte long, value int").groupBy("byte").agg(F.bit_or("value").alias("value")).toArrow()  # FILTER_BITS / 8 rows at most
     table[got["byte"].to_numpy()] = got["value"].to_numpy()
+    return table
+
+
+def has_bit(table: np.ndarray, key: int) -> bool:
+    key %= FILTER_BITS
+    return bool(table[key >> 3] >> (key & 7) & 1)
+
+
+def pair_key(entity: int, term: int) -> int:
+    return entity ^ (term >> 1)
+
+
+def handed_on(sums: dict, names: list[str]):
+    keys = zip(*sums, strict=True) if sums else [()] * (len(names) - 1)
+    return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(sums.values(), pa.int64())], names)
+
+
+def revealing(rows: DataFrame, found: DataFrame, *, support: int, disclosed: float) -> DataFrame:
+    """entity, term: the pairs where the term discloses the entity.
+
+    With p(e) the part of documents that hold an entity and p(e|t) its part among those that hold the term, the term discloses
+    PMI(e, t) / -log p(e) = 1 - log p(e|t) / log p(e) of the entity's information. Counts are of documents, over all of them, wherever
+    in the document the term stands."""
+    spark = rows.sparkSession
+    n = max(2, rows.count())
+    none = spark.createDataFrame([], "entity long, term long")
+    holding = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("holding"))
+    holding = common.settle(holding.where((F.col("holding") >= support) & (F.col("holding") * 2 <= n)), "holding")
+    table = bit_table(holding.select("entity"))
     if not table.any():
-        return both.select("entity", "term")
-    sent = common.shared(spark, table)
+        return none
+    sent_entities = common.shared(spark, table)
+
+    def pairs(batches):
+        bit, sums = sent_entities.value, {}
+        for b in batches:
+            for t in b.column(0):
+                t = t.as_py()
+                spans = base_spans(t)
+                own = {e for e in {entity_of(k, v) for _, k, _, v in spans} if has_bit(bit, e)}
+                if own:
+                    terms = {hashed(w) for w in {term_of(t[s:e]) for s, e in words_of(t, spans)} if w}
+                    for e in own:
+                        for w in terms:
+                            sums[e, w] = sums.get((e, w), 0) + 1
+                        if len(sums) > HOLD:
+                            yield handed_on(sums, ["entity", "term", "both"])
+                            sums = {}
+        yield handed_on(sums, ["entity", "term", "both"])
+
+    both = rows.select("text").mapInArrow(pairs, "entity long, term long, both long").groupBy("entity", "term").agg(F.sum("both").alias("both")).where(F.col("both") >= support)
+    both = common.settle(both.join(holding, "entity"), "pairs")
+    table = bit_table(both.select("term"))
+    if not table.any():
+        return none
+    sent_terms = common.shared(spark, table)
 
     def count(batches):
-        bit, memo, sums = sent.value, {}, {}
+        bit, memo, sums = sent_terms.value, {}, {}
 
         def key_of(word: str) -> int:
             t = term_of(word)
             h = hashed(t) if t else None
-            return h if h is not None and bit[(h % FILTER_BITS) >> 3] >> ((h % FILTER_BITS) & 7) & 1 else 0
+            return h if h is not None and has_bit(bit, h) else 0
 
         for b in batches:
             for t in b.column(0):
@@ -197,32 +235,50 @@ def revealing(rows: DataFrame, found: DataFrame, *, support: int, disclosed: flo
                     if h:
                         own.add(h)
                 for h in own:
-                    sums[h] = sums.get(h, 0) + 1
-            if len(sums) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], ["term", "n"])
+                    sums[h,] = sums.get((h,), 0) + 1
+            if len(sums) > HOLD:
+                yield handed_on(sums, ["term", "n"])
                 sums = {}
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], ["term", "n"])
+        yield handed_on(sums, ["term", "n"])
 
     terms = rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
     told = 1 - F.log(F.least(F.lit(1.0), F.col("both") / F.greatest("with_term", "both"))) / F.log(F.least(F.col("holding") / F.lit(float(n)), F.lit(1 - 1e-9)))
-    return common.settle(both.join(terms, "term").where((told >= disclosed) & (F.col("holding") * 2 <= n)).select("entity", "term"), "revealing")
+    return common.settle(both.join(terms, "term").where(told >= disclosed).select("entity", "term"), "revealing")
+
+
+def marks(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """m_doc, m_rk, terms: every place of a term in a document that holds an entity which the term discloses."""
+    sent = common.shared(rows.sparkSession, bit_table(pairs.select(F.expr("entity ^ shiftright(term, 1)").alias("key"))))
+
+    def run(batches):
+        bit = sent.value
+        for b in batches:
+            if not bit.any():
+                continue
+            doc, rk = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for i, t in enumerate(b.column(1)):
+                t = t.as_py()
+                spans = base_spans(t)
+                got = occurrences(t, spans, lambda e, w: has_bit(bit, pair_key(e, w))) if spans else []
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([doc[i]] * len(got), pa.int64()), pa.array([rk[i]] * len(got), pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*got, strict=True))], ["m_doc", "m_rk", "entity", "term", "start", "end"])
+
+    seen = rows.select("doc_id", "text", F.xxhash64("text").alias("rk")).mapInArrow(run, "m_doc long, m_rk long, entity long, term long, start long, end long")
+    return seen.join(pairs, ["entity", "term"], "left_semi").groupBy("m_doc", "m_rk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
 
 
 def find(docs: DataFrame, *, support: int = SUPPORT, disclosed: float = DISCLOSED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, rk, n_email, n_ip, n_card, n_phone, base_sha256, base, terms: for each row the contracted spans and, as the method
-    finds, the terms near an entity that disclose it.
+    finds, every place of the terms that disclose an entity of the document.
 
-    An entity that half of all documents hold or more discloses nothing. Null text: empty, no spans. Null id: returned as null.
+    An entity that over half of all documents hold discloses nothing. Null text: empty, no spans. Null id: returned as null.
     Repeated rows: each returned, and each counts as a document. Empty table: no rows. Other columns are not read."""
     rows = common.keyed_text(docs, key, text)
     found = scan(docs, key, text)
-    pairs = revealing(rows, found, support=support, disclosed=disclosed)
-    near = found.where(F.size("near") > 0).select("doc_id", "rk", F.explode("near").alias("x")).select("doc_id", "rk", "x.*")
-    terms = near.join(pairs, ["entity", "term"], "left_semi").groupBy("doc_id", "rk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
-    terms = terms.select(F.col("doc_id").alias("t_doc"), F.col("rk").alias("t_rk"), "terms")
-    joined = found.drop("near").join(terms, F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("rk") == F.col("t_rk")), "left")
+    terms = marks(rows, revealing(rows, found, support=support, disclosed=disclosed))
+    joined = found.drop("entities").join(terms, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("rk") == F.col("m_rk")), "left")
     empty = F.array().cast("array<struct<start: long, end: long>>")
-    return joined.withColumn("terms", F.coalesce("terms", empty)).drop("t_doc", "t_rk")
+    return joined.withColumn("terms", F.coalesce("terms", empty)).drop("m_doc", "m_rk")
 
 
 def span_string(base, terms):

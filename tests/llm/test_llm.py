@@ -485,6 +485,19 @@ def test_disclosing_terms(spark):
     assert pii.redact(df).columns == df.columns
 
 
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    """A name far from the address is a candidate, every place of it is marked, and counts take whole documents."""
+    rng = random.Random(13)
+    filler = lambda n: " ".join(f"w{rng.randint(0, 40):02d}q" for _ in range(n))
+    data = [(i, f"Quimby, {filler(20)} Quimby {filler(30)} q.m@x.example.com {filler(25)} (quimby)") for i in range(4)] + [(100 + i, filler(60)) for i in range(60)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = by_id(pii.find(df))
+    for i, t in data[:4]:
+        assert [(s.start, s.end) for s in got[i].terms] == [m.span() for m in re.finditer("(?i)quimby", t)]
+    assert all(not got[i].terms for i, _ in data[4:])
+    assert not any("quimby" in r.text.lower() for r in pii.redact(df).collect())
+
+
 # 10
 
 
