@@ -197,12 +197,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = BITS, key:
 # Links by shingle similarity ----------------------------------------------------------------------------------------
 
 #: Bands of minima and minima in a band (two texts of similarity 0.8 share no band once in 5,000 times); smallest shingle hashes
-#: kept of a text, its whole set where it has fewer; bits in which texts of that similarity may differ.
-BANDS, MINIMA, SKETCH, FAR_BITS = 16, 4, 512, 24
+#: kept of a text, its whole set where it has fewer.
+BANDS, MINIMA, SKETCH = 16, 4, 512
 
 
 def outlines(data: np.ndarray, off: np.ndarray, shingle: int):
-    """Of concatenated texts, A-Z lowered: two identity hashes of the words, fingerprint, bands (0: none), sketch."""
+    """Of concatenated texts, A-Z lowered: two identity hashes of the words, number of distinct shingles, bands (0: none), sketch."""
     from .quality import word_hashes
 
     n = len(off) - 1
@@ -211,20 +211,15 @@ def outlines(data: np.ndarray, off: np.ndarray, shingle: int):
     words = word_hashes(low, start, end)
     first = np.searchsorted(of, np.arange(n + 1))
     whole = [common.Spans(words, c).of(first[:-1], first[1:]).view(np.int64) for c in (common.C1, common.C2)]
-    fp, bands, sketch = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64), [b""] * n
+    number, bands, sketch = np.zeros(n, np.int64), np.zeros((n, BANDS), np.uint64), [b""] * n
     if not len(words):
-        return *whole, fp, bands, sketch
+        return *whole, number, bands, sketch
     i = np.arange(len(of))
     a = np.flatnonzero((i + shingle <= first[1:][of]) | ((np.diff(first)[of] < shingle) & (i == first[:-1][of])))
     h = common.Spans(words, common.C1).of(a, np.minimum(a + shingle, first[1:][of[a]]))
     own = np.bincount(of[a], minlength=n)
     has = np.flatnonzero(own)
     heads = np.concatenate([[0], np.cumsum(own[has])])[:-1]
-    for at in range(0, len(has), 4096):
-        some, lo = has[at : at + 4096], heads[at]
-        bits = np.unpackbits(h[lo : lo + int(own[some].sum())].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, heads[at : at + 4096] - lo, axis=0, dtype=np.int64)
-        fp[some] = np.packbits(2 * ones > own[some][:, None], axis=1, bitorder="little").view("<u8")[:, 0]
     for band in range(BANDS):
         key = np.full(len(has), band + 1, np.uint64)
         for m in range(MINIMA):
@@ -233,9 +228,10 @@ def outlines(data: np.ndarray, off: np.ndarray, shingle: int):
         bands[has, band] = key | np.uint64(1)
     short = (h >> np.uint64(32)).astype("<u4")
     for k, s, z in zip(has.tolist(), heads.tolist(), np.append(heads[1:], len(h)).tolist(), strict=True):
+        number[k] = len(np.unique(h[s:z]))
         own = np.unique(short[s:z])[:SKETCH]
         sketch[k] = own[own < 0xFFFFFFFF].tobytes()
-    return *whole, fp, bands, sketch
+    return *whole, number, bands, sketch
 
 
 def alike(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -253,63 +249,57 @@ def alike(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, si
     return out
 
 
-def similar_in_buckets(fp, sketch, size, group, bits: int, similarity: float, refs) -> np.ndarray:
-    """The root's position for each row of groups that lie together. Pairs already connected need no look, so a group of copies of one
-    text costs little more than its size."""
-    forest, table = Forest(len(fp)), distances(fp, refs)
+def similar_in_buckets(number, sketch, size, group, similarity: float) -> np.ndarray:
+    """The root's position for each row of groups that lie together. Sets of that similarity can't differ more in their numbers, and
+    pairs already connected need no look, so a group of copies of one text costs little more than its size."""
+    forest = Forest(len(number))
     sizes = np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])))
     for shift in range(1, int(sizes.max(initial=0))):
         i = np.flatnonzero(group[shift:] == group[:-shift])
         if not len(i):
             break
         i = i[forest.root[i] != forest.root[i + shift]]
-        for row in table:
-            i = i[np.abs(row[i] - row[i + shift]) <= bits]
-            if not len(i):
-                break
-        i = i[np.bitwise_count(fp[i] ^ fp[i + shift]) <= bits]
+        i = i[np.minimum(number[i], number[i + shift]) >= similarity * np.maximum(number[i], number[i + shift])]
         if len(i):
             i = i[alike(sketch, size, i, i + shift, similarity)]
             forest.link(i, i + shift)
     return forest.root
 
 
-def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bits: int = FAR_BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, component_id for each row: the least id reached over links between texts whose sets of word shingles have at least that
     Jaccard similarity.
 
-    Texts of the same words are one node. Candidates share a band of minima; of these pivots and then fingerprints discard those too far
-    apart, and the shingle sets verify the rest. Texts without words are copies of each other. Null text: no words. Null id: returned with
+    Texts of the same words are one node. Candidates share a band of minima; of these the sets' sizes discard those too far apart,
+    and the shingle sets verify the rest. Texts without words are copies of each other. Null text: no words. Null id: returned with
     a null component. Repeated rows: each returned. Empty table: no rows. Other columns are not read."""
 
     def outline(batches):
         for b in batches:
             for a, z, data, off in common.text_chunks(b):
-                one, two, fp, bands, sketch = outlines(data, off, shingle)
+                one, two, number, bands, sketch = outlines(data, off, shingle)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (z - a) + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(one), pa.array(two), pa.array(fp.view(np.int64)), flat, pa.array(sketch, pa.binary())], ["doc_id", "one", "two", "fp", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(one), pa.array(two), pa.array(number), flat, pa.array(sketch, pa.binary())], ["doc_id", "one", "two", "number", "bands", "sketch"])
 
-    rows = common.settle(common.keyed_text(docs, key, text).mapInArrow(outline, "doc_id long, one long, two long, fp long, bands array<long>, sketch binary"), "outlines")
-    nodes = rows.where("doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("fp", "bands"), "doc_id").alias("x"))
-    nodes = common.settle(nodes.select("one", "two", "node", "x.fp", "x.bands"), "nodes")
-    members = nodes.select("node", "fp", F.explode("bands").alias("bucket")).where("bucket <> 0")
+    rows = common.settle(common.keyed_text(docs, key, text).mapInArrow(outline, "doc_id long, one long, two long, number long, bands array<long>, sketch binary"), "outlines")
+    nodes = rows.where("doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("number", "bands"), "doc_id").alias("x"))
+    nodes = common.settle(nodes.select("one", "two", "node", "x.number", "x.bands"), "nodes")
+    members = nodes.select("node", "number", F.explode("bands").alias("bucket")).where("bucket <> 0")
     shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
     members = common.settle(members.join(shared, "bucket"), "members")
     wanted = members.select("node").distinct()
     sketches = rows.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("sketch").alias("sketch"))
-    full = members.join(sketches, "node").select("node", "fp", "sketch", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+    full = members.join(sketches, "node").select("node", "number", "sketch", "bucket").repartition("bucket").sortWithinPartitions("bucket")
 
     def run(batches):
-        refs = pivots()
-
         def solve(parts):
             t = pa.concat_tables([pa.Table.from_batches([r]) for r in parts])
-            node, fp, bucket = (np.array(t.column(c)) for c in ("node", "fp", "bucket"))
+            node, number, bucket = (np.array(t.column(c)) for c in ("node", "number", "bucket"))
             sketch, size = np.full((len(node), SKETCH), 0xFFFFFFFF, np.uint32), np.zeros(len(node), np.int64)
             for k, s in enumerate(t.column("sketch")):
                 own = np.frombuffer(s.as_buffer(), "<u4")
                 sketch[k, : len(own)], size[k] = own, len(own)
-            root = similar_in_buckets(fp.view(np.uint64), sketch, size, bucket, bits, similarity, refs)
+            root = similar_in_buckets(number, sketch, size, bucket, similarity)
             own = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
 

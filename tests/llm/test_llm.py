@@ -432,6 +432,17 @@ def test_similar_and_keep_one(spark, docs, none, rows):
     assert simhash.similar(none).count() == 0
 
 
+def test_similar_whatever_is_repeated(spark):
+    """Copies that differ only in how often a line is repeated: fingerprints of all shingles would differ in over 24 bits for a third."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(40):
+        body, line = (" ".join(f"{c}{i}x{rng.randint(0, 10**9)}" for _ in range(n)) for c, n in (("b", 400), ("l", 10)))
+        rows += [(2 * i, f"{body} {line}"), (2 * i + 1, f"{body} " + f"{line} " * 30)]
+    got = by_id(simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.component_id for i, r in got.items()} == brute_similar(rows) == {i: i - i % 2 for i, _ in rows}
+
+
 # 9
 
 RAW = {"email": pii.EMAIL, "ip": pii.IP, "card": pii.CARD, "phone": pii.PHONE}
