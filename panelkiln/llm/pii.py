@@ -226,7 +226,7 @@ def revealing(rows: DataFrame, found: DataFrame, *, support: int, disclosed: flo
         for b in batches:
             for t in b.column(0):
                 own = set()
-                for w in set(t.as_py().split()):
+                for w in set(_WORD.findall(t.as_py())):
                     h = memo.get(w)
                     if h is None:
                         h = key_of(w)

@@ -509,6 +509,13 @@ def test_disclosing_terms_anywhere_in_the_document(spark):
     assert not any("quimby" in r.text.lower() for r in pii.redact(df).collect())
 
 
+def test_disclosing_terms_split_as_counted(spark):
+    """A word with a no-break space in it is one term, as a candidate and in the corpus count."""
+    data = [(i, f"Jean\u00a0Quimby q.m@x.example.com n{i}") for i in range(4)] + [(100 + i, f"other words {i}") for i in range(60)]
+    got = by_id(pii.find(spark.createDataFrame(data, "doc_id long, text string")))
+    assert all([(s.start, s.end) for s in got[i].terms] == [(0, 11)] for i in range(4))
+
+
 # 10
 
 
