@@ -32,6 +32,14 @@ def keyed_text(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that is not among these, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def once(key, build: Callable):
     """build() once in each Python worker."""
     if key not in _CACHE:
@@ -40,12 +48,15 @@ def once(key, build: Callable):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local default is set only where none is configured."""
+    """The folder all executors share. A default is set only where none is configured, and only on one machine: on a cluster
+    a machine's own folder would lose what others write."""
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or "file:///tmp/panelkiln-checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -8,13 +8,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import common, graph
 
 #: Reference fingerprints of the distance tables; parts a fingerprint is cut into (links of at most BITS differing bits leave
-#: PARTS - BITS parts alike); fingerprints of a bucket above which its parts are cut again.
-PIVOTS, PARTS, BITS, SPLIT = 24, 5, 3, 2048
+#: PARTS - BITS parts alike); fingerprints of a bucket above which its parts are cut again; rows of a block, two of which a task
+#: compares with each other.
+PIVOTS, PARTS, BITS, SPLIT, BLOCK = 24, 5, 3, 2048, 1024
 
 
 def fingerprints(data: np.ndarray, off: np.ndarray, shingle: int, seed: int = 42) -> np.ndarray:
@@ -96,16 +98,39 @@ class Forest:
                 self.root = up
 
 
-def links_within(fp: np.ndarray, group: np.ndarray, bits: int, refs: np.ndarray, forest: Forest, at: np.ndarray) -> None:
-    """Links all pairs of one group (groups lie together) at most `bits` apart. Pairs are formed by shifting the arrays, so they
-    take no more memory than the fingerprints; pivot tables discard first, the exact distance verifies the survivors."""
-    table = distances(fp, refs)
-    sizes = np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])))
-    for shift in range(1, int(sizes.max(initial=0))):
-        i = np.flatnonzero(group[shift:] == group[:-shift])
-        if not len(i):
-            break
-        j = i + shift
+def cells(members: DataFrame) -> DataFrame:
+    """members (bucket, count, ...) as (cell, side, ...): a bucket of up to BLOCK rows is a cell; a larger one is cut to blocks, and every
+    pair of blocks is a cell, so no task holds a whole hot bucket. side: -1, or the block where only rows of unlike blocks meet."""
+    n = F.ceil(F.col("count") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
+    kept = [c for c in members.columns if c not in ("bucket", "count")]
+    cut = members.withColumns({"_n": n, "_b": block}).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+    cell = F.when(F.col("_n") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("_b", "_o"), F.greatest("_b", "_o")))
+    return cut.select(cell.alias("cell"), F.when(F.col("_b") == F.col("_o"), -1).otherwise(F.col("_b")).alias("side"), *kept)
+
+
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """members (bucket, ...) of buckets with two rows or more, with count. Counts have a partial step, and the join is one that adaptive
+    execution can split, so a hot bucket is not gathered."""
+    return members.join(members.groupBy("bucket").count().where("count > 1"), "bucket")
+
+
+def met(cell: np.ndarray, side: np.ndarray):
+    """Pairs i, j of rows that share a cell (rows of one lie together), by shifting the arrays: never more at once than there are rows."""
+    edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+    end = np.repeat(edge[1:], np.diff(edge))
+    live = np.arange(len(cell))
+    for shift in range(1, int(np.diff(edge).max(initial=0))):
+        live = live[live + shift < end[live]]
+        i = live[(side[live] < 0) | (side[live] != side[live + shift])]
+        yield i, i + shift
+
+
+def links_within(fp: np.ndarray, cell: np.ndarray, side: np.ndarray, bits: int, refs: np.ndarray) -> np.ndarray:
+    """The root's position for each fingerprint: pairs of a cell at most `bits` apart are linked. Pivot tables discard first, the exact
+    distance verifies the survivors."""
+    forest, table = Forest(len(fp)), distances(fp, refs)
+    for i, j in met(cell, side):
         for row in table:
             near = np.abs(row[i] - row[j]) <= bits
             i, j = i[near], j[near]
@@ -113,26 +138,7 @@ def links_within(fp: np.ndarray, group: np.ndarray, bits: int, refs: np.ndarray,
                 break
         if len(i):
             hit = np.bitwise_count(fp[i] ^ fp[j]) <= bits
-            forest.link(at[i[hit]], at[j[hit]])
-
-
-def bucket_links(fp: np.ndarray, group: np.ndarray, bits: int, refs: np.ndarray) -> np.ndarray:
-    """The root's position for each fingerprint. Groups of over SPLIT are cut again: of bits + 1 parts of a fingerprint at least one
-    is alike in two that link, so the pairs that agree in a part are all that need a look."""
-    forest = Forest(len(fp))
-    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
-    size = np.repeat(np.diff(edge), np.diff(edge))
-    small = np.flatnonzero((size > 1) & (size <= SPLIT))
-    if len(small):
-        links_within(fp[small], group[small], bits, refs, forest, small)
-    large = np.flatnonzero(size > SPLIT)
-    if len(large):
-        for a, z in widths(bits + 1):
-            part = (fp[large] >> np.uint64(a)) & np.uint64((1 << (z - a)) - 1)
-            order = np.lexsort((part, group[large]))
-            own = large[order]
-            both = common.mix(part[order] * common.C1 + group[own].astype(np.uint64) * common.C2)
-            links_within(fp[own], both, bits, refs, forest, own)
+            forest.link(i[hit], j[hit])
     return forest.root
 
 
@@ -152,33 +158,41 @@ def by_bucket(batches, at: int, solve):
         yield solve(held)
 
 
+def part(fp: str, a: int, z: int):
+    return F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (z - a)) - 1))
+
+
 def links(fps: DataFrame, bits: int = BITS, parts: int = PARTS) -> DataFrame:
     """a, b: enough links between nodes (least ids of distinct fingerprints: node, fp) to connect all that are at most `bits` apart.
 
     Each fingerprint goes to a bucket for every choice of the parts - bits parts that a link must leave alike; in a bucket the
-    pivots decide. A bucket gives at most a link for each of its fingerprints."""
+    pivots decide. A bucket of over SPLIT is cut again by the bits + 1 parts of which two that link have one alike, and what is still
+    large by pairs of blocks. A cell gives at most a link for each of its fingerprints."""
     keys = []
     for chosen in combinations(range(parts), parts - bits):
         value = F.lit(0).cast("long")
         for p in chosen:
             a, z = widths(parts)[p]
-            value = F.shiftleft(value, z - a).bitwiseOR(F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (z - a)) - 1)))
+            value = F.shiftleft(value, z - a).bitwiseOR(part("fp", a, z))
         keys.append(F.xxhash64(value, F.lit(len(keys))))
-    dealt = fps.select("node", "fp", F.explode(F.array(*keys)).alias("bucket")).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = shared_buckets(fps.select("node", "fp", F.explode(F.array(*keys)).alias("bucket")))
+    again = F.explode(F.array(*(F.xxhash64("bucket", F.lit(k), part("fp", a, z)) for k, (a, z) in enumerate(widths(bits + 1)))))
+    large = shared_buckets(dealt.where(F.col("count") > SPLIT).select("node", "fp", again.alias("bucket")))
+    every = cells(dealt.where(F.col("count") <= SPLIT).unionByName(large)).repartition("cell").sortWithinPartitions("cell")
 
     def run(batches):
         refs = pivots()
 
         def solve(rows):
             t = pa.concat_tables([pa.Table.from_batches([r]) for r in rows])
-            node, fp, bucket = (np.array(t.column(c)) for c in ("node", "fp", "bucket"))
-            root = bucket_links(fp.view(np.uint64), bucket, bits, refs)
+            node, fp, cell, side = (np.array(t.column(c)) for c in ("node", "fp", "cell", "side"))
+            root = links_within(fp.view(np.uint64), cell, side, bits, refs)
             own = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
 
-        yield from by_bucket(batches, 2, solve)
+        yield from by_bucket(batches, 0, solve)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return every.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,13 +210,19 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = BITS, key:
 
 # Links by shingle similarity ----------------------------------------------------------------------------------------
 
-#: Bands of minima and minima in a band (two texts of similarity 0.8 share no band once in 5,000 times); smallest shingle hashes
-#: kept of a text, its whole set where it has fewer.
-BANDS, MINIMA, SKETCH = 16, 4, 512
+#: Bands of minima and minima in a band, which find most links at little cost; part of a text's shingles by which its prefix is longer
+#: than it must be (more rows, fewer candidates); bits of a set's fingerprint, and reference fingerprints of its distance tables.
+BANDS, MINIMA, SLACK, WIDTH, REFS = 16, 4, 0.2, 1024, 8
+
+
+def least_shared(number, similarity: float):
+    """Shingles that a set of this size must share at least with one of that similarity."""
+    return np.ceil(similarity * number - 1e-9).astype(np.int64)
 
 
-def outlines(data: np.ndarray, off: np.ndarray, shingle: int):
-    """Of concatenated texts, A-Z lowered: two identity hashes of the words, number of distinct shingles, bands (0: none), sketch."""
+def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int):
+    """Of concatenated texts, A-Z lowered: two identity hashes of the words; the distinct shingle hashes, sorted within each text; where
+    each text's begin. A text of fewer words is one shingle."""
     from .quality import word_hashes
 
     n = len(off) - 1
@@ -211,112 +231,197 @@ def outlines(data: np.ndarray, off: np.ndarray, shingle: int):
     words = word_hashes(low, start, end)
     first = np.searchsorted(of, np.arange(n + 1))
     whole = [common.Spans(words, c).of(first[:-1], first[1:]).view(np.int64) for c in (common.C1, common.C2)]
-    number, bands, sketch = np.zeros(n, np.int64), np.zeros((n, BANDS), np.uint64), [b""] * n
     if not len(words):
-        return *whole, number, bands, sketch
+        return *whole, np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     i = np.arange(len(of))
     a = np.flatnonzero((i + shingle <= first[1:][of]) | ((np.diff(first)[of] < shingle) & (i == first[:-1][of])))
     h = common.Spans(words, common.C1).of(a, np.minimum(a + shingle, first[1:][of[a]]))
-    own = np.bincount(of[a], minlength=n)
-    has = np.flatnonzero(own)
-    heads = np.concatenate([[0], np.cumsum(own[has])])[:-1]
-    for band in range(BANDS):
+    text = of[a]
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return *whole, h[new], np.searchsorted(text[new], np.arange(n + 1))
+
+
+def parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A set's fingerprint: for each of WIDTH slots whether an odd number of its hashes fall there. Shingles in both sets cancel, so two
+    fingerprints differ in no more bits than their sets in shingles: a bound for any pair, however long, where SimHash gives an estimate."""
+    n = len(at) - 1
+    out = np.zeros((n, WIDTH // 8), np.uint8)
+    slot = (common.mix(h + common.C2) >> np.uint64(8)).astype(np.int64) % WIDTH
+    for a in range(0, n, 2048):
+        z = min(n, a + 2048)
+        text = np.repeat(np.arange(z - a), np.diff(at[a : z + 1]))
+        odd = np.bincount(text * WIDTH + slot[at[a] : at[z]], minlength=(z - a) * WIDTH) & 1
+        out[a:z] = np.packbits(odd.astype(np.uint8).reshape(z - a, WIDTH), axis=1)
+    return out
+
+
+def outlines(data: np.ndarray, off: np.ndarray, shingle: int, similarity: float):
+    """Of concatenated texts: identity hashes, number of distinct shingles, bands (0: none), prefix (offsets and the least hashes) and fingerprint.
+
+    Sets of n and m shingles with that similarity share at least least_shared(n). So the prefixes of the n - least_shared(n) + 1 +
+    SLACK least_shared(n) least hashes share at least 1 + SLACK least_shared of the smaller."""
+    one, two, h, at = shingle_sets(data, off, shingle)
+    number = np.diff(at)
+    n = len(number)
+    bands = np.zeros((n, BANDS), np.uint64)
+    has = np.flatnonzero(number)
+    for band in range(BANDS if len(has) else 0):
         key = np.full(len(has), band + 1, np.uint64)
         for m in range(MINIMA):
             turn = np.uint64(int(common.mix(np.array([band * MINIMA + m + 1], np.uint64))[0]) | 1)
-            key = common.mix(key * common.C1 + np.minimum.reduceat((h ^ (h >> np.uint64(31))) * turn >> np.uint64(8), heads))
+            key = common.mix(key * common.C1 + np.minimum.reduceat((h ^ (h >> np.uint64(31))) * turn >> np.uint64(8), at[has]))
         bands[has, band] = key | np.uint64(1)
-    short = (h >> np.uint64(32)).astype("<u4")
-    for k, s, z in zip(has.tolist(), heads.tolist(), np.append(heads[1:], len(h)).tolist(), strict=True):
-        number[k] = len(np.unique(h[s:z]))
-        own = np.unique(short[s:z])[:SKETCH]
-        sketch[k] = own[own < 0xFFFFFFFF].tobytes()
-    return *whole, number, bands, sketch
-
-
-def alike(sketch: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether the texts' shingle sets have that Jaccard similarity: exact where both sketches hold whole sets, else the
-    estimate from the part of hash space that both cover."""
-    out = np.zeros(len(i), bool)
-    none = np.uint32(0xFFFFFFFF)
-    for at in range(0, len(i), 1000):
-        a, b = i[at : at + 1000], j[at : at + 1000]
-        ends = [np.where(size[x] == SKETCH, sketch[x, SKETCH - 1], none) for x in (a, b)]
-        both = np.sort(np.concatenate([sketch[a], sketch[b]], axis=1), axis=1)
-        seen = (both <= np.minimum(*ends)[:, None]) & (both < none)
-        twice = ((both[:, 1:] == both[:, :-1]) & seen[:, 1:]).sum(1)
-        out[at : at + 1000] = twice >= similarity * np.maximum(1, seen.sum(1) - twice)
-    return out
+    needed = least_shared(number, similarity)
+    size = np.minimum(number, number - needed + 1 + np.floor(SLACK * needed).astype(np.int64)) * (number > 0)
+    first = np.concatenate([[0], np.cumsum(size)])
+    own = np.arange(int(first[-1])) - np.repeat(first[:-1] - at[:-1], size)
+    return one, two, number, bands, first, h[own], parities(h, at)
+
+
+def candidates(number, fp, cell, side, similarity: float, group=None):
+    """Pairs i, j of rows of a cell that may have that similarity, by what no such pair can exceed: the sizes of the sets, and (a part of
+    both sizes together) the differing bits of the fingerprints, first in their distances to reference fingerprints and then exactly.
+    group: only pairs of unlike groups, all of them; without it enough pairs to connect all that survive."""
+    words = np.ascontiguousarray(fp).view(np.uint64)
+    apart = (1 - similarity) / (1 + similarity) + 1e-9
+    refs = words[np.linspace(0, len(words) - 1, REFS).astype(int)]
+    table = np.stack([np.bitwise_count(words ^ r).sum(1, dtype=np.int32) for r in refs])
+    forest = Forest(len(number))
+    for i, j in met(cell, side):
+        few = (group[i] != group[j]) if group is not None else (forest.root[i] != forest.root[j])
+        i, j = i[few], j[few]
+        fit = np.minimum(number[i], number[j]) >= similarity * np.maximum(number[i], number[j]) - 1e-9
+        i, j = i[fit], j[fit]
+        most = apart * (number[i] + number[j])
+        near = (np.abs(table[:, i] - table[:, j]).max(0) <= most) if len(i) else np.zeros(0, bool)
+        i, j, most = i[near], j[near], most[near]
+        for a in range(0, len(i), 65_536):
+            x, y = i[a : a + 65_536], j[a : a + 65_536]
+            hit = np.bitwise_count(words[x] ^ words[y]).sum(1, dtype=np.int32) <= most[a : a + 65_536]
+            x, y = x[hit], y[hit]
+            if group is None:
+                forest.link(x, y)
+            if len(x):
+                yield x, y
+
+
+def survivors(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: distinct pairs of nodes from members (bucket, count, node, number, fp and perhaps root) that survive candidates()."""
+    grouped = "root" in members.columns
+    dealt = cells(members).repartition("cell").sortWithinPartitions("cell")
 
+    def run(batches):
+        def solve(rows):
+            t = pa.concat_tables([pa.Table.from_batches([r]) for r in rows])
+            node, number, cell, side = (np.array(t.column(c)) for c in ("node", "number", "cell", "side"))
+            fp = np.frombuffer(b"".join(x.as_buffer() for x in t.column("fp")), np.uint8).reshape(len(node), WIDTH // 8)
+            found = list(candidates(number, fp, cell, side, similarity, np.array(t.column("root")) if grouped else None))
+            i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-def similar_in_buckets(number, sketch, size, group, similarity: float) -> np.ndarray:
-    """The root's position for each row of groups that lie together. Sets of that similarity can't differ more in their numbers, and
-    pairs already connected need no look, so a group of copies of one text costs little more than its size."""
-    forest = Forest(len(number))
-    sizes = np.diff(np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])))
-    for shift in range(1, int(sizes.max(initial=0))):
-        i = np.flatnonzero(group[shift:] == group[:-shift])
-        if not len(i):
-            break
-        i = i[forest.root[i] != forest.root[i + shift]]
-        i = i[np.minimum(number[i], number[i + shift]) >= similarity * np.maximum(number[i], number[i + shift])]
-        if len(i):
-            i = i[alike(sketch, size, i, i + shift, similarity)]
-            forest.link(i, i + shift)
-    return forest.root
+        yield from by_bucket(batches, 0, solve)
 
+    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
-def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id for each row: the least id reached over links between texts whose sets of word shingles have at least that
-    Jaccard similarity.
 
-    Texts of the same words are one node. Candidates share a band of minima; of these the sets' sizes discard those too far apart,
-    and the shingle sets verify the rest. Texts without words are copies of each other. Null text: no words. Null id: returned with
-    a null component. Repeated rows: each returned. Empty table: no rows. Other columns are not read."""
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets have that similarity, each compared once. Sets are made again, of the texts in the pairs only."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    wanted = common.settle(wanted.select("node", "least", "one", "two"), "wanted")
 
-    def outline(batches):
+    def sets(batches):
         for b in batches:
-            for a, z, data, off in common.text_chunks(b):
-                one, two, number, bands, sketch = outlines(data, off, shingle)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (z - a) + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), pa.array(one), pa.array(two), pa.array(number), flat, pa.array(sketch, pa.binary())], ["doc_id", "one", "two", "number", "bands", "sketch"])
-
-    rows = common.settle(common.keyed_text(docs, key, text).mapInArrow(outline, "doc_id long, one long, two long, number long, bands array<long>, sketch binary"), "outlines")
-    nodes = rows.where("doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("number", "bands"), "doc_id").alias("x"))
-    nodes = common.settle(nodes.select("one", "two", "node", "x.number", "x.bands"), "nodes")
-    members = nodes.select("node", "number", F.explode("bands").alias("bucket")).where("bucket <> 0")
-    shared = members.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = common.settle(members.join(shared, "bucket"), "members")
-    wanted = members.select("node").distinct()
-    sketches = rows.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").groupBy(F.col("doc_id").alias("node")).agg(F.min("sketch").alias("sketch"))
-    full = members.join(sketches, "node").select("node", "number", "sketch", "bucket").repartition("bucket").sortWithinPartitions("bucket")
+            for a, z, data, off in common.text_chunks(b, 0):
+                one, two, h, at = shingle_sets(data, off, shingle)
+                own = [h[s:e].tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(own, pa.binary())], ["one", "two", "shingles"])
 
-    def run(batches):
-        def solve(parts):
-            t = pa.concat_tables([pa.Table.from_batches([r]) for r in parts])
-            node, number, bucket = (np.array(t.column(c)) for c in ("node", "number", "bucket"))
-            sketch, size = np.full((len(node), SKETCH), 0xFFFFFFFF, np.uint32), np.zeros(len(node), np.int64)
-            for k, s in enumerate(t.column("sketch")):
-                own = np.frombuffer(s.as_buffer(), "<u4")
-                sketch[k, : len(own)], size[k] = own, len(own)
-            root = similar_in_buckets(number, sketch, size, bucket, similarity)
-            own = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
+    texts = rows.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    made = texts.mapInArrow(sets, "one long, two long, shingles binary").join(wanted.select("node", "one", "two"), ["one", "two"])
+    made = common.settle(made.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")  # rows repeated in full
+    left, right = (made.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in ("a", "b"))
+
+    def compare(batches):
+        for b in batches:
+            fit = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                fit.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-        yield from by_bucket(batches, 3, solve)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
 
-    roots = graph.components(full.mapInArrow(run, "a long, b long"))
-    by_text = nodes.join(roots, "node", "left").select("one", "two", F.coalesce("root", "node").alias("component_id"))
-    found = rows.join(by_text, ["one", "two"], "left")
-    return found.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
+def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_hash (XXH64 of the text), component_id for each row: the least id reached over links between texts whose sets of word
+    shingles have at least that Jaccard similarity. No link is missed and none is estimated.
+
+    Texts of the same words are one node. Pairs that share a band of minima are looked at first, which joins most groups. Then every pair
+    of unlike groups is found that may be similar: of each text's prefix the shingles that few other prefixes hold, as many as must
+    include one that a similar text has too, rarest first, so that common lines come last. Set sizes and pivot distance tables discard,
+    and the whole shingle sets verify each survivor once.
 
-def keep_one(docs: DataFrame, groups: DataFrame, *, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is not its group's least; of rows that repeat an id and a text one stays. Rows without an id stay."""
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    twice = groups.where("doc_id is not null and doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    Texts without words are copies of each other. Null text: no words. Null id: returned with a null component, links nothing. Repeated
+    rows: each returned; an id with several texts is a node for each. Empty table: no rows. Other columns are not read."""
+    whole = common.keyed_text(docs, key, text)
+
+    def outline(batches):
+        for b in batches:
+            for a, z, data, off in common.text_chunks(b):
+                one, two, number, bands, first, prefix, fp = outlines(data, off, shingle, similarity)
+                banded = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (z - a) + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
+                listed = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(prefix.view(np.int64)))
+                cols = [b.column(0).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(one), pa.array(two), pa.array(number), banded, listed, pa.array([x.tobytes() for x in fp], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "one", "two", "number", "bands", "prefix", "fp"])
+
+    schema = "doc_id long, text_hash long, one long, two long, number long, bands array<long>, prefix array<long>, fp binary"
+    outlined = whole.withColumn("text_hash", F.xxhash64("text")).mapInArrow(outline, schema)
+    rows = common.settle(outlined.withColumn("row", F.monotonically_increasing_id()), "outlines")
+    # a node is a row that stands for all of the same words
+    nodes = rows.where("doc_id is not null").groupBy("one", "two").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
+    nodes = common.settle(nodes, "nodes")
+    heads = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    looks = heads.select("node", "number", "fp")
+
+    banded = shared_buckets(heads.select("node", F.explode("bands").alias("bucket")).where("bucket <> 0"))
+    near = common.settle(survivors(banded.join(looks, "node"), similarity), "near")
+    found = common.settle(verified(near, nodes, whole, shingle, similarity), "found")
+    roots = graph.components(found)
+
+    tokens = heads.select("node", "number", F.explode("prefix").alias("bucket"))
+    held = shared_buckets(tokens).withColumnRenamed("count", "df")
+    needed = F.ceil(F.col("number") * similarity - 1e-9)
+    by_node = Window.partitionBy("node")
+    rare = held.select("node", "bucket", F.row_number().over(by_node.orderBy("df", "bucket")).alias("place"), F.count("*").over(by_node).alias("shares"), (1 + F.floor(needed * SLACK)).alias("must"))
+    rare = rare.where(F.col("place") <= F.col("shares") - F.col("must") + 1).select("node", "bucket").join(roots, "node", "left")
+    rare = common.settle(rare.select("node", "bucket", F.coalesce("root", "node").alias("root")), "rare")
+    across = rare.groupBy("bucket").agg(F.count("*").alias("count"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket", "count")
+    far = common.settle(survivors(rare.join(across, "bucket").join(looks, "node"), similarity), "far")
+    more = verified(far, nodes, whole, shingle, similarity)
+    roots = graph.components(common.settle(found.unionAll(more), "linked"))
+
+    grouped = nodes.join(roots, "node", "left").select("one", "two", "least", F.coalesce("root", "node").alias("group"))
+    least = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    by_text = grouped.join(least, "group").select("one", "two", "component_id")
+    return rows.join(by_text, ["one", "two"], "left").select("doc_id", "text_hash", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, groups: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each group of similar(): that of the least id, of two texts with that id the one of lesser hash, of rows that
+    repeat both any one. Rows without an id stay. All columns stay, whatever their names."""
+    own, hashed, n = (common.fresh(docs.columns, c) for c in ("own", "hashed", "n"))
+    first = groups.where("component_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    counted = groups.where("component_id is not null").groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    told = counted.join(first, "component_id").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed), F.when((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash")), F.col("n")).otherwise(0).alias(n))
+    ids = [F.col(key).cast("long") == F.col(own), F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(hashed)]
+    kept = docs.join(told.where(F.col(n) == 0).drop(n), ids, "left_anti")
+    twice = told.where(F.col(n) > 1).drop(n)
     if twice.isEmpty():
         return kept
-    rest = kept.join(twice, F.col(key) == F.col("_twice"), "left_anti")
-    return rest.unionByName(kept.join(twice, F.col(key) == F.col("_twice"), "left_semi").dropDuplicates([key, "text"]))
+    own_rows = kept.join(twice, ids, "left_semi").dropDuplicates([key, text])
+    return kept.join(twice, ids, "left_anti").unionByName(own_rows)

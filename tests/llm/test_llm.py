@@ -388,10 +388,10 @@ def test_simhash(spark, docs, none, rows):
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize("split", [2, 2048])
-def test_links_between_random_fingerprints(spark, monkeypatch, split):
-    """Clusters of fingerprints a few bits apart, with chains across them."""
-    monkeypatch.setattr(simhash, "SPLIT", split)
+@pytest.mark.parametrize("split, block", [(2, 1024), (2, 3), (2048, 4)])
+def test_links_between_random_fingerprints(spark, monkeypatch, split, block):
+    """Clusters of fingerprints a few bits apart, with chains across them; buckets that are cut again, and cut to blocks."""
+    monkeypatch.setattr(simhash, "SPLIT", split), monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(7)
     fps = []
     for _ in range(30):
@@ -432,6 +432,52 @@ def test_similar_and_keep_one(spark, docs, none, rows):
     assert simhash.similar(none).count() == 0
 
 
+def variants(rng, n, share, tag):
+    """Two texts of n words of which a run of the second is new, so that their sets differ in about that share."""
+    a = [f"{tag}{rng.randint(0, 10**9)}" for _ in range(n)]
+    cut = int(n * share)
+    return " ".join(a), " ".join(a[: n - cut] + [f"n{tag}{rng.randint(0, 10**9)}" for _ in range(cut)])
+
+
+def test_similar_is_exact_at_the_threshold(spark, monkeypatch):
+    """Pairs on either side of 0.8, from single words to texts of thousands of shingles, all with a common line; small blocks."""
+    monkeypatch.setattr(simhash, "BLOCK", 2)
+    rng = random.Random(15)
+    line, rows = "licensed under the terms of a licence version two of some year ", []
+    for k in range(90):
+        n = rng.choice([6, 9, 20, 60, 150, 600, 1500, 4000] if k % 9 == 0 else [6, 9, 20, 60, 150])
+        for t in variants(rng, n, rng.uniform(0.05, 0.16), f"k{k}x"):
+            rows.append((len(rows), line * (k % 2) + t))
+    rows += [(1000 + i, line + f"u{i} v{i}") for i in range(40)] + [(2000 + i, line * 2 + f"w{i}") for i in range(12)]
+    got = by_id(simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    want = brute_similar(rows)
+    assert {i: r.component_id for i, r in got.items()} == want
+    assert 10 < sum(want[2 * k] == want[2 * k + 1] for k in range(90)) < 80
+
+
+def test_similar_without_bands(spark, monkeypatch):
+    """The prefixes alone find every link: bands that never meet change nothing."""
+    monkeypatch.setattr(simhash, "BANDS", 1), monkeypatch.setattr(simhash, "MINIMA", 60)
+    rng = random.Random(16)
+    rows = [(2 * k + i, t) for k in range(40) for i, t in enumerate(variants(rng, 120, rng.uniform(0.02, 0.14), f"k{k}x"))]
+    got = by_id(simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: r.component_id for i, r in got.items()} == brute_similar(rows)
+
+
+def test_one_id_on_several_texts(spark):
+    """Each text of an id has its own links; columns may have any name."""
+    rng = random.Random(17)
+    a, b, c = prose(rng, 60), prose(rng, 300), prose(rng, 80)
+    rows = [(5, a), (5, b), (9, b + " end"), (12, c), (12, c), (12, a), (3, a + " end"), (None, c), (None, None)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, own int, hashed int, n int")
+    found = simhash.similar(df)
+    by = Counter((r.doc_id, r.component_id) for r in found.collect())
+    assert by == {(5, 3): 1, (5, 5): 1, (9, 5): 1, (12, 12): 2, (12, 3): 1, (3, 3): 1, (None, None): 2}
+    kept = simhash.keep_one(df, found)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(3, a + " end"), (5, b), (12, c), (None, c), (None, None)])
+
+
 def test_similar_whatever_is_repeated(spark):
     """Copies that differ only in how often a line is repeated: fingerprints of all shingles would differ in over 24 bits for a third."""
     rng = random.Random(14)
