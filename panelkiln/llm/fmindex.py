@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 
 from . import substrings
 
-#: Stretches of one anchor that a shard takes; an anchor with more is compared window by window, spread by the windows' hashes.
-SHARD_STRETCHES = 4096
+#: Every so-manieth place of an indexed text is kept; from the others the search steps back to one.
+SAMPLE = 16
 
 
 class Bits:
@@ -18,13 +18,27 @@ class Bits:
         padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1]
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1].astype(np.uint32)
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Ones before place i."""
         w = i >> 6
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & mask)
+        return self.before[w] + np.bitwise_count(self.words[w] & mask).astype(np.int64)
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+    def place(self, k: np.ndarray) -> np.ndarray:
+        """Where the k-th one (from 0) stands."""
+        w = np.searchsorted(self.before, k, "right") - 1
+        word, k, place = self.words[w], k - self.before[w], np.zeros(len(w), np.int64)
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
+            up = k >= low
+            k, place = np.where(up, k - low, k), place + half * up
+            word = np.where(up, word >> np.uint64(half), word)
+        return 64 * w + place
 
 
 class Wavelet:
@@ -50,99 +64,117 @@ class Wavelet:
         """How often c stands before place i."""
         return self._down(c, i) - self.start[c]
 
+    def symbol(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols at places i, and how often each stands before its place."""
+        c = np.zeros(len(i), np.int64)
+        for bits, zeros in zip(self.levels, self.zeros, strict=True):
+            one, ones = bits.at(i), bits.ones(i)
+            c, i = c << 1 | one, np.where(one, zeros + ones, i - ones)
+        return c, i - self.start[c]
+
 
 class Index:
-    """FM-index of a text of symbols 1 .. size - 1 with 0 between its parts, for patterns of up to 2 ** rounds symbols: suffixes
-    are sorted to that depth only, which keeps the backward steps to it exact."""
+    """FM-index of a text of symbols 0 .. size - 1, of which 0 parts it; an end of its own comes after, below all. Kept are the symbols before the sorted suffixes, as a wavelet
+    matrix; how many symbols are lesser than each; a bit where suffixes change within their first window - 1 symbols; and every
+    SAMPLE-th place of the text, with a bit for the suffixes that start there. Neither the text nor its suffix array is kept."""
 
     def __init__(self, text: np.ndarray, size: int, window: int):
-        n = len(text)
-        rounds = int(window).bit_length()
-        self.n = n
-        rank = text.astype(np.int64)
-        ranks = [rank]
-        for r in range(rounds):
-            step = 1 << r
+        text, size = np.append(text.astype(np.int64) + 1, 0), size + 1
+        n = self.n = len(text)
+        rank, ranks, step, parts = text, [text], 1, 0
+        while parts < n:  # by doubling, until all suffixes differ
             after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1 if n > step else 0
+            after[: n - step] = rank[step:] + 1
             _, rank = np.unique(rank * (n + size + 2) + after, return_inverse=True)
             ranks.append(rank)
-        self.order = np.argsort(rank, kind="stable")
+            step, parts = 2 * step, int(rank.max()) + 1
+        order = np.argsort(rank, kind="stable")
         self.count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
-        self.last = Wavelet(text[self.order - 1], size)  # the symbol before each suffix
-        self.window = window
-        # bounds of the groups of suffixes alike in window - 1 symbols, and the groups alike in window
-        self.short = self._groups(ranks, window - 1)
-        self.full = self._groups(ranks, window)
-
-    def _groups(self, ranks: list[np.ndarray], depth: int) -> np.ndarray:
-        """The group number of each suffix in order, alike in depth symbols: two overlapping runs of a power of two."""
-        r = depth.bit_length() - 1
-        a = ranks[r][self.order]
-        at = np.minimum(self.order + depth - (1 << r), self.n - 1)
-        b = ranks[r][at]
-        new = np.zeros(self.n, np.int64)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return np.cumsum(new)
+        self.last = Wavelet(text[order - 1], size)
+        self.sampled = Bits(order % SAMPLE == 0)
+        self.places = order[order % SAMPLE == 0].astype(np.uint32)
+        # alike in window - 1 symbols: two overlapping runs of a power of two
+        r = min((window - 1).bit_length() - 1, len(ranks) - 1)
+        a, b = ranks[r][order], ranks[r][np.minimum(order + window - 1 - (1 << r), n - 1)]
+        new = np.ones(n + 1, bool)  # and one past the end
+        new[1:n] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.changes = Bits(new)
 
     def back(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         """The suffixes that begin with c and go on as those between lo and hi."""
+        c = c + 1
         base = self.count[c]
         return base + self.last.rank(c, lo), base + self.last.rank(c, hi)
 
-
-def search(blobs, kind: substrings.Kind):
-    """(doc, lo, hi) of the windows of a shard's stretches that also start in a document of smaller id.
-
-    All stretches are indexed and then streamed from their right ends, in step: a whole window first, then one symbol at a time to the
-    left, where dropping the last symbol widens the interval to the group alike in one symbol less. The interval of a window of
-    full length is the set of its occurrences, and its least document decides."""
-    doc, lo, size, words = [], [], [], []
-    for blob in blobs:
-        (d, a, s), raw = substrings.unpack(blob.as_buffer(), 3)
-        doc.append(d), lo.append(a), size.append(s), words.append(np.frombuffer(raw, np.uint64))
-    doc, lo, size, words = (np.concatenate(c) for c in (doc, lo, size, words))
+    def shorter(self, lo: np.ndarray):
+        """The suffixes alike in window - 1 symbols with that at lo."""
+        k = self.changes.ones(lo + 1)
+        return self.changes.place(k - 1), self.changes.place(k)
+
+    def locate(self, i: np.ndarray) -> np.ndarray:
+        """Where in the text the i-th suffixes start: steps back to a place that is kept."""
+        out, steps, at = np.zeros(len(i), np.int64), 0, np.arange(len(i))
+        while len(i):
+            here = self.sampled.at(i)
+            out[at[here]] = self.places[self.sampled.ones(i[here])].astype(np.int64) + steps
+            i, at = i[~here], at[~here]
+            c, before = self.last.symbol(i)
+            i, steps = self.count[c] + before, steps + 1
+        return out
+
+
+def search(doc, lo, size, words, kind: substrings.Kind):
+    """(doc, lo) of the windows of a shard's stretches that also start in a document of smaller id.
+
+    All stretches are indexed, in order of their documents, and then streamed from their right ends, in step: a window first, then one
+    symbol at a time to the left. Where the match would grow longer than a window, the interval widens to that of one symbol less. So
+    each place has the interval of its longest match, up to a window; where that is reached and the interval holds another place,
+    the first place it holds decides."""
+    order = np.lexsort((lo, doc))
+    words = words[substrings.runs_of((np.cumsum(size) - size)[order], size[order])]
+    doc, lo, size = doc[order], lo[order], size[order]
     names, code = np.unique(words, return_inverse=True)
-    end = np.cumsum(size)
-    place = np.arange(len(code)) + np.repeat(np.arange(len(size)), size)  # a 0 after each stretch
+    part = np.arange(len(size))
     text = np.zeros(len(code) + len(size), np.int64)
-    text[place] = code + 1
-    start = end - size + np.arange(len(size))
+    text[np.arange(len(code)) + np.repeat(part, size)] = code + 1  # a 0 after each stretch
+    start = np.cumsum(size) - size + part
     w = kind.window
     index = Index(text, len(names) + 1, w)
-    of = np.repeat(np.arange(len(size)), size + 1)
-    head = np.flatnonzero(np.concatenate([[True], index.full[1:] != index.full[:-1]]))
-    first_doc = np.minimum.reduceat(doc[of[index.order]], head)
-    edge = np.append(np.flatnonzero(np.concatenate([[True], index.short[1:] != index.short[:-1]])), index.n)
-    found_doc, found_lo = [], []
-    live = np.arange(len(size))
-    at = start + size - 1  # the symbol to add next
+    found = []
+    live, at = part, start + size - 1  # the symbol to add next
     a, z = np.zeros(len(size), np.int64), np.full(len(size), index.n)
     for step in range(int(size.max())):
-        if step >= w:  # drop the last symbol
-            group = index.short[a]
-            a, z = edge[group], edge[group + 1]
+        if step >= w:
+            a, z = index.shorter(a)
         a, z = index.back(text[at], a, z)
         if step >= w - 1:
-            hit = first_doc[index.full[a]] < doc[live]
-            found_doc.append(doc[live[hit]])
-            found_lo.append(lo[live[hit]] + at[hit] - start[live[hit]])
+            several = z - a > 1
+            found.append((live[several], at[several], a[several], z[several]))
         on = at > start[live]
         live, at, a, z = live[on], at[on] - 1, a[on], z[on]
         if not len(live):
             break
-    doc, lo = np.concatenate(found_doc), np.concatenate(found_lo)
-    return doc, lo, lo
-
-
-def remove_repeated_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    live, at, a, z = (np.concatenate(c) for c in zip(*found, strict=True))
+    if not len(a):
+        return doc[:0], lo[:0]
+    a, which = np.unique(a, return_inverse=True)  # windows that are equal have one interval
+    many = np.zeros(len(a), np.int64)
+    many[which] = z - a[which]
+    places = index.locate(substrings.runs_of(a, many))
+    first = np.minimum.reduceat(places, np.cumsum(many) - many)
+    first_doc = doc[np.searchsorted(start, first, "right") - 1][which]
+    hit = first_doc < doc[live]
+    return doc[live[hit]], (lo[live] + at - start[live])[hit]
+
+
+def remove_repeated_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = substrings.MOST) -> DataFrame:
     """doc_id, n (words), spans (removed words, maximal), kept (the other words, joined by one space, UTF-8) for each row.
 
     A word goes if a window of 50 words that covers it also starts in a document of smaller id. Matches lie within documents and are
     judged on the input. Null text: no words. Null id: taken as smaller than any. Repeated rows (id and text): judged as one document,
-    each returned; if an id comes with several texts, what is found in one goes from all. Texts under 50 words: kept whole. Empty table:
-    no rows. Other columns are not read. Words are compared by 64 hash bits."""
-    return substrings.remove_repeats(docs, substrings.WORDS, key=key, text=text, search=search, most=SHARD_STRETCHES)
+    each returned. An id with several texts: a document for each, in order of the texts' hashes. Texts under 50 words: kept whole. Empty
+    table: no rows. Other columns are not read. Words are compared by 64 hash bits."""
+    return substrings.remove_repeats(docs, substrings.WORDS, search, key=key, text=text, most=most)
 
 
 SQL = r"""

@@ -5,13 +5,14 @@ move many times the input, so suffixes are ordered by most significant digits th
 
 first digit   each window has a canonical anchor: the run of K symbols of least hash in it, leftmost if equal. Equal windows have equal
               anchors at equal places, and a stretch of windows in a row shares one. Stretches are dealt out by their anchor.
-second digit  the stretch with all its symbols. Stretches equal in it are repeated as a whole; the earliest of them stays for the
-              next pass, and only if its anchor has another stretch. An anchor alone ends here: its windows are unique.
-last digit    the single windows of these stretches, to full depth.
+second digit  the stretch with all its symbols (128 hash bits). Stretches equal in it are repeated as a whole: they collapse here, as copies
+              must before anything is gathered. The earliest stays for the next pass, and only if its anchor has another stretch; an
+              anchor alone ends here, as its windows are unique.
+last digits   the stretches that are left travel with their symbols, and the symbols decide: bytes by most-significant-digit passes to
+              full depth (suffixes.py), words by backward search in an FM-index (fmindex.py).
 
-Equal groups after the last digit are exactly the repeated windows. Tasks drop or settle what they can before they send: one
-stretch for each distinct one of a task, so copies never gather in one place. An anchor with many stretches in one task is
-dealt by the second digit instead, with a marker for those who hold the anchor elsewhere."""
+An anchor with many stretches, in one task or in all, would gather in one place: its windows are dealt singly, by the hash of the
+window, and are decided in the same way."""
 
 from __future__ import annotations
 
@@ -31,6 +32,8 @@ from . import common
 GATHER, SPREAD, BUCKET_BYTES, LEAST_BUCKETS, PLACE_BITS = 600_000, 32, 2 << 20, 160, 30
 NO_ID = -(1 << 63)
 PLAIN, SPREAD_OUT, MARKER, KNOWN = 0, 1, 2, 3
+#: Distinct stretches of one anchor from which its windows are dealt singly.
+MOST = 4096
 SCHEMA = "bucket int, blob binary"
 
 
@@ -305,9 +308,28 @@ def rows_of(ids: np.ndarray, doc: np.ndarray):
     return text, row
 
 
+def runs_of(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first .. first + size - 1 of each, one after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+
+
+def with_symbols(bucket, doc, lo, at, size, x):
+    """Stretches (doc, lo, size) with their symbols, x from `at` on, as rows of their buckets. Of size 0: settled already."""
+    if not len(bucket):
+        return
+    order = np.argsort(bucket, kind="stable")
+    b = bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
+    out_b, out = [], []
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        own = order[i:j]
+        out_b.append(int(b[i]))
+        out.append(pack([doc[own], lo[own], size[own]], x[runs_of(at[own], size[own])].tobytes()))
+    yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
+
+
 def window_pass(kind: Kind, n: int) -> Callable:
-    """Texts and what is to be compared in them: single windows (two hashes, doc, lo) by their hash, or the symbols of stretches
-    by their anchor (buckets from n on)."""
+    """Texts and what is to be compared in them, with its symbols: stretches by their anchor, or single windows by their hash."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         batches = []
@@ -323,67 +345,45 @@ def window_pass(kind: Kind, n: int) -> Callable:
                 data = np.concatenate([data[off[i] : off[i + 1]] for i in has])
                 off = np.concatenate([[0], np.cumsum(np.diff(off)[has])])
                 x, at, _ = symbols(data, off, kind)
+                sent = x if kind.words else data
                 text, row = rows_of(ids, doc)
-                one = (at[text] + hi[row] + kind.window <= at[text + 1])  # an id with several texts
-                text, row = text[one], row[one]
                 single = state[row] == 1
                 t, r = text[single], row[single]
                 count = hi[r] - lo[r] + 1
-                start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(at[t] + lo[r], count)
-                of = np.repeat(t, count)
-                one_h = common.Spans(x, common.C2).of(start, start + kind.window).view(np.int64)
-                two_h = common.Spans(x, common.C1).of(start, start + kind.window).view(np.int64)
-                cols = sort_by([one_h, two_h, ids[of], start - at[of]], 0, 1, 2, 3)
-                again = repeated(grouped(cols[0], cols[1]), cols[2], cols[3], kind)
-                # settled here already: told by hash 0
-                cols[0], cols[1] = np.where(again, 0, cols[0]), np.where(again, 0, cols[1])
-                cols = sort_by(cols, 2, 3)
-                batches += dealt(np.where((cols[0] == 0) & (cols[1] == 0), doc_bucket(cols[2], n), spread(cols[0], n)), cols)
+                of, start = np.repeat(t, count), runs_of(at[t] + lo[r], count)
+                one, two = (common.Spans(x, c).of(start, start + kind.window).view(np.int64) for c in (common.C2, common.C1))
+                one, two, d, place = sort_by([one, two, ids[of], start], 0, 1, 2, 3)
+                again = repeated(grouped(one, two), d, place, kind)  # copies within a task collapse before they are sent
+                own = np.searchsorted(at, place, "right") - 1
+                batches += with_symbols(spread(one, n), d, place - at[own], place, np.where(again, 0, kind.window), sent)
                 t, r = text[~single], row[~single]
                 if len(t):
-                    batches += anchored(x, at, ids, t, lo[r], hi[r], kind, n)
+                    # the anchor lies where the least hash of every window of the stretch lies; its own hash deals the stretch out
+                    h = rolled(x, kind.anchor)
+                    low = np.uint64((1 << PLACE_BITS) - 1)
+                    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+                    first = at[t] + lo[r]
+                    kh = h[(least(key, kind.window - kind.anchor + 1)[first] & low).astype(np.int64)].view(np.int64)
+                    batches += with_symbols(anchor_bucket(kh, n), ids[t], lo[r], first, hi[r] - lo[r] + kind.window, sent)
         return pa.Table.from_batches(batches, pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
 
     return run
 
 
-def anchored(x, at, ids, t, lo, hi, kind: Kind, n: int):
-    """Stretches with their symbols, by their anchor."""
-    a, size = at[t] + lo, hi - lo + kind.window
-    whole = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
-    # the anchor lies where the least hash of every window of the stretch lies; its own hash deals the stretch out
-    h = rolled(x, kind.anchor)
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    kh = h[(least(key, kind.window - kind.anchor + 1)[a] & low).astype(np.int64)].view(np.int64)
-    bucket = anchor_bucket(kh, n)
-    end = np.cumsum(size)
-    order = np.argsort(bucket, kind="stable")
-    b = bucket[order]
-    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
-    words = x[whole]
-    out_b, out = [], []
-    for i, j in zip(cut[:-1], cut[1:], strict=True):
-        own = order[i:j]
-        raw = np.concatenate([words[end[k] - size[k] : end[k]] for k in own])
-        out_b.append(n + int(b[i]))
-        out.append(pack([ids[t[own]], lo[own], size[own]], raw.tobytes()))
-    yield pa.RecordBatch.from_arrays([pa.array(out_b, pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
-
-
-def last_pass(kind: Kind, n: int, search: Callable | None) -> Callable:
-    """Repeated windows of a bucket, as (doc, lo, hi, 0) by the documents' buckets."""
+def last_pass(kind: Kind, n: int, search: Callable) -> Callable:
+    """Repeated windows of a bucket, as (doc, lo, hi, 0) by the documents' buckets. search: of stretches (doc, lo, size, symbols, kind)
+    the windows (doc, lo) that also start earlier."""
 
     def run(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() >= n:
-            doc, lo, hi = search(table["blob"], kind)
-        else:
-            one, two, doc, lo = sort_by(stacked(table["blob"], 4), 0, 1, 2, 3)
-            known = (one == 0) & (two == 0)
-            again = known | repeated(grouped(one, two), doc, lo, kind)
-            doc, lo = doc[again], lo[again]
-            hi = lo
-        doc, lo, hi = runs(doc, lo, hi)
+        cols, raw = zip(*(unpack(b.as_buffer(), 3) for b in table["blob"]), strict=True)
+        doc, lo, size = (np.concatenate(c) for c in zip(*cols, strict=True))
+        x = np.frombuffer(b"".join(raw), np.uint64 if kind.words else np.uint8)
+        known = size == 0
+        found = [(doc[known], lo[known])]
+        if not known.all():
+            found.append(search(doc[~known], lo[~known], size[~known], x, kind))
+        doc, lo = (np.concatenate(c) for c in zip(*found, strict=True))
+        doc, lo, hi = runs(doc, lo, lo)
         return pa.Table.from_batches(list(dealt(doc_bucket(doc, n), [doc, lo, hi, np.zeros(len(lo), np.int64)])), pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
 
     return run
@@ -438,14 +438,14 @@ def removal_pass(kind: Kind) -> Callable:
                     kept.append(b" ".join(raw[words[0][w] : words[1][w]] for s, e in zip(edges[::2], edges[1::2], strict=True) for w in range(f + s, f + e)))
                 n.append(size)
                 spans.append([{"start": s, "end": e} for s, e in cut])
-            out.append(pa.RecordBatch.from_arrays([pa.array([None if i == NO_ID else i for i in ids.tolist()], pa.int64()), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n", "spans", "kept"]))
+            out.append(pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n", "spans", "kept"]))
         return pa.Table.from_batches(out, pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]))
 
     return run
 
 
 def spans_pass(kind: Kind) -> Callable:
-    """doc_id and its removed spans, without the texts."""
+    """doc and its removed spans, without the texts."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, lo, hi, state = stacked(table["blob"], 4)
@@ -459,14 +459,28 @@ def spans_pass(kind: Kind) -> Callable:
         doc, lo, hi = doc[first], lo[first], hi[last] + kind.window
         head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], ["start", "end"]))
-        return pa.table({"doc_id": pa.array([None if d == NO_ID else d for d in doc[head].tolist()], pa.int64()), "spans": lists})
+        return pa.table({"doc": pa.array(doc[head]), "spans": lists})
 
     return run
 
 
-def _passes(docs: DataFrame, kind: Kind, key: str, text: str, search: Callable | None, most: int):
+def keyed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """(doc, text) rows, and what the keys stand for. A row's key is its id (null: the least). Only where an id comes with several texts are
+    (id, text) pairs numbered in order, of one id by the text's hash: doc, doc_id, text_hash."""
+    rows = common.keyed_text(docs, key, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"))
+    several = hashed.groupBy("doc_id").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a <> b")
+    if several.isEmpty():
+        return rows.select(F.col("doc_id").alias("doc"), "text"), None
+    order = ["doc_id", "text_hash"]
+    names = hashed.distinct().repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id())
+    names = common.settle(names, "names")
+    return rows.withColumn("text_hash", F.xxhash64("text")).join(names, order).select("doc", "text"), names
+
+
+def _passes(rows: DataFrame, docs: DataFrame, kind: Kind, text: str, search: Callable, most: int):
     n = max(LEAST_BUCKETS, common.input_bytes(docs, text) // BUCKET_BYTES)
-    rows = common.keyed_text(docs, key, text).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = rows.select("doc", F.col("text").cast("binary").alias("text"))
     name = "words" if kind.words else "bytes"
     sent = rows.mapInArrow(first_pass(kind, n), SCHEMA)
     compared = common.settle(sent.groupBy("bucket").applyInArrow(second_pass(kind, n, most), SCHEMA), f"{name}-stretches")
@@ -476,14 +490,27 @@ def _passes(docs: DataFrame, kind: Kind, key: str, text: str, search: Callable |
     return texts, compared.unionAll(found)
 
 
-def remove_repeats(docs: DataFrame, kind: Kind, *, key: str, text: str, search: Callable | None = None, most: int = 0) -> DataFrame:
-    """doc_id, n, spans, kept for each row; see first_pass and on. search: how stretches dealt by anchor are compared, for
-    anchors of up to `most` stretches; by default all are compared by window."""
-    texts, gone = _passes(docs, kind, key, text, search, most)
-    return texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(removal_pass(kind), "doc_id long, n long, spans array<struct<start: long, end: long>>, kept binary")
-
-
-def repeated_spans(docs: DataFrame, kind: Kind, *, key: str, text: str, search: Callable | None = None, most: int = 0) -> DataFrame:
-    """doc_id, spans of the documents with something to remove."""
-    _, gone = _passes(docs, kind, key, text, search, most)
-    return gone.groupBy("bucket").applyInArrow(spans_pass(kind), "doc_id long, spans array<struct<start: long, end: long>>")
+def remove_repeats(docs: DataFrame, kind: Kind, search: Callable, *, key: str, text: str, most: int = MOST) -> DataFrame:
+    """doc_id, n, spans, kept for each row; see first_pass and on."""
+    rows, names = keyed(docs, key, text)
+    texts, gone = _passes(rows, docs, kind, text, search, most)
+    found = texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(removal_pass(kind), "doc_id long, n long, spans array<struct<start: long, end: long>>, kept binary")
+    if names is not None:
+        found = found.withColumnRenamed("doc_id", "doc").join(names.select("doc", "doc_id"), "doc").drop("doc")
+    return found.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n", "spans", "kept")
+
+
+def cut_repeats(docs: DataFrame, kind: Kind, search: Callable, name: str, *, key: str, text: str, most: int = MOST) -> DataFrame:
+    """docs with a column of this name: the removed spans of the row's text, null where there are none. Spans join the rows by their key, so
+    texts are moved only where Spark finds no smaller way."""
+    rows, names = keyed(docs, key, text)
+    _, gone = _passes(rows, docs, kind, text, search, most)
+    doc, doc_id, text_hash = (common.fresh([*docs.columns, name], c) for c in ("doc", "doc_id", "text_hash"))
+    spans = gone.groupBy("bucket").applyInArrow(spans_pass(kind), "doc long, spans array<struct<start: long, end: long>>")
+    own = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)) == F.col(doc_id)
+    if names is not None:
+        spans = spans.join(names, "doc").select(F.col("doc_id").alias(doc_id), F.col("text_hash").alias(text_hash), F.col("spans").alias(name))
+        own = own & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(text_hash))
+    else:
+        spans = spans.select(F.col("doc").alias(doc_id), F.col("spans").alias(name))
+    return docs.join(spans, own, "left").select(*(docs[c] for c in docs.columns), name)

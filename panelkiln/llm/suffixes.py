@@ -9,23 +9,59 @@ from pyspark.sql import functions as F
 
 from . import common, substrings
 
+#: Bytes of a digit.
+DIGIT = 4
 
-def remove_repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def ordered(data: np.ndarray, at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the suffixes of data that start in `at` share their first `depth` bytes with another, by group, and the groups.
+
+    Most-significant-digit passes: each group is sorted by the next digit and cut where it changes; a suffix alone is done. What is left
+    after the last digit is equal in all bytes."""
+    digits = np.ndarray((len(data) - DIGIT + 1,), f">u{DIGIT}", data, strides=(1,))
+    live, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for d in [*range(0, depth - DIGIT, DIGIT), depth - DIGIT]:
+        key = group << 8 * DIGIT | digits[at[live] + d]
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        alone = new[1:] & new[:-1]
+        live, group = live[order][~alone], np.cumsum(new[:-1])[~alone]
+        if not len(live):
+            break
+        group = np.cumsum(np.concatenate([[0], group[1:] != group[:-1]]))
+    return live, group
+
+
+def search(doc, lo, size, data, kind: substrings.Kind):
+    """(doc, lo) of the windows of these stretches that also start earlier."""
+    count = size - kind.window + 1
+    at = substrings.runs_of(np.cumsum(size) - size, count)
+    doc, lo = np.repeat(doc, count), substrings.runs_of(lo, count)
+    live, group = ordered(data, at, kind.window)
+    order = live[np.lexsort((lo[live], doc[live], group))]
+    again = order[substrings.repeated(group, doc[order], lo[order], kind)]
+    return doc[again], lo[again]
+
+
+def remove_repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = substrings.MOST) -> DataFrame:
     """doc_id, n (bytes), spans (removed bytes, maximal), kept (bytes) for each row.
 
     A byte goes if a 100-byte string that covers it also starts earlier: in a document of smaller id, or earlier in its own. Matches
     lie within documents and are judged on the input. Null text: empty. Null id: taken as smaller than any. Repeated rows (id and
-    text): judged as one document, each returned; if an id comes with several texts, what is found in one goes from all. Texts under
-    100 bytes: kept whole. Empty table: no rows. Other columns are not read. Strings are compared by 128 hash bits."""
-    return substrings.remove_repeats(docs, substrings.BYTES, key=key, text=text)
+    text): judged as one document, each returned. An id with several texts: a document for each, in order of the texts' hashes. Texts
+    under 100 bytes: kept whole. Empty table: no rows. Other columns are not read. Runs of windows that are equal as a whole are told
+    by 128 hash bits, all other strings by their bytes."""
+    return substrings.remove_repeats(docs, substrings.BYTES, search, key=key, text=text, most=most)
 
 
 def cut_repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated bytes gone from the text, and with them what is left of a character that lost one. A null text stays
-    null; all rows and columns stay. The spans join the rows by id, so texts are moved only where Spark finds no smaller way."""
-    spans = substrings.repeated_spans(docs, substrings.BYTES, key=key, text=text)
-    spans = spans.select(F.col("doc_id").alias("_cut_doc"), F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))).alias("_cut"))
-    joined = docs.join(spans, F.col(key).cast("long").eqNullSafe(F.col("_cut_doc")), "left").select(*docs.columns, "_cut")
+    null; all rows and columns stay, whatever the columns' names."""
+    cut = common.fresh(docs.columns, "cut")
+    joined = substrings.cut_repeats(docs, substrings.BYTES, search, cut, key=key, text=text)
+    edges = F.flatten(F.transform(cut, lambda s: F.array(s["start"], s["end"])))
+    joined = joined.withColumn(cut, edges)
     at = docs.columns.index(text)
 
     def run(batches):

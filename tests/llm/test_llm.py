@@ -272,7 +272,20 @@ def test_suffix_dedup(spark, docs, none, rows, monkeypatch, spread):
     assert suffixes.remove_repeated_bytes(none).count() == 0
 
 
+def test_digits_order_suffixes():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 99, 4000).astype(np.uint8)
+    data[2000:2600] = data[100:700]
+    at = np.arange(0, len(data) - 29)
+    live, group = suffixes.ordered(data, at, 30)
+    raw, by = data.tobytes(), defaultdict(list)
+    for p in at:
+        by[raw[p : p + 30]].append(p)
+    assert sorted(map(sorted, (live[group == g].tolist() for g in set(group.tolist())))) == sorted(v for v in by.values() if len(v) > 1)
+
+
 def test_cut_keeps_rows_and_columns(spark, docs, rows):
+    docs = docs.withColumnsRenamed({"fp": "cut", "bucket": "doc"})
     cut = suffixes.cut_repeated_bytes(docs)
     assert cut.columns == docs.columns and cut.count() == len(rows) + 1
     got, want = by_id(cut), brute_bytes(rows)
@@ -280,21 +293,48 @@ def test_cut_keeps_rows_and_columns(spark, docs, rows):
         assert got[i].text == (None if t is None else want[i][3].decode(errors="ignore"))
 
 
-@pytest.mark.parametrize("most", [0, 4096])
-def test_substring_dedup(spark, docs, none, rows, most):
-    found = substrings.remove_repeats(docs, substrings.WORDS, key="doc_id", text="text", search=fmindex.search, most=most)
+@pytest.mark.parametrize("most, spread", [(0, 32), (4096, 1), (4096, 32)])
+def test_substring_dedup(spark, docs, none, rows, monkeypatch, most, spread):
+    monkeypatch.setattr(substrings, "SPREAD", spread)
+    found = fmindex.remove_repeated_words(docs, most=most)
     assert found.count() == len(rows) + 1
     got = by_id(found)
     for i, want in brute_words(rows).items():
         assert (got[i].n, removed(got[i].spans), bytes(got[i].kept)) == want, i
-    assert fmindex.remove_repeated_words(none).count() == 0
+    if most and spread > 1:
+        assert fmindex.remove_repeated_words(none).count() == 0
 
 
-def test_fm_index_counts_patterns():
+@pytest.mark.parametrize("most", [0, 4096])
+def test_the_index_decides(spark, docs, rows, monkeypatch, most):
+    """Without what the backward search and the last digits find, passages shared in part stay, however windows are dealt."""
+    nothing = lambda doc, lo, size, x, kind: (doc[:0], lo[:0])
+    for kind, brute in ((substrings.WORDS, brute_words), (substrings.BYTES, brute_bytes)):
+        got = by_id(substrings.remove_repeats(docs, kind, nothing, key="doc_id", text="text", most=most))
+        want = brute(rows)
+        assert sum(removed(r.spans) for r in got.values()) < sum(w[1] for w in want.values())
+
+
+def test_spans_of_one_id_on_several_texts(spark):
+    """What is found in one text of an id isn't cut from another."""
+    rng = random.Random(20)
+    a, b = prose(rng, 80), prose(rng, 80)
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (None, b[:50])], "doc_id long, text string")
+    for found in (suffixes.remove_repeated_bytes(df), fmindex.remove_repeated_words(df)):
+        got = Counter((r.doc_id, bytes(r.kept).decode()) for r in found.collect())
+        assert got == {(1, a): 1, (2, ""): 1, (2, b): 2, (None, b[:50]): 1}
+    got = Counter((r.doc_id, r.text) for r in suffixes.cut_repeated_bytes(df).collect())
+    assert got == {(1, a): 1, (2, ""): 1, (2, b): 2, (None, b[:50]): 1}
+
+
+def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(3)
     text = np.concatenate([np.append(rng.integers(1, 4, 120), 0) for _ in range(5)])
+    text[300:340] = text[10:50]
     index = fmindex.Index(text, 4, 6)
     s = "".join(map(str, text))
+    suffixes_ = sorted(range(len(s)), key=lambda i: s[i:])
+    assert index.locate(np.arange(1, index.n)).tolist() == suffixes_ and index.locate(np.array([0])).tolist() == [len(s)]
     for _ in range(200):
         at = int(rng.integers(0, len(text) - 6))
         pattern = text[at : at + 6]
@@ -304,6 +344,8 @@ def test_fm_index_counts_patterns():
         for c in pattern[::-1]:
             a, z = index.back(np.array([c]), a, z)
         assert z[0] - a[0] == len(re.findall(f"(?={''.join(map(str, pattern))})", s))
+        a, z = index.shorter(a)
+        assert z[0] - a[0] == len(re.findall(f"(?={''.join(map(str, pattern[:-1]))})", s))
 
 
 def test_packed_columns():
