@@ -104,13 +104,16 @@ def words_of(text: str, spans):
             yield m.start(), m.end()
 
 
-def occurrences(text: str, spans, wanted) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) for every entity of the text and every place of every term with wanted(entity, term)."""
-    entities, places = {entity_of(k, v) for _, k, _, v in spans}, {}
+def occurrences(text: str, spans, entity, term, wanted) -> list[tuple[int, int, int, int]]:
+    """(entity, term, start, end) for every entity of the text and every place of every term with wanted(entity, term); entity() and
+    term() say which can matter at all."""
+    entities, places = set(filter(entity, {entity_of(k, v) for _, k, _, v in spans})), {}
+    if not entities:
+        return []
     for s, e in words_of(text, spans):
-        if t := term_of(text[s:e]):
+        if (t := term_of(text[s:e])) and term(h := hashed(t)):
             lead = e - s - len(text[s:e].lstrip(_EDGE))
-            places.setdefault(hashed(t), []).append((s + lead, s + lead + len(text[s:e].strip(_EDGE))))
+            places.setdefault(h, []).append((s + lead, s + lead + len(text[s:e].strip(_EDGE))))
     return sorted((x, t, s, e) for x in entities for t, own in places.items() if wanted(x, t) for s, e in own)
 
 
@@ -248,10 +251,11 @@ def revealing(rows: DataFrame, found: DataFrame, *, support: int, disclosed: flo
 
 def marks(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """m_doc, m_rk, terms: every place of a term in a document that holds an entity which the term discloses."""
-    sent = common.shared(rows.sparkSession, bit_table(pairs.select(F.expr("entity ^ shiftright(term, 1)").alias("key"))))
+    keys = (F.expr("entity ^ shiftright(term, 1)"), F.col("entity"), F.col("term"))
+    sent = common.shared(rows.sparkSession, [bit_table(pairs.select(k.alias("key"))) for k in keys])
 
     def run(batches):
-        bit = sent.value
+        bit, of_entity, of_term = sent.value
         for b in batches:
             if not bit.any():
                 continue
@@ -259,7 +263,7 @@ def marks(rows: DataFrame, pairs: DataFrame) -> DataFrame:
             for i, t in enumerate(b.column(1)):
                 t = t.as_py()
                 spans = base_spans(t)
-                got = occurrences(t, spans, lambda e, w: has_bit(bit, pair_key(e, w))) if spans else []
+                got = occurrences(t, spans, lambda e: has_bit(of_entity, e), lambda w: has_bit(of_term, w), lambda e, w: has_bit(bit, pair_key(e, w))) if spans else []
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([doc[i]] * len(got), pa.int64()), pa.array([rk[i]] * len(got), pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*got, strict=True))], ["m_doc", "m_rk", "entity", "term", "start", "end"])
 
@@ -288,22 +292,34 @@ def span_string(base, terms):
     return F.array_join(F.transform(every, lambda s: F.concat_ws(":", F.get(kind, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def generalised(text: str, base, terms) -> str:
+    """text with each span replaced by its kind in brackets; spans that overlap are replaced together, by the first one's kind."""
+    marks = sorted([(m["start"], m["kind"], m["end"]) for m in base] + [(m["start"], len(KINDS), m["end"]) for m in terms])
+    out, at = [], 0
+    for a, k, z in marks:
+        if a >= at:
+            out += [text[at:a], f"[{(*KINDS, TERM)[k].upper()}]"]
+        at = max(at, z)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, *, support: int = SUPPORT, disclosed: float = DISCLOSED, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with each span of the text replaced by its kind in brackets: entities and disclosing terms alike are generalised.
-    Overlapping spans are replaced together, by the first one's kind. A null text stays null; all columns and rows stay."""
+    """docs with each span of the text replaced by its kind in brackets: entities and disclosing terms alike are generalised. A null text
+    stays null; all columns and rows stay, whatever the columns' names."""
     found = find(docs, support=support, disclosed=disclosed, key=key, text=text)
-    spans = found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias("_pii_doc"), F.col("rk").alias("_pii_rk"), F.col("base").alias("_pii_base"), F.col("terms").alias("_pii_terms")).dropDuplicates(["_pii_doc", "_pii_rk"])
-    own = docs.withColumn("_pii_rk0", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = own.join(spans, F.col(key).cast("long").eqNullSafe(F.col("_pii_doc")) & (F.col("_pii_rk0") == F.col("_pii_rk")), "left")
-    t = F.col(text)
-    marks = F.array_sort(F.concat(F.transform("_pii_base", lambda s: F.struct(s["start"].alias("a"), s["kind"].alias("k"), s["end"].alias("z"))), F.transform("_pii_terms", lambda s: F.struct(s["start"].alias("a"), F.lit(len(KINDS)).alias("k"), s["end"].alias("z")))))
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in (*KINDS, TERM)))
-    state = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc, m):
-        fresh = m["a"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, (m["a"] - acc["at"]).cast("int")), F.get(names, m["k"]))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], m["z"]).alias("at"))
-
-    done = F.aggregate(marks, state, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"].cast("int") + 1, F.lit(2**31 - 1))))
-    return joined.withColumn(text, F.when(F.col("_pii_base").isNull(), t).otherwise(done)).select(*docs.columns)
+    doc, rk, base, terms = (common.fresh(docs.columns, c) for c in ("doc", "rk", "base", "terms"))
+    spans = found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias(doc), F.col("rk").alias(rk), F.col("base").alias(base), F.col("terms").alias(terms)).dropDuplicates([doc, rk])
+    own = F.col(key).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(rk))
+    joined = docs.join(spans, own, "left").select(*(docs[c] for c in docs.columns), base, terms)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            texts, bases = b.column(at).to_pylist(), b.column(b.num_columns - 2)
+            for i in np.flatnonzero(bases.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                if texts[i] is not None:
+                    texts[i] = generalised(texts[i], bases[i].as_py(), b.column(b.num_columns - 1)[i].as_py())
+            cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-2])
+
+    return joined.mapInArrow(run, docs.schema)

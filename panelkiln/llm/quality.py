@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled rows that the classifier is fitted on at most (those of least hash of the id), and the part of them held out for
-#: calibration; slots of each feature family (words, word pairs, 4-byte runs); rounds and rate of the fit; least probability (junk lies
-#: far below it, and short clean texts, with little evidence, above).
-MAX_LABELLED, HELD, SLOTS, ROUNDS, RATE, KEEP_FROM = 3_000, 4, 1 << 16, 80, 0.5, 0.25
+#: calibration; slots of each feature family (words, word pairs, runs of four characters), and how many of these a labelled text is
+#: fitted by at most (its most frequent ones); rounds and rate of the fit; least probability (see measure()).
+MAX_LABELLED, HELD, SLOTS, MAX_SLOTS, ROUNDS, RATE, KEEP_FROM = 3_000, 4, 1 << 16, 8_192, 80, 0.5, 0.25
 FAMILIES, SCALE, FIXED = 3, 30.0, 1 << 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -33,12 +33,10 @@ def features(data: np.ndarray, off: np.ndarray, words):
     yield (hashes >> cut).astype(np.int64), first[:-1], first[1:]
     pair = common.mix(hashes[:-1] * common.C1 + hashes[1:]) if len(hashes) > 1 else hashes[:0]
     yield (pair >> cut).astype(np.int64), first[:-1], np.maximum(first[1:] - 1, first[:-1])
-    if len(data) > 3:
-        four = np.ndarray((len(data) - 3,), "<u4", data.tobytes(), strides=(1,))
-        runs = ((four * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64)
-    else:
-        runs = np.zeros(0, np.int64)
-    yield runs, np.minimum(off[:-1], len(runs)), np.minimum(np.maximum(off[1:] - 3, off[:-1]), len(runs))
+    heads = np.flatnonzero((data & 0xC0) != 0x80)  # where characters begin
+    before = np.searchsorted(heads, off)
+    runs = common.Spans(data.astype(np.uint64) + np.uint64(1), common.C2).of(heads[:-3], np.append(heads[4:], len(data))) if len(heads) > 3 else hashes[:0]
+    yield (runs >> cut).astype(np.int64), np.minimum(before[:-1], len(runs)), np.minimum(np.maximum(before[1:] - 3, before[:-1]), len(runs))
 
 
 def between(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,7 +100,7 @@ class Classifier:
 
 
 def _rows_of_features(batches):
-    """label, fold, slots and relative frequencies of each labelled text: FAMILIES * SLOTS entries at most."""
+    """label, fold, slots and relative frequencies of each labelled text: FAMILIES * MAX_SLOTS entries at most."""
     for b in batches:
         for a, z, data, off in common.text_chunks(b, 0):
             words = chunk_words(data, off)
@@ -112,6 +110,9 @@ def _rows_of_features(batches):
                 s, v = [], []
                 for k, (slot, lo, hi) in enumerate(per):
                     u, c = np.unique(slot[lo[i] : hi[i]], return_counts=True)
+                    if len(u) > MAX_SLOTS:
+                        best = np.sort(np.lexsort((u, -c))[:MAX_SLOTS])
+                        u, c = u[best], c[best]
                     s.append(u + k * SLOTS)
                     v.append(SCALE * c / max(1, hi[i] - lo[i]))
                 slots.append(np.concatenate(s).astype("<i4").tobytes())
@@ -126,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED,
     used = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     used = used.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(rank, "doc_id").limit(max_labelled)
     used = used.select("doc_id", "label", F.pmod(rank, F.lit(HELD)).cast("int").alias("fold"), rank.alias("rank"))
-    rows = common.keyed_text(docs).join(F.broadcast(used), "doc_id").select("text", "label", "fold", "rank")  # max_labelled rows at most
+    # max_labelled rows at most; an id that stands for several texts counts once, with the one of least hash
+    rows = common.keyed_text(docs).join(F.broadcast(used), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "label", "fold", "rank"), F.xxhash64("text")).alias("x")).select("x.*")
     got = sorted(rows.mapInArrow(_rows_of_features, "label int, fold int, rank long, slots binary, values binary").collect(), key=lambda r: (r["rank"], bytes(r["slots"])))
     weights = np.zeros(FAMILIES * SLOTS)
     y = np.array([r["label"] for r in got], float)
@@ -215,5 +217,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LAB
                 good = (n_words >= 20) & (100 * repeat <= 30 * n_words) & (own.probability(own.scores(data, off, words)) >= keep_from)
                 yield b.slice(a, z - a).filter(pa.array(good))
 
-    plain = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    plain = docs.withColumn(common.fresh(docs.columns, "whole"), F.coalesce(F.col(text), F.lit("")))
     return plain.mapInArrow(run, plain.schema).select(*docs.columns)
+
+
+def measure(judged: DataFrame, labels: DataFrame, *, label: str = "quality") -> DataFrame:
+    """kept_good, kept_bad, lost_good, lost_bad: rows of judge() by their labels, over the fold whose labels didn't fit the weights
+    (its two calibration numbers aside). Precision and recall follow."""
+    held = labels.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(HELD)) == 0)).groupBy("doc_id").agg(F.min(label).alias("label"))
+    rows = judged.join(held, "doc_id")
+    many = lambda kept, good: F.coalesce(F.sum(((F.col("kept") == kept) & (F.col("label") == good)).cast("long")), F.lit(0))
+    return rows.agg(many(True, 1).alias("kept_good"), many(True, 0).alias("kept_bad"), many(False, 1).alias("lost_good"), many(False, 0).alias("lost_bad"))

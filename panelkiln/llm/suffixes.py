@@ -77,3 +77,30 @@ def cut_repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
     return joined.mapInArrow(run, docs.schema)
+
+
+#: Bytes as pairs of hexadecimal digits.
+SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(CAST(length(x) // 2 - 99 AS BIGINT))) AS i, x FROM d WHERE length(x) >= 200
+), h AS (
+  SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS k FROM s
+), g AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM h) WHERE r > 1
+), e AS (
+  SELECT doc_id, i, CASE WHEN i <= max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100 THEN 0 ELSE 1 END AS new FROM g
+), f AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e
+), c AS (
+  SELECT doc_id, span, min(i) AS a, max(i) + 100 AS z FROM f GROUP BY doc_id, span
+), q AS (
+  SELECT c.doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY c.doc_id ORDER BY a), 0) AS before, substr(d.x, 2 * coalesce(lag(z) OVER (PARTITION BY c.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(z) OVER (PARTITION BY c.doc_id ORDER BY a), 0))) AS part FROM c JOIN d USING (doc_id)
+), t AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(part, '' ORDER BY a) AS parts FROM q GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(parts, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""

@@ -10,8 +10,9 @@ from pyspark.sql import Window
 
 from . import common
 
-#: Vectors in a block of candidates and in a block of queries; parts each vector is cut into, each with a score list of its own.
-ROWS, QUERIES, PARTS = 4096, 1024, 4
+#: Vectors in a block of rows; queries that a task scores at once; bytes of the queries that are broadcast at once; part of the
+#: blocks whose lists give the cutoff.
+ROWS, QUERIES, TURN_BYTES, FIRST = 4096, 512, 8 << 20, 16
 
 
 def quantised(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
@@ -22,134 +23,148 @@ def quantised(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("q").alias("q"))
 
 
-def blocks(rows: DataFrame, size: int, n: int, width: int) -> DataFrame:
-    """block, ids (64-bit), data (64-bit, width to each row; short vectors end in zeros): about size rows in a block."""
-    count = max(1, -(-n // size))
+def blocks(rows: DataFrame, n: int, width: int) -> DataFrame:
+    """block, first (whether its lists give the cutoff), ids, data (16-bit where the values fit, else 64-bit; short vectors end in zeros).
 
-    def pack(tables: pa.Table) -> pa.Table:
-        q = pa.concat_arrays(tables["q"].chunks)
-        ids = tables["vec_id"].to_numpy()
-        sizes = np.diff(q.offsets.to_numpy())
+    Rows alike in the signs of their first components share blocks, about ROWS to each, so that a block's bounds are tight. A pattern of
+    signs that many rows have is cut by their ids, so no block grows with the hottest one."""
+    bits = min(width, max(0, (n // ROWS).bit_length() - 1), 16)
+    sign = F.lit(0).cast("long")
+    for i in range(bits):
+        sign = F.shiftleft(sign, 1).bitwiseOR((F.coalesce(F.get("q", F.lit(i)), F.lit(0)) < 0).cast("long"))
+    signed = rows.withColumn("sign", sign)
+    many = signed.groupBy("sign").agg(F.ceil(F.count("*") / ROWS).alias("parts"))  # 2 ** 16 rows at most
+    dealt = signed.join(F.broadcast(many), "sign").withColumn("block", F.xxhash64("sign", F.pmod(F.xxhash64("vec_id"), F.col("parts"))))
+
+    def pack(t: pa.Table) -> pa.Table:
+        q = pa.concat_arrays(t["q"].chunks)
+        ids, sizes = t["vec_id"].to_numpy(), np.diff(q.offsets.to_numpy())
         data = np.zeros((len(ids), width), np.int64)
         data[np.arange(width)[None, :] < sizes[:, None]] = q.flatten().to_numpy()
         order = np.argsort(ids, kind="stable")
-        return pa.table({"block": pa.array([tables["block"][0].as_py()], pa.int32()), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "data": pa.array([data[order].astype("<i8").tobytes()], pa.binary())})
+        small = np.abs(data).max(initial=0) < 1 << 15
+        return pa.table({"block": pa.array([t["block"][0].as_py()]), "ids": pa.array([ids[order].astype("<i8").tobytes()], pa.binary()), "data": pa.array([data[order].astype("<i2" if small else "<i8").tobytes()], pa.binary())})
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, data binary")
+    return dealt.select("block", "vec_id", "q").groupBy("block").applyInArrow(pack, "block long, ids binary, data binary")
 
 
-def _open(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+def opened(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, "<i8")
-    x = np.frombuffer(data, "<i8").reshape(len(i), width)
-    return i, x
+    return i, np.frombuffer(data, f"<i{len(data) // (len(i) * width)}" if len(i) and width else "<i8").reshape(len(i), width).astype(np.int64)
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole-number products; by floating point where it is exact."""
-    if a.size and b.size and np.abs(a).max() * float(np.abs(b).max()) * max(1, a.shape[1]) < 2**52:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
+def scores(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Products in floating point, and by how much they may be off: not at all where all sums are whole numbers it holds."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    kind = np.float32 if most < 2**24 else np.float64
+    off = 0.0 if most < 2**53 else most * q.shape[1] * 2.0**-52
+    return q.astype(kind) @ x.astype(kind).T, off
 
 
-def _partial(q: np.ndarray, x: np.ndarray, parts: int) -> np.ndarray:
-    cuts = np.linspace(0, q.shape[1], parts + 1).astype(int)
-    return np.stack([_product(q[:, a:b], x[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+def bound(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each query what no row of a block exceeds: from the least and greatest value of each component."""
+    most = np.maximum(q, 0).astype(float) @ x.max(0).astype(float) + np.minimum(q, 0).astype(float) @ x.min(0).astype(float)
+    return most + np.abs(q).sum(1) * float(np.abs(x).max(initial=0)) * 2.0**-40  # rounding
 
 
-def _rows(query, vec, score):
-    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+def kth(p: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best of each row; -inf where there are fewer."""
+    return -np.partition(-p, k - 1, axis=1)[:, k - 1].astype(float) if p.shape[1] >= k else np.full(len(p), -np.inf)
 
 
-def _tops(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+def best_of_block(qi, q, vi, x, k: int, cut: np.ndarray):
+    """(query, row, exact score) of a block's rows that reach the query's cutoff, the k best of each at most (ties to the lesser id).
+    Without a cutoff the block's own k-th best score is one, or what is surely below it."""
+    p, off = scores(q, x)
+    p = np.where(qi[:, None] == vi[None, :], -np.inf, p)
+    free = ~np.isfinite(cut)
+    cut = cut.copy()
+    cut[free] = kth(p[free], k) - off if free.any() else cut[free]
+    a, v = np.nonzero((p >= (cut - off)[:, None]) & np.isfinite(p))
+    exact = np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 100_000]], x[v[i : i + 100_000]]) for i in range(0, len(a), 100_000)] or [np.zeros(0, np.int64)])
+    fit = exact >= cut[a]
+    a, v, exact = a[fit], v[fit], exact[fit]
+    order = np.lexsort((vi[v], -exact, a))
+    a, v, exact = a[order], v[order], exact[order]
+    few = np.arange(len(a)) - np.searchsorted(a, a, "left") < k
+    return qi[a[few]], vi[v[few]], exact[few]
+
+
+def some(n: int):
+    return (slice(i, min(n, i + QUERIES)) for i in range(0, n, QUERIES))
 
 
-def search(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, key: str = "vec_id", vector: str = "embedding", parts: int = PARTS) -> DataFrame:
+SCHEMA = "query_id long, vec_id long, score long"
+
+
+def search(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest scores over all other rows, ties to the smaller vec_id.
 
-    Queries are the rows whose id is divisible by `every`. Query blocks meet row blocks; within such a pair each of the `parts`
-    slices of the dimensions has its own list of partial scores.
-    1. Each slice gives its k best rows; their exact scores are gathered, and the k-th best of a query is its safe cutoff.
-    2. The cutoff goes to all blocks (with the query block, so it is never one large broadcast). A row whose score reaches it must,
-       in some slice, exceed that slice's least partial score by a `parts`-th of the cutoff's excess over the sum of these: only
-       such rows are collected, with the slices that are known.
-    3. Where the known slices and the bounds of the others can still reach the cutoff, the rest is resolved exactly.
+    Queries are the rows whose id is divisible by `every`. They are broadcast in turns of TURN_BYTES to the blocks of rows, which stay where
+    they are. In each turn:
+    1. One block in FIRST gives its own list, the k best rows of each query. The k-th best of these lists together is the query's cutoff:
+       no lesser score can be among the k best of all.
+    2. The cutoffs, two numbers to a query, are broadcast. A block whose bound lies under all of them is skipped; of the others the
+       entries that reach the cutoff are collected, k of a query at most.
+    3. What floating point can't hold exactly is resolved in whole numbers before it is compared with the cutoff.
 
     Null vectors, null or non-finite components, null ids: no part. Vectors of unlike length: missing components are 0. Repeated
     rows: an id counts once, with its least vector. Empty table: no rows. Other columns are not read."""
+    spark = vectors.sparkSession
     rows = common.settle(quantised(vectors, key, vector, scale), "vectors")
     n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
     asked = rows.where(F.col("vec_id") % every == 0)
-    n_asked = asked.count()
-    n_query_blocks = max(1, -(-n_asked // QUERIES))
-    query_blocks = common.settle(blocks(asked, QUERIES, n_asked, width).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), "queries")
-    n_row_blocks = max(1, -(-n // ROWS))
-    row_blocks = common.settle(blocks(rows, ROWS, n, width).withColumnRenamed("block", "r_block"), "rows")
-    # a task for each pair of blocks, found by an equality join of block numbers
-    pairs = row_blocks.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-
-    def met(queries: DataFrame) -> DataFrame:
-        return queries.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_row_blocks - 1)))).join(pairs, ["q_block", "r_block"])
-
-    def first(batches):
-        for b in batches:
-            for q_ids, q_data, ids, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                (qi, q), (vi, x) = _open(q_ids, q_data, width), _open(ids, data, width)
-                p = _partial(q, x, parts)
-                whole = p.sum(0)
-                most = min(k + 1, len(vi))
-                near = np.argpartition(-p, most - 1, axis=2)[:, :, :most] if most < len(vi) else np.broadcast_to(np.arange(len(vi)), (parts, len(qi), len(vi)))
-                near = near.transpose(1, 0, 2).reshape(len(qi), -1)
-                srt = np.sort(near, axis=1)
-                new = np.ones(srt.shape, bool)
-                new[:, 1:] = srt[:, 1:] != srt[:, :-1]
-                new &= qi[:, None] != vi[srt]
-                a, c = np.nonzero(new)
-                v = srt[a, c]
-                yield _rows(qi[a], vi[v], whole[a, v])
-
-    schema = "query_id long, vec_id long, score long"
-    gathered = _tops(met(query_blocks).select("q_ids", "q_data", "ids", "data").mapInArrow(first, schema), k)
-    cut = gathered.groupBy("query_id").agg(F.min(F.when(F.col("rank") == k, F.col("score"))).alias("cut"))
-
-    # the cutoffs of a query block, in a row with it
-    places = query_blocks.select("q_block", "q_ids")
-
-    def ids_of(batches):
-        for b in batches:
-            for block, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                i = np.frombuffer(ids, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), block, np.int32)), pa.array(i)], ["q_block", "query_id"])
-
-    by_block = places.mapInArrow(ids_of, "q_block int, query_id long").join(cut, "query_id", "left")
-    cuts = by_block.groupBy("q_block").agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "cut"))), lambda s: s["cut"]).alias("cuts"))  # QUERIES to a block or so
-    armed = common.settle(query_blocks.join(cuts, "q_block"), "cutoffs")
-
-    def last(batches):
-        for b in batches:
-            for q_ids, q_data, cuts, ids, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                (qi, q), (vi, x) = _open(q_ids, q_data, width), _open(ids, data, width)
-                p = _partial(q, x, parts)
-                least = p.min(2)  # parts x queries
-                known = np.array([c is not None for c in cuts])
-                cutoff = np.array([c or 0 for c in cuts], np.int64)
-                each = -(-(cutoff - least.sum(0)) // parts)  # what some slice must give above its least, rounded up
-                high = p - least[:, :, None] >= each[None, :, None]
-                some = high.any(0) | ~known[:, None]
-                some &= qi[:, None] != vi[None, :]
-                a, v = np.nonzero(some)
-                seen, own, low = high[:, a, v], p[:, a, v], least[:, a]
-                bound = np.where(seen, own, low + np.maximum(each[a] - 1, 0)).sum(0)
-                alive = ~known[a] | (bound >= cutoff[a])
-                a, v = a[alive], v[alive]
-                score = p[:, a, v].sum(0)
-                fit = ~known[a] | (score >= cutoff[a])
-                yield _rows(qi[a[fit]], vi[v[fit]], score[fit])
-
-    found = met(armed).select("q_ids", "q_data", "cuts", "ids", "data").mapInArrow(last, schema)
-    return _tops(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    turns = max(1, -(-asked.count() * max(1, width) * 8 // TURN_BYTES))
+    row_blocks = common.settle(blocks(rows, n, width), "rows")
+    first_blocks = row_blocks.where(F.pmod(F.xxhash64("block"), F.lit(FIRST)) == 0)
+    found = None
+    for turn in range(turns):
+        own = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(turns)) == turn).orderBy("vec_id").toArrow()  # about TURN_BYTES
+        qi = own["vec_id"].to_numpy().astype(np.int64)
+        q = np.zeros((len(qi), width), np.int64)
+        for i, x in enumerate(own["q"]):
+            q[i, : len(x)] = x.values.to_numpy()
+        if not len(qi):
+            continue
+        sent = common.shared(spark, (qi, q))
+
+        def lists(batches, sent=sent):
+            qi, q = sent.value
+            for b in batches:
+                for ids, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    vi, x = opened(ids, data, width)
+                    for part in some(len(qi)):
+                        p, off = scores(q[part], x)
+                        p = np.where(qi[part, None] == vi[None, :], -np.inf, p - off)
+                        few = min(k, p.shape[1])
+                        top = -np.partition(-p, few - 1, axis=1)[:, :few].astype(float).ravel()
+                        at, real = np.repeat(np.arange(part.start, part.stop), few), np.isfinite(top)
+                        yield pa.RecordBatch.from_arrays([pa.array(at[real]), pa.array(np.floor(top[real]).astype(np.int64))], ["query", "score"])
+
+        best = Window.partitionBy("query").orderBy(F.desc("score"))
+        listed = first_blocks.select("ids", "data").mapInArrow(lists, "query long, score long").withColumn("rank", F.row_number().over(best))
+        cuts = np.full(len(qi), -np.inf)
+        for r in listed.where(F.col("rank") == k).select("query", "score").toArrow().to_batches():  # a number for each query of the turn
+            cuts[r.column(0).to_numpy()] = r.column(1).to_numpy()
+        sent_cuts = common.shared(spark, cuts)
+
+        def collect(batches, sent=sent, sent_cuts=sent_cuts):
+            (qi, q), cut = sent.value, sent_cuts.value
+            for b in batches:
+                for ids, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    vi, x = opened(ids, data, width)
+                    for part in some(len(qi)):
+                        may = part.start + np.flatnonzero(bound(q[part], x) >= cut[part])
+                        if len(may):
+                            cols = best_of_block(qi[may], q[may], vi, x, k, cut[may])
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+
+        one = row_blocks.select("ids", "data").mapInArrow(collect, SCHEMA)
+        found = one if found is None else found.unionAll(one)
+    if found is None:
+        found = spark.createDataFrame([], SCHEMA)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 SQL = """
