@@ -22,7 +22,7 @@ def sdiv(d: str, a: str, b: str) -> str:
 
 def slog(d: str, x: str) -> str:
     """Logarithm: of 0 minus infinity, of less missing. Snapped, as mathematics libraries differ in the last bit."""
-    return f"(CASE WHEN {x} > 0 THEN {snapped(d, f'ln({x})')} WHEN {x} = 0 THEN {infinity(d, '-')} END)"
+    return f"(CASE WHEN {x} > 0 THEN {snapped(d, f'ln({x})', f'abs(ln({x}))')} WHEN {x} = 0 THEN {infinity(d, '-')} END)"
 
 
 def spow(d: str, b: str, e: str) -> str:
@@ -65,8 +65,20 @@ def indicator(d: str, c: str) -> str:
     return f"(CASE WHEN {c} THEN {number(1)} ELSE {number(0)} END)"
 
 
-def snapped(d: str, x: str, digits: int = 10) -> str:
-    """x to so many decimals, so that ties don't hang on the order in which a sum was formed; no minus zero."""
+def decimals(d: str, x: str, digits: int) -> str:
+    """x to so many decimals, for a result that is compared; no minus zero."""
     scale = f"1E{digits}"
     whole = f"rint({x} * {scale})" if d == "spark" else f"round_even({x} * {scale}, 0)"
     return f"({whole} / {scale} + {number(0)})"
+
+
+#: Binary places that a value keeps below the magnitude it came from: some ten decimal digits.
+PLACES = 33
+
+
+def snapped(d: str, x: str, of: str) -> str:
+    """x to a grid that is PLACES binary places finer than the magnitude `of` of what it was formed from, so that ties don't hang on the order
+    in which a sum was formed, however small or large its terms are. The step is a power of 2, so the grid is exact; no minus zero."""
+    step = f"pow(2E0, floor(log2({of})) - {PLACES}E0)"
+    round_ = "rint({})" if d == "spark" else "round_even({}, 0)"
+    return f"(CASE WHEN {of} > 1E-290 AND {of} < 1E290 THEN {round_.format(f'{x} / {step}')} * {step} + {number(0)} ELSE {x} END)"

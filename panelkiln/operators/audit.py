@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
+
 
 def counts(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.countDistinct("permno").alias("n_permno"), F.countDistinct("date").alias("n_dates"), F.min("date").cast("string").alias("date_min"), F.max("date").cast("string").alias("date_max"))
@@ -53,7 +55,9 @@ def segment_counts(df: DataFrame, *, max_gap_days: int) -> DataFrame:
 def difference(df: DataFrame, a: Column, b: Column) -> DataFrame:
     """n, median_abs, p99_abs, share_lt_1e8, share_lt_1e4 of |a - b|."""
     d = df.select(F.abs(a - b).alias("d")).where("d is not null")
-    return d.agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("median_abs"), F.percentile("d", F.lit(0.99)).alias("p99_abs"), F.avg((F.col("d") < 1e-8).cast("double")).alias("share_lt_1e8"), F.avg((F.col("d") < 1e-4).cast("double")).alias("share_lt_1e4"))
+    middle, high = quantiles(d, ["d"], (0.5, 0.99))["d"]
+    number = lambda x: F.lit(x).cast("double")
+    return d.agg(F.count("*").alias("n"), F.max(number(middle)).alias("median_abs"), F.max(number(high)).alias("p99_abs"), F.avg((F.col("d") < 1e-8).cast("double")).alias("share_lt_1e8"), F.avg((F.col("d") < 1e-4).cast("double")).alias("share_lt_1e4"))
 
 
 def return_identity(df: DataFrame) -> DataFrame:

@@ -24,8 +24,8 @@ def pearson(x: str, y: str) -> Column:
     return F.when((sx > 1e-15) & (sy > 1e-15), F.covar_samp(x, y) / (sx * sy))
 
 
-def daily_ic(preds: DataFrame, *, keys=("date",), least: int = 3, guard_y: bool = False) -> DataFrame:
-    """keys and ic: Spearman correlation of y and yhat of each date; null with fewer than `least` rows, or with a constant yhat (or y).
+def daily_ic(preds: DataFrame, *, keys=("date",), least: int = 3) -> DataFrame:
+    """keys and ic: Spearman correlation of y and yhat of each date; null with fewer than `least` rows, or with a constant yhat or y.
     The variants of the reports differ in these guards only. Ranks of each side are sorted within the date, one exchange in all."""
     # pairwise complete, as y or yhat may be null
     both = preds.where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
@@ -119,9 +119,17 @@ def decile_profile(deciles: DataFrame, n: int = 10) -> DataFrame:
     return long.groupBy(F.col("decile").cast("int").alias("decile")).agg(F.avg("r").alias("mean_return"), (F.stddev_samp("r") / F.sqrt(F.count("r"))).alias("se_across_years"), F.count("r").alias("n_years"))
 
 
-def run_summary(preds: DataFrame, *, horizon: int = 1) -> DataFrame:
-    """One row: active and null-as-zero mean IC, years, pooled Sharpe, formations, mean return."""
+def spine(by_year: DataFrame, years) -> DataFrame:
+    """by_year with a row for each of these years and no other; what a year lacks is null."""
+    every = by_year.sparkSession.createDataFrame([(int(y),) for y in years], "test_year int")
+    return every.join(by_year, "test_year", "left")
+
+
+def run_summary(preds: DataFrame, *, horizon: int = 1, years=None) -> DataFrame:
+    """One row: active and null-as-zero mean IC, years, pooled Sharpe, formations, mean return. years: those that null-as-zero counts, with
+    predictions or not; by default those with predictions."""
     by_year = daily_ic(preds, keys=("test_year", "date"), least=1).groupBy("test_year").agg(F.avg("ic").alias("ic"))
+    by_year = by_year if years is None else spine(by_year, years)
     ic = by_year.agg(F.avg("ic").alias("mean_ic_active"), F.stddev_samp("ic").alias("ic_std_active"), F.count("ic").alias("n_active_years"), F.avg(F.coalesce("ic", F.lit(0.0))).alias("mean_ic_all_years"), F.coalesce(F.sum((F.col("ic") > 0).cast("int")), F.lit(0)).alias("positive_ic_years"))
     return ic.join(pooled_sharpe(decile_portfolio(preds, horizon=horizon), horizon=horizon)).join(preds.agg(F.avg("y").alias("mean_test_return")))  # one row each
 
@@ -130,7 +138,7 @@ def offset_sensitivity(preds: DataFrame, *, horizon: int = 5) -> DataFrame:
     """offset and pooled Sharpe of each start of the formation cadence."""
     rows = None
     for o in range(horizon):
-        r = pooled_sharpe(decile_portfolio(preds, horizon=horizon, offset=o), horizon=horizon).select(F.lit(o).alias("offset"), "gross_sharpe", "n_formations")
+        r = pooled_sharpe(decile_portfolio(preds, horizon=horizon, offset=o), horizon=horizon).select(F.lit(o).alias("offset"), "gross_sharpe", "long_short_bps", "n_formations")
         rows = r if rows is None else rows.unionAll(r)
     return rows
 
@@ -152,9 +160,49 @@ def scorecard(runs: dict[str, tuple[DataFrame, int]]) -> DataFrame:
     return rows.orderBy(F.desc_nulls_last("mean_ic"))
 
 
-def nonzero_by_year(coefs: DataFrame) -> DataFrame:
-    """test_year, n_nonzero from (test_year, feature, coef)."""
-    return coefs.groupBy("test_year").agg(F.sum((F.abs("coef") > ZERO_TOL).cast("long")).alias("n_nonzero"))
+def stress_over_runs(spark, runs: dict[str, tuple[DataFrame, int]], windows: dict = STRESS) -> DataFrame:
+    """stress_windows of every run (predictions, horizon), with its name."""
+    rows = None
+    for name, (preds, horizon) in runs.items():
+        t = stress_windows(spark, ic_by_year(preds), sharpe_by_year(decile_portfolio(preds, horizon=horizon), horizon=horizon), windows)
+        t = t.select(F.lit(name).alias("run"), *t.columns)
+        rows = t if rows is None else rows.unionByName(t)
+    return rows
+
+
+def run_curves(runs: dict[str, tuple[DataFrame, int]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the scorecard's plots show: run and IC by year; run and long-short return cumulated by date; run and mean return by decile."""
+    tables: list = [None, None, None]
+    for name, (preds, horizon) in runs.items():
+        deciles = decile_portfolio(preds, horizon=horizon)
+        own = (ic_by_year(preds), cumulative_long_short(deciles), decile_profile(deciles))
+        for i, t in enumerate(own):
+            t = t.select(F.lit(name).alias("run"), *t.columns)
+            tables[i] = t if tables[i] is None else tables[i].unionByName(t)
+    return tuple(tables)
+
+
+def nonzero_by_year(coefs: DataFrame, years=None) -> DataFrame:
+    """test_year, n_nonzero from (test_year, feature, coef); with years also those without coefficients, as 0."""
+    found = coefs.groupBy("test_year").agg(F.sum((F.abs("coef") > ZERO_TOL).cast("long")).alias("n_nonzero"))
+    return found if years is None else spine(found, years).fillna(0, ["n_nonzero"])
+
+
+def tuning_complexity(params: DataFrame, coefs: DataFrame, years=None) -> DataFrame:
+    """test_year, alpha, l1_ratio, val_mse, n_nonzero: what each fold chose, and how many coefficients it left; nulls for years without."""
+    found = params.join(nonzero_by_year(coefs), "test_year", "left").select("test_year", "alpha", "l1_ratio", "val_mse", "n_nonzero")
+    return found if years is None else spine(found, years)
+
+
+def offset_summary(offsets: DataFrame) -> DataFrame:
+    """Per config and horizon least, median and greatest Sharpe ratio over the offsets, and least and greatest mean return (a row for each
+    offset comes in: config, horizon, offset, gross_sharpe, long_short_bps)."""
+    return offsets.groupBy("config", "horizon").agg(F.min("gross_sharpe").alias("min_sr"), F.percentile("gross_sharpe", F.lit(0.5)).alias("median_sr"), F.max("gross_sharpe").alias("max_sr"), F.min("long_short_bps").alias("min_spread"), F.max("long_short_bps").alias("max_spread"))
+
+
+def stress_pivot(by_year: DataFrame, years) -> DataFrame:
+    """Per config and horizon the IC and the Sharpe ratio of each year side by side, from (config, horizon, test_year, ic, gross_sharpe)."""
+    return by_year.groupBy("config", "horizon").pivot("test_year", [int(y) for y in years]).agg(F.avg("ic").alias("ic"), F.avg("gross_sharpe").alias("gross_sharpe"))
 
 
 def coefficient_comparison(coefs: DataFrame, kept: list[str]) -> DataFrame:
@@ -167,8 +215,11 @@ def agreement_rate(comparison: DataFrame) -> DataFrame:
     return comparison.agg(F.avg((F.col("kept_by_correlation_filter") == F.col("kept_by_elastic_net_any_fold")).cast("double")).alias("agreement"))
 
 
-def coefficient_stability(coefs: DataFrame, top: int = 12) -> DataFrame:
-    """Coefficients by year of the features of largest mean absolute coefficient."""
+def coefficient_stability(coefs: DataFrame, top: int = 12, years=None) -> DataFrame:
+    """Coefficients by year of the features of largest mean absolute coefficient. years: all of these, 0 where a fold has no coefficient."""
+    if years is not None:
+        every = coefs.select("feature").distinct().crossJoin(coefs.sparkSession.createDataFrame([(int(y),) for y in years], "test_year int"))  # names by years
+        coefs = every.join(coefs, ["test_year", "feature"], "left").select("test_year", "feature", F.coalesce("coef", F.lit(0.0)).alias("coef"))
     best = coefs.groupBy("feature").agg(F.avg(F.abs("coef")).alias("m")).orderBy(F.desc("m"), "feature").limit(top)
     return coefs.join(F.broadcast(best.select("feature")), "feature", "left_semi")  # `top` rows
 

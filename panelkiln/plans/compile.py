@@ -102,29 +102,32 @@ class Plan:
 
     def result(self, name: str, node: Node, d: str, digits: int | None) -> str:
         x = self.name(node, d)
-        return f"{S.snapped(d, x, digits) if digits is not None else x} AS {name}"
+        return f"{S.decimals(d, x, digits) if digits is not None else x} AS {name}"
 
 
 def over_time(d: str, op: str, a: list[str], n: int) -> str:
+    """Sums and what is made of them are snapped by the greatest magnitude in the window."""
     x = a[0]
     w = f"OVER ({TIME_KEYS} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     lag = lambda k: x if not k else f"lag({x}, {k}) OVER ({TIME_KEYS})"
+    size = lambda v: f"max(abs({v})) {w}"
     if op == "delay":
         return lag(n)
     if op == "delta":
         return f"({x} - {lag(n)})"
+    full = f"count({x}) {w} = {n}"
     if op == "decay_linear":
         whole = " + ".join(f"{S.number(n - k)} * {lag(k)}" for k in range(n))
-        return S.snapped(d, f"(({whole}) / {S.number(n * (n + 1) / 2)})")
-    full = f"count({x}) {w} = {n}"
+        return S.snapped(d, f"(({whole}) / {S.number(n * (n + 1) / 2)})", size(x))
     items = f"{'collect_list' if d == 'spark' else 'list'}({x}) {w}"
     if op in ("ts_sum", "ts_mean", "ts_min", "ts_max"):
         value = f"{dict(ts_sum='sum', ts_mean='avg', ts_min='min', ts_max='max')[op]}({x}) {w}"
-        value = S.snapped(d, value) if op in ("ts_sum", "ts_mean") else value
+        value = S.snapped(d, value, size(x)) if op in ("ts_sum", "ts_mean") else value
     elif op == "ts_stddev":
-        value = S.snapped(d, f"stddev_samp({x}) {w}")
+        value = S.snapped(d, f"stddev_samp({x}) {w}", size(x))
     elif op == "ts_product":
-        value = S.snapped(d, f"aggregate({items}, {S.number(1)}, (p, v) -> p * v)" if d == "spark" else f"product({x}) {w}")
+        value = f"aggregate({items}, {S.number(1)}, (p, v) -> p * v)" if d == "spark" else f"product({x}) {w}"
+        value = S.snapped(d, value, f"abs({value})")
     elif op == "ts_rank":
         value = f"size(filter({items}, v -> v <= {x})) / {S.number(n)}" if d == "spark" else f"len(list_filter({items}, lambda v: v <= {x})) / {S.number(n)}"
     elif op in ("ts_argmax", "ts_argmin"):
@@ -136,29 +139,32 @@ def over_time(d: str, op: str, a: list[str], n: int) -> str:
         full = f"count(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END) {w} = {n}"
         cov = f"covar_samp({x}, {y}) {w}"
         if op == "ts_cov":
-            value = S.snapped(d, cov)
+            value = S.snapped(d, cov, f"({size(x)} * {size(y)})")
         else:
             sx, sy = f"stddev_samp({x}) {w}", f"stddev_samp({y}) {w}"
-            full += f" AND {sx} > 1E-12 AND {sy} > 1E-12"
-            value = S.snapped(d, f"({cov} / ({sx} * {sy}))", 8)
+            full += f" AND {sx} > 1E-12 * {size(x)} AND {sy} > 1E-12 * {size(y)}"
+            value = S.decimals(d, f"({cov} / ({sx} * {sy}))", 8)
     return f"(CASE WHEN {full} THEN {value} END)"
 
 
 def over_names(d: str, op: str, a: list[str], p) -> str:
     x, w = a[0], "OVER (PARTITION BY date)"
+    size = f"max(abs({x})) {w}"
     if op == "rank":  # average rank of ties over the count of values; one partitioning by date
         o = f"PARTITION BY date ORDER BY {x} ASC NULLS LAST"
         return f"(CASE WHEN {x} IS NOT NULL THEN (rank() OVER ({o}) + count({x}) OVER ({o} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2E0 / count({x}) {w} END)"
     if op == "scale":
         whole = f"sum(abs({x})) {w}"
-        return S.snapped(d, f"(CASE WHEN {whole} > 0 THEN {x} / ({whole}) * {S.number(p)} END)")
+        part = f"{x} / ({whole})"
+        return f"(CASE WHEN {whole} > 0 THEN {S.snapped(d, part, f'abs({part})')} * {S.number(p)} END)"
     if op == "xs_mean":
-        return S.snapped(d, f"avg({x}) {w}")
+        return S.snapped(d, f"avg({x}) {w}", size)
     if op == "xs_std":
-        return S.snapped(d, f"stddev_samp({x}) {w}")
+        return S.snapped(d, f"stddev_samp({x}) {w}", size)
     if op == "xs_quantile":
         return f"{'percentile' if d == 'spark' else 'quantile_cont'}({x}, {p}) {w}"
-    return S.snapped(d, f"(CASE WHEN {p} IS NOT NULL THEN {x} - avg({x}) OVER (PARTITION BY date, {p}) END)")
+    own = f"OVER (PARTITION BY date, {p})"
+    return f"(CASE WHEN {p} IS NOT NULL THEN {S.snapped(d, f'({x} - avg({x}) {own})', f'max(abs({x})) {own}')} END)"
 
 
 def evaluate(panel: DataFrame, signals: dict[str, Node], *, keep: tuple[str, ...] = ("permno", "segment_id", "date"), digits: int | None = None, settle=None, kernels: bool = False) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A phase's rows come hash-partitioned and sorted by its key, as Arrow batches. Whole groups (a security's history, a date's cross-section) are
 gathered up to ROWS rows and evaluated at once, NaN standing for NULL; a window never looks across a segment. Results equal those
-of the SQL emitter, decimals snapped alike."""
+of the SQL emitter, sums snapped alike."""
 
 from __future__ import annotations
 
@@ -12,17 +12,29 @@ import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 
+from ..functions.semantics import PLACES
 from .expr import BOOLEAN, TIME, Node
 
 #: Rows evaluated at once, but for a single larger group; cells of windows copied at once.
 ROWS, CELLS = 40_000, 4_000_000
 
 
-def snapped(x, digits: int = 10):
+def decimals(x, digits: int):
     scale = 10.0**digits
     return np.rint(x * scale) / scale + 0.0
 
 
+def snapped(x, of):
+    """As in SQL: to a grid PLACES binary places finer than the magnitude `of`."""
+    with np.errstate(all="ignore"):
+        step = np.exp2(np.floor(np.log2(of)) - PLACES)
+        return np.where((of > 1e-290) & (of < 1e290), np.rint(x / step) * step + 0.0, x)
+
+
+def size(w):
+    return np.abs(w).max(1)
+
+
 def starts(*keys: np.ndarray) -> np.ndarray:
     """Of sorted rows: the first row of each row's group."""
     n = len(keys[0])
@@ -70,7 +82,7 @@ class Time:
             return x - self.lag(x, d)
         if op == "decay_linear":
             whole = sum(float(d - k) * (self.lag(x, k) if k else x) for k in range(d))
-            return snapped(whole / (d * (d + 1) / 2))
+            return snapped(whole / (d * (d + 1) / 2), self.windows(d, size, x))
         return self.windows(d, _WINDOW[op], *a)
 
 
@@ -100,20 +112,20 @@ def _cov(x, y):
 def _corr(x, y):
     sx, sy = _std(x), _std(y)
     with np.errstate(all="ignore"):
-        return np.where((sx > 1e-12) & (sy > 1e-12), snapped(_cov(x, y) / (sx * sy), 8), np.nan)
+        return np.where((sx > 1e-12 * size(x)) & (sy > 1e-12 * size(y)), decimals(_cov(x, y) / (sx * sy), 8), np.nan)
 
 
 _WINDOW = {
-    "ts_sum": lambda w: snapped(w.sum(1)),
-    "ts_mean": lambda w: snapped(w.sum(1) / w.shape[1]),
+    "ts_sum": lambda w: snapped(w.sum(1), size(w)),
+    "ts_mean": lambda w: snapped(w.sum(1) / w.shape[1], size(w)),
     "ts_min": lambda w: w.min(1),
     "ts_max": lambda w: w.max(1),
-    "ts_stddev": lambda w: snapped(_std(w)) if w.shape[1] > 1 else np.full(len(w), np.nan),
-    "ts_product": lambda w: snapped(w.prod(1)),
+    "ts_stddev": lambda w: snapped(_std(w), size(w)) if w.shape[1] > 1 else np.full(len(w), np.nan),
+    "ts_product": lambda w: snapped(w.prod(1), np.abs(w.prod(1))),
     "ts_rank": lambda w: (w <= w[:, -1:]).sum(1) / w.shape[1],
     "ts_argmax": lambda w: (w.shape[1] - 1 - w.argmax(1)).astype(float),
     "ts_argmin": lambda w: (w.shape[1] - 1 - w.argmin(1)).astype(float),
-    "ts_cov": lambda x, y: snapped(_cov(x, y)) if x.shape[1] > 1 else np.full(len(x), np.nan),
+    "ts_cov": lambda x, y: snapped(_cov(x, y), size(x) * size(y)) if x.shape[1] > 1 else np.full(len(x), np.nan),
     "ts_corr": _corr,
 }
 
@@ -132,6 +144,12 @@ class Names:
         with np.errstate(all="ignore"):
             return (self.total(x, group) / np.bincount(group, ~np.isnan(x), minlength=group.max(initial=-1) + 1))[group]
 
+    def size(self, x, group):
+        """Greatest magnitude of each row's group."""
+        out = np.zeros(group.max(initial=-1) + 1)
+        np.maximum.at(out, group, np.where(np.isnan(x), 0.0, np.abs(x)))
+        return out[group]
+
     def sorted(self, x):
         """Rows with a value in order of (date, value); where each date's begin."""
         known = np.flatnonzero(~np.isnan(x))
@@ -156,14 +174,14 @@ class Names:
         if op == "scale":
             whole = self.total(np.abs(x), g)[g]
             with np.errstate(all="ignore"):
-                return np.where(whole > 0, snapped(x / whole * p), np.nan)
+                return np.where(whole > 0, snapped(x / whole, np.abs(x / whole)) * p, np.nan)
         if op == "xs_mean":
-            return snapped(self.mean(x, g))
+            return snapped(self.mean(x, g), self.size(x, g))
         if op == "xs_std":
             c = x - self.mean(x, g)
             n = np.bincount(g, ~np.isnan(x), minlength=g.max(initial=-1) + 1)
             with np.errstate(all="ignore"):
-                return snapped(np.where(n > 1, np.sqrt(self.total(c * c, g) / (n - 1)), np.nan)[g])
+                return snapped(np.where(n > 1, np.sqrt(self.total(c * c, g) / (n - 1)), np.nan)[g], self.size(x, g))
         if op == "xs_quantile":
             order, _, edge = self.sorted(x)
             v, n = x[order], np.diff(edge)
@@ -175,7 +193,7 @@ class Names:
         of = self.columns[p]
         known = ~np.isnan(of)
         pair = np.unique(np.stack([g.astype(float), np.where(known, of, -1.0)]), axis=1, return_inverse=True)[1].ravel()
-        return np.where(known, snapped(x - self.mean(x, pair)), np.nan)
+        return np.where(known, snapped(x - self.mean(x, pair), self.size(x, pair)), np.nan)
 
 
 def scalar(op: str, a: list[np.ndarray], node: Node) -> np.ndarray:
@@ -193,7 +211,7 @@ def scalar(op: str, a: list[np.ndarray], node: Node) -> np.ndarray:
         if op == "where":
             return np.where(*a)
         if op == "log":
-            return np.where(a[0] >= 0, snapped(np.log(a[0])), np.nan)
+            return np.where(a[0] >= 0, snapped(np.log(a[0]), np.abs(np.log(a[0]))), np.nan)
         if op == "finite":
             return np.where(np.isinf(a[0]), np.nan, a[0])
         if op == "nonzero":

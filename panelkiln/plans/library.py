@@ -147,6 +147,6 @@ def baseline_features() -> dict[str, Node]:
     return base
 
 
-def pool() -> dict[str, Node]:
-    """Candidate features: signals and classic features, without infinities."""
-    return {k: make("finite", real(v)) if v.wild else v for k, v in (alpha_features() | classic_features()).items()}
+def pool(numbers=None) -> dict[str, Node]:
+    """Candidate features: signals (all, or these numbers) and classic features, without infinities."""
+    return {k: make("finite", real(v)) if v.wild else v for k, v in (alpha_features(numbers) | classic_features()).items()}

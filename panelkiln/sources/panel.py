@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
@@ -113,6 +114,11 @@ WITH line AS (
 )"""
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder where one is set, which all executors share, else kept on the executors' disks."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist(StorageLevel.DISK_ONLY)
+
+
 def write_by_year(df: DataFrame, path: str, *, single: bool = False) -> None:
     """Parquet by year of date; a rerun replaces only the years it holds. single: doubles as floats."""
     if single:
