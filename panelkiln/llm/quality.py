@@ -120,16 +120,10 @@ def _rows_of_features(batches):
             yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, z - a) for i in (1, 2, 3)), pa.array(slots, pa.binary()), pa.array(values, pa.binary())], ["label", "fold", "rank", "slots", "values"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, label: str = "quality") -> Classifier:
-    """Logistic regression by Adagrad on three quarters of the labelled rows used, Platt's calibration on the rest.
-    Without both labels the classifier keeps everything."""
-    rank = F.xxhash64("doc_id")
-    used = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
-    used = used.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(rank, "doc_id").limit(max_labelled)
-    used = used.select("doc_id", "label", F.pmod(rank, F.lit(HELD)).cast("int").alias("fold"), rank.alias("rank"))
-    # max_labelled rows at most; an id that stands for several texts counts once, with the one of least hash
-    rows = common.keyed_text(docs).join(F.broadcast(used), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "label", "fold", "rank"), F.xxhash64("text")).alias("x")).select("x.*")
-    got = sorted(rows.mapInArrow(_rows_of_features, "label int, fold int, rank long, slots binary, values binary").collect(), key=lambda r: (r["rank"], bytes(r["slots"])))
+def solve(got: list[dict]) -> Classifier:
+    """Logistic regression by Adagrad on three quarters of these labelled rows, Platt's calibration on the rest. Without both labels the
+    classifier keeps everything."""
+    got.sort(key=lambda r: (r["rank"], r["slots"]))
     weights = np.zeros(FAMILIES * SLOTS)
     y = np.array([r["label"] for r in got], float)
     if len(set(y.tolist())) < 2:
@@ -176,6 +170,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED,
     return own
 
 
+def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, label: str = "quality") -> Classifier:
+    """solve() of at most max_labelled labelled rows, in one task; only the weights come to the driver."""
+    rank = F.xxhash64("doc_id")
+    used = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    used = used.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(rank, "doc_id").limit(max_labelled)
+    used = used.select("doc_id", "label", F.pmod(rank, F.lit(HELD)).cast("int").alias("fold"), rank.alias("rank"))
+    # max_labelled rows at most; an id that stands for several texts counts once, with the one of least hash
+    rows = common.keyed_text(docs).join(F.broadcast(used), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "label", "fold", "rank"), F.xxhash64("text")).alias("x")).select("x.*")
+    made = rows.mapInArrow(_rows_of_features, "label int, fold int, rank long, slots binary, values binary")
+
+    def run(t: pa.Table) -> pa.Table:
+        own = solve(t.to_pylist())
+        return pa.table({"weights": pa.array([own.weights.astype("<i4").tobytes()], pa.binary()), "bias": [own.bias], "slope": [own.slope], "shift": [own.shift]})
+
+    own = made.withColumn("model", F.lit(1)).groupBy("model").applyInArrow(run, "weights binary, bias double, slope double, shift double").first()
+    if own is None:
+        return solve([])
+    return Classifier(np.frombuffer(bytes(own["weights"]), "<i4").astype(np.int64).reshape(FAMILIES, SLOTS), own["bias"], own["slope"], own["shift"])
+
+
 def judge(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, keep_from: float = KEEP_FROM, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability for each row.
 
