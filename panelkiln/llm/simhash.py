@@ -220,17 +220,22 @@ def least_shared(number, similarity: float):
     return np.ceil(similarity * number - 1e-9).astype(np.int64)
 
 
-def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int):
-    """Of concatenated texts, A-Z lowered: two identity hashes of the words; the distinct shingle hashes, sorted within each text; where
-    each text's begin. A text of fewer words is one shingle."""
+def lower_words(data: np.ndarray, off: np.ndarray):
+    """Of concatenated texts, A-Z lowered: the words' hashes, each one's text, where each text's begin, and two hashes of all its words."""
     from .quality import word_hashes
 
-    n = len(off) - 1
     low = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     start, end, of = common.word_bounds(low, off)
     words = word_hashes(low, start, end)
-    first = np.searchsorted(of, np.arange(n + 1))
-    whole = [common.Spans(words, c).of(first[:-1], first[1:]).view(np.int64) for c in (common.C1, common.C2)]
+    first = np.searchsorted(of, np.arange(len(off)))
+    return words, of, first, [common.Spans(words, c).of(first[:-1], first[1:]).view(np.int64) for c in (common.C1, common.C2)]
+
+
+def shingle_sets(data: np.ndarray, off: np.ndarray, shingle: int):
+    """Two identity hashes of each text's words; the distinct shingle hashes, sorted within each text; where each text's begin. A text of
+    fewer words is one shingle."""
+    n = len(off) - 1
+    words, of, first, whole = lower_words(data, off)
     if not len(words):
         return *whole, np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     i = np.arange(len(of))
@@ -370,22 +375,26 @@ def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key:
     rows: each returned; an id with several texts is a node for each. Empty table: no rows. Other columns are not read."""
     whole = common.keyed_text(docs, key, text)
 
-    def outline(batches):
+    def identify(batches):
         for b in batches:
             for a, z, data, off in common.text_chunks(b):
+                one, two = lower_words(data, off)[3]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(one), pa.array(two)], ["doc_id", "text_hash", "one", "two"])
+
+    def outline(batches):
+        for b in batches:
+            for a, z, data, off in common.text_chunks(b, 0):
                 one, two, number, bands, first, prefix, fp = outlines(data, off, shingle, similarity)
                 banded = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * (z - a) + 1, BANDS, dtype=np.int32)), pa.array(bands.view(np.int64).ravel()))
                 listed = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(prefix.view(np.int64)))
-                cols = [b.column(0).slice(a, z - a), b.column(2).slice(a, z - a), pa.array(one), pa.array(two), pa.array(number), banded, listed, pa.array([x.tobytes() for x in fp], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "one", "two", "number", "bands", "prefix", "fp"])
-
-    schema = "doc_id long, text_hash long, one long, two long, number long, bands array<long>, prefix array<long>, fp binary"
-    outlined = whole.withColumn("text_hash", F.xxhash64("text")).mapInArrow(outline, schema)
-    rows = common.settle(outlined.withColumn("row", F.monotonically_increasing_id()), "outlines")
-    # a node is a row that stands for all of the same words
-    nodes = rows.where("doc_id is not null").groupBy("one", "two").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
-    nodes = common.settle(nodes, "nodes")
-    heads = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(number), banded, listed, pa.array([x.tobytes() for x in fp], pa.binary())], ["one", "two", "number", "bands", "prefix", "fp"])
+
+    rows = common.settle(whole.withColumn("text_hash", F.xxhash64("text")).mapInArrow(identify, "doc_id long, text_hash long, one long, two long"), "rows")
+    # a node stands for all texts of the same words; copies collapse in each task, before anything is sent
+    distinct = whole.where("doc_id is not null").select("text").mapInArrow(outline, "one long, two long, number long, bands array<long>, prefix array<long>, fp binary").dropDuplicates(["one", "two"])
+    heads = common.settle(distinct.withColumn("node", F.monotonically_increasing_id()), "outlines")
+    least_id = rows.where("doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("least"))
+    nodes = common.settle(heads.select("node", "one", "two").join(least_id, ["one", "two"]), "nodes")
     looks = heads.select("node", "number", "fp")
 
     banded = shared_buckets(heads.select("node", F.explode("bands").alias("bucket")).where("bucket <> 0"))
