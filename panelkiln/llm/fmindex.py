@@ -122,6 +122,13 @@ class Index:
             i, steps = self.count[c] + before, steps + 1
         return out
 
+    def first(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Where in the text the first of the suffixes between lo and hi starts."""
+        lo, which, back = np.unique(lo, return_index=True, return_inverse=True)
+        many = hi[which] - lo
+        places = self.locate(substrings.runs_of(lo, many))
+        return np.minimum.reduceat(places, np.cumsum(many) - many)[back]
+
 
 def search(doc, lo, size, words, kind: substrings.Kind):
     """(doc, lo) of the windows of a shard's stretches that also start in a document of smaller id.
@@ -129,7 +136,7 @@ def search(doc, lo, size, words, kind: substrings.Kind):
     All stretches are indexed, in order of their documents, and then streamed from their right ends, in step: a window first, then one
     symbol at a time to the left. Where the match would grow longer than a window, the interval widens to that of one symbol less. So
     each place has the interval of its longest match, up to a window; where that is reached and the interval holds another place,
-    the first place it holds decides."""
+    the first place it holds decides. It is looked up where the matches change; while they all go on together, it moves left with them."""
     order = np.lexsort((lo, doc))
     words = words[substrings.runs_of((np.cumsum(size) - size)[order], size[order])]
     doc, lo, size = doc[order], lo[order], size[order]
@@ -140,31 +147,31 @@ def search(doc, lo, size, words, kind: substrings.Kind):
     start = np.cumsum(size) - size + part
     w = kind.window
     index = Index(text, len(names) + 1, w)
-    found = []
+    found_doc, found_lo = [], []
     live, at = part, start + size - 1  # the symbol to add next
     a, z = np.zeros(len(size), np.int64), np.full(len(size), index.n)
+    first = np.full(len(size), -1)  # where the earliest match of a whole window starts; -1: to be looked up
     for step in range(int(size.max())):
         if step >= w:
+            n = z - a
             a, z = index.shorter(a)
+            first[z - a > n] = -1
+        n = z - a
         a, z = index.back(text[at], a, z)
         if step >= w - 1:
-            several = z - a > 1
-            found.append((live[several], at[several], a[several], z[several]))
+            first = np.where((z - a == n) & (first >= 0), first - 1, -1)
+            ask = np.flatnonzero((first < 0) & (z - a > 1))
+            if len(ask):
+                first[ask] = index.first(a[ask], z[ask])
+            several = np.flatnonzero(z - a > 1)
+            hit = several[doc[np.searchsorted(start, first[several], "right") - 1] < doc[live[several]]]
+            found_doc.append(doc[live[hit]])
+            found_lo.append((lo[live] + at - start[live])[hit])
         on = at > start[live]
-        live, at, a, z = live[on], at[on] - 1, a[on], z[on]
+        live, at, a, z, first = live[on], at[on] - 1, a[on], z[on], first[on]
         if not len(live):
             break
-    live, at, a, z = (np.concatenate(c) for c in zip(*found, strict=True))
-    if not len(a):
-        return doc[:0], lo[:0]
-    a, which = np.unique(a, return_inverse=True)  # windows that are equal have one interval
-    many = np.zeros(len(a), np.int64)
-    many[which] = z - a[which]
-    places = index.locate(substrings.runs_of(a, many))
-    first = np.minimum.reduceat(places, np.cumsum(many) - many)
-    first_doc = doc[np.searchsorted(start, first, "right") - 1][which]
-    hit = first_doc < doc[live]
-    return doc[live[hit]], (lo[live] + at - start[live])[hit]
+    return np.concatenate(found_doc), np.concatenate(found_lo)
 
 
 def remove_repeated_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text", most: int = substrings.MOST) -> DataFrame:
