@@ -176,12 +176,31 @@ def _null_rank(c: str) -> str:
 SPEARMAN = FEAT + f", big AS (SELECT * FROM ft WHERE date IN (SELECT date FROM ft GROUP BY date HAVING count(*) >= {MIN_NAMES})), rks AS (SELECT date, {', '.join(map(_null_rank, FEATURES))} FROM big), prs AS (" + " UNION ALL ".join(_pair_sql(a, b) for a in FEATURES for b in FEATURES) + f") SELECT f1, f2, {sql_snap('rho')} FROM prs"
 
 
+CLOSE = 0.2
+
+
 def greedy(spark, sf_dir):
     f = features(spark, sf_dir)
-    config = prune.prune(f, list(FEATURES), threshold=0.2, min_names=MIN_NAMES)
+    config = prune.prune(f, list(FEATURES), threshold=CLOSE, min_names=MIN_NAMES)
     return spark.createDataFrame([(k, k in config["keep"]) for k in FEATURES], "feature string, kept boolean")
 
 
+def _greedy_sql() -> str:
+    """One step for each close pair, the closest first; the state is what is left."""
+    names = ", ".join(f"('{c}', {i})" for i, c in enumerate(FEATURES))
+    crowding = "(SELECT avg(r) FROM ab WHERE ab.f1 = {0} AND ab.f2 <> {0} AND list_contains(st.lft, ab.f2))".format
+    return SPEARMAN.rsplit(" SELECT f1, f2,", 1)[0].replace("WITH ", "WITH RECURSIVE ", 1) + f""", nm(f, i) AS (VALUES {names}
+), ab AS (SELECT f1, f2, round_even(abs(rho) * 1E8, 0) / 1E8 AS r FROM prs
+), cl AS (SELECT f1, f2, row_number() OVER (ORDER BY r DESC, x.i, z.i) AS k FROM ab JOIN nm x ON x.f = f1 JOIN nm z ON z.f = f2 WHERE x.i < z.i AND r >= {CLOSE}
+), st(k, lft) AS (
+  SELECT CAST(0 AS BIGINT), (SELECT list(f) FROM nm)
+  UNION ALL
+  SELECT k + 1, CASE WHEN NOT (list_contains(lft, f1) AND list_contains(lft, f2)) THEN lft ELSE list_filter(lft, lambda f: f <> CASE WHEN a > b OR (a = b AND f1 > f2) THEN f1 ELSE f2 END) END
+  FROM (SELECT st.k, st.lft, cl.f1, cl.f2, {crowding('cl.f1')} AS a, {crowding('cl.f2')} AS b FROM st JOIN cl ON cl.k = st.k + 1)
+)
+SELECT nm.f AS feature, list_contains(s.lft, nm.f) AS kept FROM nm, (SELECT lft FROM st ORDER BY k DESC LIMIT 1) AS s"""
+
+
 def tuning(spark, sf_dir):
     run = _enet(spark, sf_dir)
     return snap(scorecard.tuning_complexity(run.params, run.coefs, range(1995, 2003)))
@@ -320,7 +339,7 @@ QUERIES = {
     "ablation_summary": (lambda s, d: snap(scorecard.ablation_summary(scorecard.ablation_detail(*schemes(s, d))).select("config", "pearson_ic__paired_rank", "pearson_ic__paired_standardize", "pearson_ic__paired_delta", "pearson_ic__n_paired_years")), f"{PAIR}, a AS (SELECT config, test_year, pearson_ic AS r FROM det WHERE scheme = 'rank'), b AS (SELECT config, test_year, pearson_ic AS s FROM det WHERE scheme = 'standardize'), t AS (SELECT config, avg(r) AS pearson_ic__paired_rank, avg(s) AS pearson_ic__paired_standardize, avg(s - r) AS pearson_ic__paired_delta, count(*) AS pearson_ic__n_paired_years FROM a JOIN b USING (config, test_year) WHERE r IS NOT NULL AND s IS NOT NULL GROUP BY config) SELECT config, {sql_snap('pearson_ic__paired_rank', 'pearson_ic__paired_standardize', 'pearson_ic__paired_delta')}, pearson_ic__n_paired_years FROM t"),
     "feature_coverage": (lambda s, d: snap(prune.coverage(features(s, d), list(FEATURES))), f"{FEAT}, t AS ({' UNION ALL '.join(f'''SELECT '{c}' AS feature, avg(CASE WHEN {c} IS NOT NULL THEN 1E0 ELSE 0E0 END) AS coverage FROM ft''' for c in FEATURES)}) SELECT feature, {sql_snap('coverage')} FROM t"),
     "mean_daily_spearman": (spearman, SPEARMAN),
-    "greedy_prune": (greedy, None),
+    "greedy_prune": (greedy, _greedy_sql()),
     "split_table": (splits, SPLITS),
     "gram_by_year": (gram, GRAM),
     "walk_forward_elastic_net": (enet, None),

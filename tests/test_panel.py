@@ -290,6 +290,7 @@ def test_mean_daily_spearman_and_greedy(spark):
     m = np.array([[1, 0.9, 0.5], [0.9, 1, 0.1], [0.5, 0.1, 1]])
     assert prune.greedy_drop(m, ["a", "b", "c"], 0.7) == (["b", "c"], [{"feature": "a", "rho": 0.9, "with": "b"}])
     assert prune.greedy_drop(np.array([[1, 0.8], [0.8, 1]]), ["a", "b"], 0.7)[0] == ["a"]
+    assert prune.greedy_drop(np.array([[1, np.nextafter(0.8, 0)], [0.8, 1]]), ["b", "a"], 0.7)[0] == ["a"]
     config = prune.prune(df, ["a", "b", "c"])
     assert config["n_keep"] == 2 and config["low_coverage_dropped"] == []
 
@@ -703,7 +704,7 @@ def test_hand_written_sql(spark, name):
     close_to(got, want)
 
 
-@pytest.mark.parametrize("name", ["daily_bars", "prepare_panel", "alpha_029", "alpha_098", "daily_ic", "decile_portfolio", "split_table", "gram_by_year", "return_identity"])
+@pytest.mark.parametrize("name", ["daily_bars", "prepare_panel", "alpha_029", "alpha_098", "daily_ic", "decile_portfolio", "split_table", "gram_by_year", "greedy_prune", "return_identity"])
 def test_registered_sql(spark, name):
     db = duckdb.connect()
     for t in ("lineitem", "supplier"):
