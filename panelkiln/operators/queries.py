@@ -4,6 +4,7 @@ Predictions are stand-ins that any engine can form: the 5-day reversal predicts
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -278,6 +279,27 @@ def standardized(spark, sf_dir):
     return snap(validation.walk_forward(raw, list(FEATURES), "fwd_ret_1d", min_test_year=1997, max_test_year=1998, normalize="standardize").preds)
 
 
+#: Coefficients and scales that any engine can be given: intercept, then for each feature b, low, high, mean, deviation.
+GIVEN = {1997: (0.001, [(0.5, -0.9, 0.9, 0.0, 0.5), (-0.25, -0.5, 0.5, 0.1, 0.25), (0.125, -1.0, 1.0, 0.0, 1.0), (1.0, -0.25, 0.75, -0.1, 2.0)]), 1998: (-0.002, [(-1.0, -0.8, 0.9, 0.2, 0.5), (0.75, -0.7, 0.6, -0.1, 0.5), (0.0, -1.0, 1.0, 0.0, 1.0), (0.5, -0.5, 0.5, 0.05, 0.25)])}
+
+
+def given(spark, sf_dir):
+    """Predictions of folds with these coefficients on clipped and scaled features."""
+    fits = {t: validation.Fit(np.array([x[0] for x in terms]), a, 0.0, 0.0, 0.0) for t, (a, terms) in GIVEN.items()}
+    scales = {t: validation.Scaling(*(list(x) for x in list(zip(*terms, strict=True))[1:])) for t, (_, terms) in GIVEN.items()}
+    return snap(validation.predicted(model_rows(spark, sf_dir), list(FEATURES), "fwd_ret_1d", fits, scales))
+
+
+def _given_sql() -> str:
+    term = "coalesce({b}::DOUBLE * (greatest(least({c}, {high}::DOUBLE), {low}::DOUBLE) - {mean}::DOUBLE) / {deviation}::DOUBLE, 0E0)"
+    scored = " UNION ALL ".join(
+        f"SELECT {t} AS test_year, date, permno, y, {a}::DOUBLE + " + " + ".join(f"CASE WHEN {c} IS NULL THEN 0E0 ELSE {term.format(c=c, b=b, low=low, high=high, mean=mean, deviation=deviation)} END" for c, (b, low, high, mean, deviation) in zip(FEATURES, terms, strict=True)) + f" AS yhat FROM lp WHERE year(date) = {t}"
+        for t, (a, terms) in GIVEN.items()
+    )
+    rows = ", ".join(f"round_even(z_{c} * 1E10, 0) / 1E10 AS {c}" for c in FEATURES)
+    return GRAM.split(", lr AS (", 1)[0] + f", lp AS (SELECT date, permno, y, {rows} FROM lb WHERE y IS NOT NULL), sc AS ({scored}) SELECT CAST(test_year AS INTEGER) AS test_year, date, permno, {sql_snap('y', 'yhat')} FROM sc"
+
+
 # Audit --------------------------------------------------------------------------------------------------------------
 
 
@@ -345,6 +367,7 @@ QUERIES = {
     "walk_forward_elastic_net": (enet, None),
     "elastic_net_coefficients": (enet_coefs, None),
     "walk_forward_standardized": (standardized, None),
+    "predictions_of_given_coefficients": (given, _given_sql()),
     "panel_counts": (lambda s, d: audit.counts(bars_from_lines(s, d)), f"{BARS_SQL} SELECT count(*) AS n_rows, count(DISTINCT permno) AS n_permno, count(DISTINCT date) AS n_dates, CAST(min(date) AS VARCHAR) AS date_min, CAST(max(date) AS VARCHAR) AS date_max FROM panel"),
     "names_per_day": (lambda s, d: audit.names_per_day(bars_from_lines(s, d)), f"{BARS_SQL} SELECT min(n) AS names_min, quantile_cont(CAST(n AS DOUBLE), 0.5) AS names_median, max(n) AS names_max FROM (SELECT count(DISTINCT permno) AS n FROM panel GROUP BY date)"),
     "missing_share": (lambda s, d: snap(audit.missing_share(labelled(s, d), list(SHARES))), f"{LAB}, t AS ({' UNION ALL '.join(f'''SELECT '{c}' AS feature, avg(CASE WHEN {c} IS NULL THEN 1E0 ELSE 0E0 END) AS share FROM lab''' for c in SHARES)}) SELECT feature, {sql_snap('share')} FROM t"),

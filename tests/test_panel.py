@@ -704,7 +704,7 @@ def test_hand_written_sql(spark, name):
     close_to(got, want)
 
 
-@pytest.mark.parametrize("name", ["daily_bars", "prepare_panel", "alpha_029", "alpha_098", "daily_ic", "decile_portfolio", "split_table", "gram_by_year", "greedy_prune", "return_identity"])
+@pytest.mark.parametrize("name", ["daily_bars", "prepare_panel", "alpha_029", "alpha_098", "daily_ic", "decile_portfolio", "split_table", "gram_by_year", "greedy_prune", "predictions_of_given_coefficients", "return_identity"])
 def test_registered_sql(spark, name):
     db = duckdb.connect()
     for t in ("lineitem", "supplier"):
