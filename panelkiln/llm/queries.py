@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fmindex, packing, pii, quality, simhash, suffixes, tokens, topk, urls
+from . import bpe, fmindex, merkle, minhash, packing, periodic, pii, quality, simhash, suffixes, tokens, topk, urls
 from .common import table
 
 
@@ -60,9 +61,30 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, end_id=0, length=1024, temper=0.7)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(periodic.with_tails(table(spark, sf_dir, "documents")), exponent=4, least=6)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    told = found.withColumn("longest", longest)
+    start, length, period = -F.col("longest.start"), F.col("longest.length"), -F.col("longest.period")
+    return told.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], group="source", altered={"text": F.when(tampered, lowered)}, fanout=16)
+    return proofs.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_top_k, op4_url_filter, op5_suffix_dedup, op6_quality, op7_simhash, op8_substring_dedup, op9_personal_data, op10_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_top_k, op4_url_filter, op5_suffix_dedup, op6_quality, op7_simhash, op8_substring_dedup, op9_personal_data, op10_packing, op11_periodic_runs, op12_minhash, op13_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.SQL, "op5_suffix_dedup": suffixes.SQL, "op8_substring_dedup": fmindex.SQL}
+    return {"op3_top_k": topk.SQL, "op5_suffix_dedup": suffixes.SQL, "op8_substring_dedup": fmindex.SQL, "op12_minhash": minhash.SQL, "op13_merkle": merkle.SQL}

@@ -99,14 +99,28 @@ class Forest:
 
 
 def cells(members: DataFrame) -> DataFrame:
-    """members (bucket, count, ...) as (cell, side, ...): a bucket of up to BLOCK rows is a cell; a larger one is cut to blocks, and every
-    pair of blocks is a cell, so no task holds a whole hot bucket. side: -1, or the block where only rows of unlike blocks meet."""
-    n = F.ceil(F.col("count") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
+    """members (bucket, count, node, ...) as (cell, side, node, ...): a bucket of up to BLOCK rows is a cell; a larger one is cut to blocks, and
+    pairs of blocks are cells, so no task holds a whole hot bucket. side: -1, or a number where only rows of unlike sides meet.
+
+    With a column root only rows of unlike roots need to meet. The root with most rows of a bucket doesn't meet itself: its blocks meet those
+    of the other rows only, so a bucket of which little is left unjoined sends its rows about once."""
     kept = [c for c in members.columns if c not in ("bucket", "count")]
-    cut = members.withColumns({"_n": n, "_b": block}).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
-    cell = F.when(F.col("_n") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("_b", "_o"), F.greatest("_b", "_o")))
-    return cut.select(cell.alias("cell"), F.when(F.col("_b") == F.col("_o"), -1).otherwise(F.col("_b")).alias("side"), *kept)
+    small = members.where(F.col("count") <= BLOCK).select(F.col("bucket").alias("cell"), F.lit(-1).alias("side"), *kept)
+    large = members.where(F.col("count") > BLOCK)
+    if "root" in kept:
+        sizes = large.groupBy("bucket", "root").count().groupBy("bucket").agg(F.max_by("root", "count").alias("most"), F.max("count").alias("own"))
+        large = large.join(sizes, "bucket")
+        inner, own = F.col("root") == F.col("most"), F.col("own")
+    else:
+        inner, own = F.lit(False), F.lit(0)
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    cut = large.withColumns({"_in": inner, "_n": blocks(own), "_m": blocks(F.col("count") - own)})
+    cut = cut.withColumn("_b", F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("_in"), F.col("_n")).otherwise(F.col("_m"))).cast("int"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() AS array<int>)"))
+    across = F.transform(upto(F.when(F.col("_in"), F.col("_m")).otherwise(F.col("_n"))), lambda o: F.struct(F.lit(0).alias("kind"), F.when(F.col("_in"), F.col("_b")).otherwise(o).alias("x"), F.when(F.col("_in"), o).otherwise(F.col("_b")).alias("y"), F.col("_in").cast("int").alias("side")))
+    among = F.transform(upto(F.when(F.col("_in"), 0).otherwise(F.col("_m"))), lambda o: F.struct(F.lit(1).alias("kind"), F.least("_b", o).alias("x"), F.greatest("_b", o).alias("y"), F.when(F.col("_b") == o, -1).otherwise(F.col("_b")).alias("side")))
+    dealt = cut.withColumn("_c", F.explode(F.concat(across, among)))
+    return small.unionByName(dealt.select(F.xxhash64("bucket", "_c.kind", "_c.x", "_c.y").alias("cell"), F.col("_c.side").alias("side"), *kept))
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -126,11 +140,16 @@ def met(cell: np.ndarray, side: np.ndarray):
         yield i, i + shift
 
 
-def links_within(fp: np.ndarray, cell: np.ndarray, side: np.ndarray, bits: int, refs: np.ndarray) -> np.ndarray:
+def links_within(fp: np.ndarray, cell: np.ndarray, side: np.ndarray, bits: int, refs: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
     """The root's position for each fingerprint: pairs of a cell at most `bits` apart are linked. Pivot tables discard first, the exact
-    distance verifies the survivors."""
+    distance verifies the survivors. known: equal numbers for rows that are joined already, which are not compared."""
     forest, table = Forest(len(fp)), distances(fp, refs)
+    if known is not None:
+        _, first, number = np.unique(known, return_index=True, return_inverse=True)
+        forest.root = first[number]
     for i, j in met(cell, side):
+        apart = forest.root[i] != forest.root[j]
+        i, j = i[apart], j[apart]
         for row in table:
             near = np.abs(row[i] - row[j]) <= bits
             i, j = i[near], j[near]
@@ -166,8 +185,8 @@ def links(fps: DataFrame, bits: int = BITS, parts: int = PARTS) -> DataFrame:
     """a, b: enough links between nodes (least ids of distinct fingerprints: node, fp) to connect all that are at most `bits` apart.
 
     Each fingerprint goes to a bucket for every choice of the parts - bits parts that a link must leave alike; in a bucket the
-    pivots decide. A bucket of over SPLIT is cut again by the bits + 1 parts of which two that link have one alike, and what is still
-    large by pairs of blocks. A cell gives at most a link for each of its fingerprints."""
+    pivots decide. A bucket of over SPLIT is cut again by the bits + 1 parts of which two that link have one alike; each of these is held against
+    representatives first, and what is left apart is cut to pairs of blocks. A cell gives at most a link for each of its fingerprints."""
     keys = []
     for chosen in combinations(range(parts), parts - bits):
         value = F.lit(0).cast("long")
@@ -177,22 +196,32 @@ def links(fps: DataFrame, bits: int = BITS, parts: int = PARTS) -> DataFrame:
         keys.append(F.xxhash64(value, F.lit(len(keys))))
     dealt = shared_buckets(fps.select("node", "fp", F.explode(F.array(*keys)).alias("bucket")))
     again = F.explode(F.array(*(F.xxhash64("bucket", F.lit(k), part("fp", a, z)) for k, (a, z) in enumerate(widths(bits + 1)))))
-    large = shared_buckets(dealt.where(F.col("count") > SPLIT).select("node", "fp", again.alias("bucket")))
-    every = cells(dealt.where(F.col("count") <= SPLIT).unionByName(large)).repartition("cell").sortWithinPartitions("cell")
+    large = common.settle(shared_buckets(dealt.where(F.col("count") > SPLIT).select("node", "fp", again.alias("bucket"))), "large")
+    found, roots = None, None
+    for turn in range(0 if large.isEmpty() else ROUNDS):
+        near = lambda first: F.bit_count(F.col("fp").bitwiseXOR(first["fp"])) <= bits
+        more = common.settle(representatives(unlike(large.select("bucket", "node", "fp"), roots), turn, near), "near")
+        found = more if found is None else found.unionAll(more)
+        roots = graph.components(found)
+    left = unlike(large, roots)
+    apart = left.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    left = left.join(apart, "bucket").unionByName(dealt.where(F.col("count") <= SPLIT).withColumn("root", F.col("node")))
+    every = cells(left.select("bucket", "count", "node", "fp", "root")).repartition("cell").sortWithinPartitions("cell")
 
     def run(batches):
         refs = pivots()
 
         def solve(rows):
             t = pa.concat_tables([pa.Table.from_batches([r]) for r in rows])
-            node, fp, cell, side = (np.array(t.column(c)) for c in ("node", "fp", "cell", "side"))
-            root = links_within(fp.view(np.uint64), cell, side, bits, refs)
+            node, fp, cell, side, known = (np.array(t.column(c)) for c in ("node", "fp", "cell", "side", "root"))
+            root = links_within(fp.view(np.uint64), cell, side, bits, refs, known)
             own = np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
 
         yield from by_bucket(batches, 0, solve)
 
-    return every.mapInArrow(run, "a long, b long")
+    within = every.mapInArrow(run, "a long, b long")
+    return within if found is None else found.unionAll(within)
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -333,15 +362,17 @@ def survivors(members: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets have that similarity, each compared once. Sets are made again, of the texts in the pairs only."""
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, sets_of, alike) -> DataFrame:
+    """The pairs whose whole sets are alike(number in both, number of a, number of b). sets_of(data, offsets): the identities, hashes and
+    offsets of the sets of concatenated texts. Sets are made of the texts in the pairs only; those of b travel, those of a stay, so a should
+    be what many have in common."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
     wanted = common.settle(wanted.select("node", "least", "one", "two"), "wanted")
 
     def sets(batches):
         for b in batches:
             for a, z, data, off in common.text_chunks(b, 0):
-                one, two, h, at = shingle_sets(data, off, shingle)
+                one, two, h, at = sets_of(data, off)
                 own = [h[s:e].tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(own, pa.binary())], ["one", "two", "shingles"])
 
@@ -355,11 +386,75 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int,
             fit = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                fit.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+                fit.append(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "s_a", "s_b").mapInArrow(compare, "a long, b long")
+
+
+def plausible(pairs: DataFrame, looks: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that may have that similarity by the sizes and fingerprints of their sets, looks (node, number, fp)."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.array(b.column(k)) for k in (2, 4))
+            fx, fy = (np.frombuffer(b"".join(v.as_buffer() for v in b.column(k)), np.uint64).reshape(len(x), WIDTH // 64) for k in (3, 5))
+            fit = np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+            fit &= np.bitwise_count(fx ^ fy).sum(1, dtype=np.int64) <= ((1 - similarity) / (1 + similarity) + 1e-9) * (x + y)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(fit))
+
+    sides = [looks.select(F.col("node").alias(c), F.col("number").alias(f"number_{c}"), F.col("fp").alias(f"fp_{c}")) for c in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "number_a", "fp_a", "number_b", "fp_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+#: Rounds in which buckets are held against a representative before what is left is compared in pairs.
+ROUNDS = 2
+
+
+def representatives(members: DataFrame, turn: int, near=lambda first: F.lit(True)) -> DataFrame:
+    """a, b: from members (bucket, node, root, ...) of each bucket that still holds unlike roots a member, drawn by hash, with every member of
+    another root that is near() it. Aggregates with a partial step choose, so a hot bucket is not gathered."""
+    drawn = F.min_by(F.struct(*(c for c in members.columns if c != "bucket")), F.xxhash64("node", F.lit(turn))).alias("first")
+    heads = members.groupBy("bucket").agg(drawn, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    met = members.join(heads.select("bucket", "first"), "bucket").where((F.col("root") != F.col("first.root")) & near(F.col("first")))
+    return met.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def unlike(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """members (bucket, node, ...) with root (the node itself where roots has none)."""
+    if roots is None:
+        return members.withColumn("root", F.col("node"))
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def distinct_buckets(members: DataFrame) -> DataFrame:
+    """Of members (bucket, node) the buckets with two nodes or more, those with the same members once (told by their number and two hashes)."""
+    told = members.groupBy("bucket").agg(F.count("*").alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"x{k}") for k in (1, 2))).where("n > 1")
+    return members.join(told.groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket").select("bucket", "node")
+
+
+def linked(members: DataFrame, looks: DataFrame, similarity: float, verify) -> DataFrame:
+    """a, b: links that connect all nodes which share a bucket of members (bucket, node) and are links by verify(pairs).
+
+    First every bucket is held against one member; what that joins needs no pairs of its own. What still lies apart after ROUNDS of this
+    is compared in pairs of unlike groups: discarded by looks (node, number, fp) and verified. No pair is verified twice."""
+    kept = common.settle(distinct_buckets(members), "buckets")
+    tried = found = roots = None
+    for turn in range(ROUNDS):
+        pairs = representatives(unlike(kept, roots), turn)
+        if tried is not None:
+            pairs = pairs.join(tried, (pairs["a"] == tried["b"]) & (pairs["b"] == tried["a"]), "left_anti").join(tried, ["a", "b"], "left_anti")
+        pairs = common.settle(plausible(pairs, looks, similarity), "pairs")
+        more = common.settle(verify(pairs), "verified")
+        tried, found = (pairs, more) if tried is None else (tried.unionAll(pairs), found.unionAll(more))
+        roots = graph.components(found)
+    rest = unlike(kept, roots)
+    apart = rest.groupBy("bucket").agg(F.count("*").alias("count"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high and count > 2").select("bucket", "count")
+    last = survivors(rest.join(apart, "bucket").join(looks, "node"), similarity)
+    for ends in (["a", "b"], ["b", "a"]):
+        last = last.join(tried.select(F.col("a").alias(ends[0]), F.col("b").alias(ends[1])), ["a", "b"], "left_anti")
+    return common.settle(found.unionAll(verify(common.settle(last, "last"))), "links_found")
 
 
 def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -397,9 +492,10 @@ def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key:
     nodes = common.settle(heads.select("node", "one", "two").join(least_id, ["one", "two"]), "nodes")
     looks = heads.select("node", "number", "fp")
 
-    banded = shared_buckets(heads.select("node", F.explode("bands").alias("bucket")).where("bucket <> 0"))
-    near = common.settle(survivors(banded.join(looks, "node"), similarity), "near")
-    found = common.settle(verified(near, nodes, whole, shingle, similarity), "found")
+    def verify(pairs):
+        return verified(pairs, nodes, whole, lambda data, off: shingle_sets(data, off, shingle), lambda both, x, y: both >= similarity * (x + y - both) - 1e-9)
+
+    found = linked(heads.select("node", F.explode("bands").alias("bucket")).where("bucket <> 0"), looks, similarity, verify)
     roots = graph.components(found)
 
     tokens = heads.select("node", "number", F.explode("prefix").alias("bucket"))
@@ -411,7 +507,7 @@ def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key:
     rare = common.settle(rare.select("node", "bucket", F.coalesce("root", "node").alias("root")), "rare")
     across = rare.groupBy("bucket").agg(F.count("*").alias("count"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket", "count")
     far = common.settle(survivors(rare.join(across, "bucket").join(looks, "node"), similarity), "far")
-    more = verified(far, nodes, whole, shingle, similarity)
+    more = verify(far)
     roots = graph.components(common.settle(found.unionAll(more), "linked"))
 
     grouped = nodes.join(roots, "node", "left").select("one", "two", "least", F.coalesce("root", "node").alias("group"))
