@@ -443,8 +443,7 @@ def test_heatmap_orders_like_features():
     assert len(cells) == 9 and abs([f for r, _, f, _, _ in cells if r < 9].index("a") - [f for r, _, f, _, _ in cells].index("c")) == 3
 
 
-def test_quantiles(spark, monkeypatch):
-    monkeypatch.setattr(quantiles_, "HELD", 40), monkeypatch.setattr(quantiles_, "ACCURACY", 100)
+def test_quantiles(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"a": rng.normal(size=3000), "b": rng.integers(0, 3, 3000).astype(float), "c": np.where(rng.random(3000) < 0.9, 7.0, rng.normal(size=3000)), "d": np.nan})
     df = spark.createDataFrame(pdf).select(*(F.when(~F.isnan(c), F.col(c)).alias(c) for c in pdf)).repartition(3)
