@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,13 +21,9 @@ RUNS = "array<struct<start:long,length:long,period:long>>"
 
 def word_ids(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """A number for each word of all texts, equal within a text where the words are equal and never equal across texts; where each text begins."""
-    out, off, base = [], [0], 0
-    for words in texts:
-        own: dict[bytes, int] = {}
-        out += [own.setdefault(w, base + len(own)) for w in words]
-        base += len(own)
-        off.append(len(out))
-    return np.array(out, np.int32 if base < 1 << 31 else np.int64), np.array(off, np.int64)
+    off = np.concatenate([[0], np.cumsum([len(words) for words in texts])]).astype(np.int64)
+    codes = pa.array(chain.from_iterable(texts), pa.binary()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return codes * len(texts) + np.repeat(np.arange(len(texts)), np.diff(off)), off
 
 
 def root_period(x: np.ndarray, q: int) -> int:
@@ -103,23 +103,32 @@ def collapsed(words: list[bytes], runs) -> bytes:
     return b" ".join(words[i] for i in np.flatnonzero(np.cumsum(gone)[:-1] == 0).tolist())
 
 
-def pieces(texts: list[str | None]):
+Words = list[bytes]
+
+
+def pieces(ids, texts: list[str | None], edit: Callable[[int | None, Words], Words] | None):
     """Runs of whole texts of about CHUNK_BYTES, as (first, last + 1, words of each); bytes.split() parts at the same six characters."""
     a, size, words = 0, 0, []
-    for i, t in enumerate(texts):
+    for i, (own, t) in enumerate(zip(ids, texts, strict=True)):
         if words and size + len(t or "") > common.CHUNK_BYTES:
             yield a, i, words
             a, size, words = i, 0, []
-        words.append((t or "").encode().split())
+        words.append(word_list(own, t, edit))
         size += len(t or "")
     if words:
         yield a, len(texts), words
 
 
-def find_runs(docs: DataFrame, *, exponent: int = 4, least: int = 6, lags: int = LAGS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def word_list(own, text: str | None, edit) -> Words:
+    words = (text or "").encode().split()
+    return edit(own, words) if edit else words
+
+
+def find_runs(docs: DataFrame, *, exponent: int = 4, least: int = 6, edit: Callable[[int | None, Words], Words] | None = None, lags: int = LAGS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, runs (start, length, period in words; by start, then period), collapsed (the words that stay, joined by one space)
     for each row. A run is a stretch of words of smallest period q, of at least `least` words and `exponent` (2 or more, whole) times q,
-    that no neighbouring word extends. Runs may overlap or lie in one another; of each the words after its first q go.
+    that no neighbouring word extends. Runs may overlap or lie in one another; of each the words after its first q go. edit(id, words): the
+    words to take for a text's, as many as these.
 
     Texts are scanned where they are read, without a shuffle; a text whose lags may be more than `lags` is dealt as rows of a range of lags
     each, and what the ranges find is gathered for each text (a text of n words has fewer than n runs).
@@ -134,20 +143,20 @@ def find_runs(docs: DataFrame, *, exponent: int = 4, least: int = 6, lags: int =
 
     def at_once(batches):
         for b in batches:
-            for a, z, words in pieces(b.column(1).to_pylist()):
+            for a, z, words in pieces(b.column(0).to_pylist(), b.column(1).to_pylist(), edit):
                 runs = runs_of(words, 1, 1 << 62, exponent, least)
                 yield answer(b.column(0).slice(a, z - a), words, runs)
 
     def ranged(batches):
         for b in batches:
-            for own, t, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                found = runs_of([t.encode().split()], low, low + lags, exponent, least)[0]
+            for own, one, t, low in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = runs_of([word_list(one, t, edit)], low, low + lags, exponent, least)[0]
                 cols = list(zip(*found, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array([own] * len(found), pa.int64()), *(pa.array(c, pa.int64()) for c in cols)], ["row", "start", "length", "period"])
 
     def finish(batches):
         for b in batches:
-            for a, z, words in pieces(b.column(1).to_pylist()):
+            for a, z, words in pieces(b.column(0).to_pylist(), b.column(1).to_pylist(), edit):
                 runs = [[(r["start"], r["length"], r["period"]) for r in rs or []] for rs in b.column(2).slice(a, z - a).to_pylist()]
                 yield answer(b.column(0).slice(a, z - a), words, runs)
 
@@ -157,7 +166,7 @@ def find_runs(docs: DataFrame, *, exponent: int = 4, least: int = 6, lags: int =
         return short
     long = common.settle(whole.where(many).withColumn("row", F.monotonically_increasing_id()), "long_texts")
     first = F.sequence(F.lit(1).cast("long"), F.floor((F.octet_length("text") + 1) / (2 * exponent)) + 1, F.lit(lags).cast("long"))
-    dealt = long.select("row", "text", F.explode(first).alias("low"))
+    dealt = long.select("row", "doc_id", "text", F.explode(first).alias("low"))
     found = dealt.repartition("row", "low").mapInArrow(ranged, "row long, start long, length long, period long").distinct()
     listed = common.settle(found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "period", "length"))).alias("runs")), "runs")
     listed = listed.select("row", F.transform("runs", lambda r: F.struct(r["start"], r["length"], r["period"])).alias("runs"))
@@ -173,14 +182,15 @@ def answer(ids, words: list[list[bytes]], runs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array([len(w) for w in words], pa.int64()), listed, kept], ["doc_id", "n_words", "runs", "collapsed"])
 
 
-def with_tails(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text, where the texts of about a tenth of the ids repeat a part of themselves to their end: with h = crc32 of the decimal id,
-    h % 10 = 0, g = h div 10 and n words, each word i >= a = g % n becomes word a + (i - a) % p, p = 1 + (n - a) div (3 + g % 8), and the
-    words are joined by one space. Null id or text, no words: the text as it is (null: empty)."""
-    whole = common.keyed_text(docs, key, text)
-    h = F.crc32(F.col("doc_id").cast("string"))
-    chosen = whole.withColumn("g", F.when(h % 10 == 0, F.floor(h / 10).cast("long")))
-    words = chosen.withColumn("w", F.expr(r"if(g is null, null, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+', 0))")).withColumn("n", F.expr("coalesce(size(w), 0)"))
-    placed = words.withColumn("a", F.expr("if(n > 0, g % n, 0)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
-    tail = "transform(sequence(1, n), i -> if(i <= a, w[i - 1], w[int(a + (i - 1 - a) % p)]))"
-    return placed.select("doc_id", F.expr(f"if(n > 0, array_join({tail}, ' '), text)").alias("text"))
+def repeated_tail(own: int | None, words: Words) -> Words:
+    """Words that repeat a part of themselves to their end, for about a tenth of the ids: with h = crc32 of the decimal id, h % 10 = 0, g = h div
+    10 and n words, each word i >= a = g % n becomes word a + (i - a) % p, p = 1 + (n - a) div (3 + g % 8). Null id, no words: as they are."""
+    h = zlib.crc32(str(own).encode()) if own is not None else 1
+    n = len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    part = words[a : a + p]
+    return words[:a] + (part * (-(-(n - a) // p)))[: n - a]

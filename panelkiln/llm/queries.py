@@ -62,7 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = periodic.find_runs(periodic.with_tails(table(spark, sf_dir, "documents")), exponent=4, least=6)
+    found = periodic.find_runs(table(spark, sf_dir, "documents"), exponent=4, least=6, edit=periodic.repeated_tail)
     longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
     lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
     told = found.withColumn("longest", longest)
