@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
+from ..sources.panel import settled
 
 
 def counts(df: DataFrame) -> DataFrame:
@@ -52,12 +53,17 @@ def segment_counts(df: DataFrame, *, max_gap_days: int) -> DataFrame:
     return by.agg(F.sum("n").alias("n_segments")).join(long)  # one row each
 
 
-def difference(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    """n, median_abs, p99_abs, share_lt_1e8, share_lt_1e4 of |a - b|."""
-    d = df.select(F.abs(a - b).alias("d")).where("d is not null")
-    middle, high = quantiles(d, ["d"], (0.5, 0.99))["d"]
-    number = lambda x: F.lit(x).cast("double")
-    return d.agg(F.count("*").alias("n"), F.max(number(middle)).alias("median_abs"), F.max(number(high)).alias("p99_abs"), F.avg((F.col("d") < 1e-8).cast("double")).alias("share_lt_1e8"), F.avg((F.col("d") < 1e-4).cast("double")).alias("share_lt_1e4"))
+def differences(df: DataFrame, parts: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """check, n, median_abs, p99_abs, share_lt_1e8, share_lt_1e4 of |a - b| of each check. All are columns of one frame that is settled, their
+    quantiles asked for together."""
+    rows = settled(df.select(*(F.abs(a - b).alias(name) for name, (a, b) in parts.items())))
+    cuts = quantiles(rows, list(parts), (0.5, 0.99))
+    d = F.col("d")
+    long = rows.unpivot([], list(parts), "check", "d").where("d is not null")
+    seen = long.groupBy("check").agg(F.count("*").alias("n"), F.avg((d < 1e-8).cast("double")).alias("share_lt_1e8"), F.avg((d < 1e-4).cast("double")).alias("share_lt_1e4"))
+    told = df.sparkSession.createDataFrame([(name, *cuts[name]) for name in parts], "check string, median_abs double, p99_abs double")
+    out = told.join(seen, "check", "left")
+    return out.select(F.coalesce("n", F.lit(0)).alias("n"), "median_abs", "p99_abs", "share_lt_1e8", "share_lt_1e4", "check")
 
 
 def return_identity(df: DataFrame) -> DataFrame:
@@ -71,11 +77,7 @@ def return_identity(df: DataFrame) -> DataFrame:
         "_px5": F.when(F.lead("segment_id", 5).over(w) == seg, F.lead("close", 5).over(w) / F.col("close") - 1),
     })
     parts = [("ret_vs_price", "ret", "_back"), ("fwd1_vs_next_ret", "fwd_ret_1d", "_next"), ("fwd1_vs_price", "fwd_ret_1d", "_px1"), ("fwd5_vs_price", "fwd_ret_5d", "_px5")]
-    out = None
-    for name, a, b in parts:
-        one = difference(rows, F.col(a), F.col(b)).withColumn("check", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return differences(rows, {name: (F.col(a), F.col(b)) for name, a, b in parts})
 
 
 def degeneracy(signal: DataFrame, name: str, value: float = -1.0) -> DataFrame:

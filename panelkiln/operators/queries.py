@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..plans import library
 from ..plans.compile import evaluate, to_sql
 from ..plans.expr import parse
-from ..sources.panel import BARS_SQL, bars_from_lines, forward_returns
+from ..sources.panel import BARS_SQL, bars_from_lines, forward_returns, settled
 from . import audit, prune, scorecard, validation
 
 FEATURES = {"f_rev": parse("-1 * (close / delay(close, 1) - 1)"), "f_vol": parse("volume / ts_mean(volume, 5) - 1"), "f_range": parse("(high - low) / close"), "f_loc": parse("(close - low) / (high - low + 0.01)")}
@@ -90,13 +90,17 @@ def stress(spark, sf_dir):
     return snap(t.withColumn("years_covered", F.concat_ws(",", "years_covered")))
 
 
-STRESS = IC + ", " + dec_sql() + f""", sh AS (SELECT test_year, {SHARPE.format(r='long_short', h=1)} AS sharpe FROM dp0 GROUP BY test_year
+def stress_sql(horizon: int = 1) -> str:
+    return IC + ", " + dec_sql(horizon) + f""", sh AS (SELECT test_year, {SHARPE.format(r='long_short', h=horizon)} AS sharpe FROM dp0 GROUP BY test_year
 ), w AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {a}, {b})" for k, (a, b) in WINDOWS.items())}) AS v(win, a, b)
 ), t AS (SELECT win AS "window", coalesce(string_agg(CAST(test_year AS VARCHAR), ',' ORDER BY test_year), '') AS years_covered, count(test_year) AS n_years, avg(ic) AS mean_ic, avg(sharpe) AS mean_gross_sharpe
 FROM w LEFT JOIN (icy LEFT JOIN sh USING (test_year)) ON test_year BETWEEN a AND b GROUP BY win)
 SELECT "window", years_covered, n_years, {sql_snap('mean_ic', 'mean_gross_sharpe')} FROM t"""
 
 
+STRESS = stress_sql()
+
+
 # Stand-in coefficients and two schemes ------------------------------------------------------------------------------
 
 
@@ -209,10 +213,19 @@ def tuning(spark, sf_dir):
 
 def stress_runs(spark, sf_dir):
     p = predictions(spark, sf_dir)
-    t = scorecard.stress_over_runs(spark, {"one": (p, 1), "again": (p, 1)}, WINDOWS)
+    t = scorecard.stress_over_runs(spark, two_runs(p), WINDOWS)
     return snap(t.withColumn("years_covered", F.concat_ws(",", "years_covered")))
 
 
+def two_runs(p: DataFrame) -> dict[str, tuple[DataFrame, int]]:
+    """The reversal, and its opposite formed every five days."""
+    return {"reversal": (p, 1), "momentum": (p.withColumn("yhat", -F.col("yhat") + 0.0), 5)}
+
+
+#: The second run's predictions.
+OPPOSITE = ("round_even(h0 * 1E10, 0) / 1E10 + 0E0 AS yhat", "0E0 - round_even(h0 * 1E10, 0) / 1E10 AS yhat")
+
+
 def offsets_summary(spark, sf_dir):
     o = scorecard.offset_sensitivity(predictions(spark, sf_dir)).withColumns({"config": F.lit("c"), "horizon": F.lit(5)})
     return snap(scorecard.offset_summary(o))
@@ -274,9 +287,49 @@ def _enet(spark, sf_dir):
     return validation.walk_forward(model_rows(spark, sf_dir), list(FEATURES), "fwd_ret_1d", min_test_year=1997)
 
 
+def raw_rows(spark, sf_dir):
+    return evaluate(forward_returns(bars_from_lines(spark, sf_dir)), FEATURES, keep=("permno", "date", "fwd_ret_1d"))
+
+
 def standardized(spark, sf_dir):
-    raw = evaluate(forward_returns(bars_from_lines(spark, sf_dir)), FEATURES, keep=("permno", "date", "fwd_ret_1d"))
-    return snap(validation.walk_forward(raw, list(FEATURES), "fwd_ret_1d", min_test_year=1997, max_test_year=1998, normalize="standardize").preds)
+    """All test years that the bars allow, the whole grid."""
+    return snap(validation.walk_forward(raw_rows(spark, sf_dir), list(FEATURES), "fwd_ret_1d", min_test_year=1995, normalize="standardize").preds)
+
+
+def scalings(spark, sf_dir):
+    """Clipping limits and moments of the training and validation block of every fold."""
+    rows = settled(raw_rows(spark, sf_dir).where("fwd_ret_1d is not null"))
+    first, last = rows.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
+    _, scales = validation.scaled_blocks(rows, list(FEATURES), "fwd_ret_1d", list(range(first + 2, last + 1)), first, val_years=1, purge_days=5)
+    flat = [(t, c, s.low[k], s.high[k], s.mean[k], s.deviation[k]) for t, s in scales.items() for k, c in enumerate(FEATURES)]
+    return snap(spark.createDataFrame(flat, "test_year int, feature string, low double, high double, mean double, deviation double"))
+
+
+def _scalings_sql() -> str:
+    """The same from whole blocks, each sorted by itself."""
+    one = "SELECT t AS test_year, '{0}' AS feature, quantile_cont({0}, 0.005) AS low, quantile_cont({0}, 0.995) AS high FROM bk GROUP BY t"
+    cut = " UNION ALL ".join(one.format(c) for c in FEATURES)
+    own = "SELECT test_year, feature, low, high, least(greatest({0}, low), high) AS x FROM bk JOIN ql ON ql.test_year = bk.t AND ql.feature = '{0}' WHERE {0} IS NOT NULL"
+    return GRAM.split(", lr AS (", 1)[0] + f""", lr AS (SELECT date, CAST(year(date) AS INTEGER) AS year, {', '.join(FEATURES)} FROM lb WHERE y IS NOT NULL
+), ld AS (SELECT date, row_number() OVER (PARTITION BY year(date) ORDER BY date DESC) <= 5 AS late FROM (SELECT DISTINCT date FROM lr)
+), fo AS (SELECT DISTINCT year AS t FROM lr WHERE year >= (SELECT min(year) FROM lr) + 2
+), bk AS (SELECT t, lr.* FROM fo JOIN lr ON lr.year < t JOIN ld USING (date) WHERE NOT (late AND lr.year >= t - 2)
+), ql AS ({cut}
+), cl AS ({' UNION ALL '.join(own.format(c) for c in FEATURES)}
+), t AS (SELECT test_year, feature, any_value(low) AS low, any_value(high) AS high, avg(x) AS mean, stddev_pop(x) AS deviation FROM cl GROUP BY test_year, feature)
+SELECT test_year, feature, {sql_snap('low', 'high', 'mean', 'deviation')} FROM t"""
+
+
+def pool_suite(spark, sf_dir):
+    """All runs of the whole pool: four configurations and two horizons, ranked, every fit of every fold in one job."""
+    frame, base, pool = validation.model_frame(forward_returns(bars_from_lines(spark, sf_dir)))
+    kept = pool[::2]
+    runs = validation.run_suite(settled(frame), validation.feature_configs(base, pool, kept), min_test_year=1997)
+    rows = None
+    for name, run in runs.items():
+        one = run.coefs.join(run.params, "test_year").select(F.lit(name).alias("run"), "test_year", "feature", "coef", "alpha", "l1_ratio", "val_mse")
+        rows = one if rows is None else rows.unionAll(one)
+    return snap(rows)
 
 
 #: Coefficients and scales that any engine can be given: intercept, then for each feature b, low, high, mean, deviation.
@@ -328,6 +381,10 @@ def degeneracy(spark, sf_dir):
     return snap(audit.degeneracy(a7, "alpha_007"))
 
 
+def score_sql(run: str, horizon: int) -> str:
+    return f"{IC}, {dec_sql(horizon)}, a AS (SELECT avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, count(ic) AS n_active_years FROM icy), b AS (SELECT avg(sharpe) AS mean_gross_sharpe FROM (SELECT {SHARPE.format(r='long_short', h=horizon)} AS sharpe FROM dp0 GROUP BY test_year)), m AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in DECILES)} FROM dp0), u AS (SELECT *, mean_ic / ic_std AS ir, mean_ic / ic_std * sqrt(n_active_years) AS t_stat, coalesce({' AND '.join(f'{y} >= {x}' for x, y in zip(DECILES[:-1], DECILES[1:], strict=True))}, false) AS decile_monotonic FROM a, b, m) SELECT '{run}' AS run, {sql_snap('mean_ic', 'ic_std', 'ir', 't_stat')}, n_active_years, {sql_snap('mean_gross_sharpe')}, decile_monotonic FROM u"
+
+
 def _scored(f):
     return lambda spark, sf_dir: snap(f(predictions(spark, sf_dir)))
 
@@ -345,12 +402,12 @@ QUERIES = {
     "pooled_sharpe": (lambda s, d: snap(scorecard.pooled_sharpe(deciles(s, d))), f"{DEC}, t AS (SELECT {SHARPE.format(r='(0.5 * long_short)', h=1)} AS gross_sharpe, avg(0.5 * long_short) * 10000 AS long_short_bps, count(*) AS n_formations FROM dp0) SELECT {sql_snap('gross_sharpe', 'long_short_bps')}, n_formations FROM t"),
     "cumulative_long_short": (lambda s, d: snap(scorecard.cumulative_long_short(deciles(s, d, horizon=5)).select("date", F.log("cumulative").alias("log_cumulative")), 6), f"{PRED}, {dec_sql(5)}, t AS (SELECT date, ln(product(1 + long_short) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS log_cumulative FROM dp0 WHERE long_short IS NOT NULL) SELECT date, {sql_snap('log_cumulative', digits=6)} FROM t"),
     "stress_windows": (stress, STRESS),
-    "stress_over_runs": (stress_runs, f"SELECT run, t.* FROM ({STRESS}) AS t, (VALUES ('one'), ('again')) AS r(run)"),
+    "stress_over_runs": (stress_runs, f"SELECT 'reversal' AS run, * FROM ({STRESS}) UNION ALL SELECT 'momentum' AS run, * FROM ({stress_sql(5).replace(*OPPOSITE)})"),
     "offset_summary": (offsets_summary, _offset_summary_sql()),
     "tuning_complexity": (tuning, None),
     "offset_sensitivity": (_scored(lambda p: scorecard.offset_sensitivity(p).drop("long_short_bps")), _offsets_sql()),
     "decile_profile": (lambda s, d: snap(scorecard.decile_profile(deciles(s, d))), f"{DEC}, yr AS (SELECT test_year, {', '.join(f'avg({c}) AS {c}' for c in DECILES)} FROM dp0 GROUP BY test_year), lg AS ({' UNION ALL '.join(f'SELECT {k} AS decile, decile_{k} AS r FROM yr' for k in range(1, 11))}), t AS (SELECT decile, avg(r) AS mean_return, stddev_samp(r) / sqrt(count(r)) AS se_across_years, count(r) AS n_years FROM lg GROUP BY decile) SELECT decile, {sql_snap('mean_return', 'se_across_years')}, n_years FROM t"),
-    "scorecard_table": (lambda s, d: snap(scorecard.scorecard({"reversal": (predictions(s, d), 1)})), f"{IC}, {dec_sql()}, a AS (SELECT avg(ic) AS mean_ic, stddev_samp(ic) AS ic_std, count(ic) AS n_active_years FROM icy), b AS (SELECT avg(sharpe) AS mean_gross_sharpe FROM (SELECT {SHARPE.format(r='long_short', h=1)} AS sharpe FROM dp0 GROUP BY test_year)), m AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in DECILES)} FROM dp0), u AS (SELECT *, mean_ic / ic_std AS ir, mean_ic / ic_std * sqrt(n_active_years) AS t_stat, coalesce({' AND '.join(f'{y} >= {x}' for x, y in zip(DECILES[:-1], DECILES[1:], strict=True))}, false) AS decile_monotonic FROM a, b, m) SELECT 'reversal' AS run, {sql_snap('mean_ic', 'ic_std', 'ir', 't_stat')}, n_active_years, {sql_snap('mean_gross_sharpe')}, decile_monotonic FROM u"),
+    "scorecard_table": (lambda s, d: snap(scorecard.scorecard(two_runs(predictions(s, d)))), f"SELECT * FROM ({score_sql('reversal', 1)}) UNION ALL SELECT * FROM ({score_sql('momentum', 5).replace(*OPPOSITE)})"),
     "run_summary": (_scored(lambda p: scorecard.run_summary(p)), f"{IC}, {dec_sql()}, iy AS (SELECT test_year, avg(ic) AS ic FROM (SELECT test_year, date, {sql_corr('ry', 'rh')} AS ic FROM rk GROUP BY ALL) GROUP BY test_year), a AS (SELECT avg(ic) AS mean_ic_active, stddev_samp(ic) AS ic_std_active, count(ic) AS n_active_years, avg(coalesce(ic, 0E0)) AS mean_ic_all_years, CAST(sum(CASE WHEN ic > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_ic_years FROM iy), b AS (SELECT {SHARPE.format(r='(0.5 * long_short)', h=1)} AS gross_sharpe, avg(0.5 * long_short) * 10000 AS long_short_bps, count(*) AS n_formations FROM dp0), m AS (SELECT avg(y) AS mean_test_return FROM pred) SELECT {sql_snap('mean_ic_active', 'ic_std_active')}, n_active_years, {sql_snap('mean_ic_all_years')}, positive_ic_years, {sql_snap('gross_sharpe', 'long_short_bps')}, n_formations, {sql_snap('mean_test_return')} FROM a, b, m"),
     "nonzero_by_year": (lambda s, d: scorecard.nonzero_by_year(coefs(s, d)), f"{COEFS} SELECT test_year, CAST(sum(CASE WHEN abs(coef) > 1E-8 THEN 1 ELSE 0 END) AS BIGINT) AS n_nonzero FROM cy GROUP BY test_year"),
     "coefficient_comparison": (lambda s, d: snap(scorecard.coefficient_comparison(coefs(s, d), ["f_rev", "f_loc"])), f"{COEFS}, t AS (SELECT feature, feature IN ('f_rev', 'f_loc') AS kept_by_correlation_filter, max(abs(coef)) > 1E-8 AS kept_by_elastic_net_any_fold, avg(abs(coef)) AS mean_abs_coef FROM cy GROUP BY feature) SELECT feature, kept_by_correlation_filter, kept_by_elastic_net_any_fold, {sql_snap('mean_abs_coef')} FROM t"),
@@ -367,6 +424,8 @@ QUERIES = {
     "walk_forward_elastic_net": (enet, None),
     "elastic_net_coefficients": (enet_coefs, None),
     "walk_forward_standardized": (standardized, None),
+    "standardized_scalings": (scalings, _scalings_sql()),
+    "pool_suite_coefficients": (pool_suite, None),
     "predictions_of_given_coefficients": (given, _given_sql()),
     "panel_counts": (lambda s, d: audit.counts(bars_from_lines(s, d)), f"{BARS_SQL} SELECT count(*) AS n_rows, count(DISTINCT permno) AS n_permno, count(DISTINCT date) AS n_dates, CAST(min(date) AS VARCHAR) AS date_min, CAST(max(date) AS VARCHAR) AS date_max FROM panel"),
     "names_per_day": (lambda s, d: audit.names_per_day(bars_from_lines(s, d)), f"{BARS_SQL} SELECT min(n) AS names_min, quantile_cont(CAST(n AS DOUBLE), 0.5) AS names_median, max(n) AS names_max FROM (SELECT count(DISTINCT permno) AS n FROM panel GROUP BY date)"),

@@ -1,4 +1,6 @@
-"""Scoring of predictions (test_year, date, permno, y, yhat): information coefficients, decile portfolios, Sharpe ratios."""
+"""Scoring of predictions (test_year, date, permno, y, yhat): information coefficients, decile portfolios, Sharpe ratios.
+
+Most functions take `by`: further key columns, so that many runs are scored by one plan, as rows of one table (see stacked)."""
 
 from __future__ import annotations
 
@@ -36,9 +38,9 @@ def daily_ic(preds: DataFrame, *, keys=("date",), least: int = 3) -> DataFrame:
     return joined.select(*keys, F.when(F.col("rows") >= least, F.col("ic")).alias("ic")) if least > 1 else joined.select(*keys, "ic")
 
 
-def ic_by_year(preds: DataFrame) -> DataFrame:
+def ic_by_year(preds: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
     """test_year, ic: mean of the daily coefficients, null dates left out."""
-    return daily_ic(preds, keys=("test_year", "date")).groupBy("test_year").agg(F.avg("ic").alias("ic"))
+    return daily_ic(preds, keys=(*by, "test_year", "date")).groupBy(*by, "test_year").agg(F.avg("ic").alias("ic"))
 
 
 def mean_daily_spearman_by_year(preds: DataFrame) -> DataFrame:
@@ -50,73 +52,102 @@ def pooled_pearson_by_year(preds: DataFrame) -> DataFrame:
     return preds.where("y is not null and yhat is not null").groupBy("test_year").agg(pearson("y", "yhat").alias("ic"))
 
 
-def ic_stats(by_year: DataFrame) -> DataFrame:
+def ic_stats(by_year: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
     """mean_ic, ic_std, ir, t_stat, n_active_years over years with a coefficient."""
-    t = by_year.agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("ic_std"), F.count("ic").alias("n_active_years"))
+    t = by_year.groupBy(*by).agg(F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("ic_std"), F.count("ic").alias("n_active_years"))
     ir = F.when(F.col("ic_std") > 0, F.col("mean_ic") / F.col("ic_std"))
-    return t.select("mean_ic", "ic_std", ir.alias("ir"), (ir * F.sqrt("n_active_years")).alias("t_stat"), "n_active_years")
+    return t.select(*by, "mean_ic", "ic_std", ir.alias("ir"), (ir * F.sqrt("n_active_years")).alias("t_stat"), "n_active_years")
 
 
-def decile_portfolio(preds: DataFrame, *, horizon: int = 1, offset: int = 0, n: int = 10) -> DataFrame:
+def decile_portfolio(preds: DataFrame, *, horizon: int | str = 1, offset: int | None = 0, n: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
     """test_year, date, decile_1 .. decile_n, long_short: mean y of equal groups by yhat (ties to the smaller permno), on every
-    horizon-th date of each test year from `offset` on; dates with fewer than n rows or a constant yhat are left out."""
-    if not 0 <= offset < horizon:
+    horizon-th date of each test year from `offset` on; dates with fewer than n rows or a constant yhat are left out.
+
+    horizon: a number, or the column of `by` that holds it. offset: None forms all of them, each date under its own (column offset), in the
+    same sort."""
+    if offset is not None and (offset < 0 or not isinstance(horizon, str) and offset >= horizon):
         raise ValueError(f"offset must lie in [0, {horizon}), not {offset}")
-    dates = preds.select("test_year", "date").distinct()
-    place = F.dense_rank().over(Window.partitionBy("test_year").orderBy("date")) - 1
-    chosen = dates.withColumn("p", place).where((F.col("p") % horizon == offset) & (F.col("p") >= offset)).select("test_year", "date")
-    day = Window.partitionBy("test_year", "date")
-    rows = preds.join(chosen, ["test_year", "date"]).where(F.col("yhat").isNotNull())
+    step = F.col(horizon) if isinstance(horizon, str) else F.lit(horizon)
+    dates = preds.select(*by, "test_year", "date").distinct()
+    place = F.dense_rank().over(Window.partitionBy(*by, "test_year").orderBy("date")) - 1
+    placed = dates.withColumn("offset", (place % step).cast("int"))
+    keys = [*by, "test_year", "date"]
+    chosen = placed if offset is None else placed.where(F.col("offset") == offset).drop("offset")
+    day = Window.partitionBy(*keys)
+    known = preds.where(F.col("yhat").isNotNull()).select(*keys, "permno", "y", "yhat")
+    rows = known.join(chosen, keys)
+    kept = [*keys, *(["offset"] if offset is None else [])]
     rows = rows.withColumns({"r": F.row_number().over(day.orderBy("yhat", "permno")), "n": F.count("*").over(day), "lo": F.min("yhat").over(day), "hi": F.max("yhat").over(day)})
     cut = rows.where((F.col("n") >= n) & (F.col("lo") < F.col("hi"))).withColumn("d", F.greatest(F.lit(1), F.ceil((F.col("r") - 1) * n / (F.col("n") - 1))).cast("int"))
-    wide = cut.groupBy("test_year", "date").pivot("d", list(range(1, n + 1))).agg(F.avg("y"))
-    wide = wide.select("test_year", "date", *(F.col(str(k)).alias(f"decile_{k}") for k in range(1, n + 1)))
+    wide = cut.groupBy(*kept).pivot("d", list(range(1, n + 1))).agg(F.avg("y"))
+    wide = wide.select(*kept, *(F.col(str(k)).alias(f"decile_{k}") for k in range(1, n + 1)))
     return wide.withColumn("long_short", F.col(f"decile_{n}") - F.col("decile_1"))
 
 
-def decile_means(deciles: DataFrame, n: int = 10) -> DataFrame:
+def decile_means(deciles: DataFrame, n: int = 10, *, by: tuple[str, ...] = ()) -> DataFrame:
     """decile_1 .. decile_n averaged over dates, and whether they never fall."""
-    means = deciles.agg(*(F.avg(f"decile_{k}").alias(f"decile_{k}") for k in range(1, n + 1)))
+    means = deciles.groupBy(*by).agg(*(F.avg(f"decile_{k}").alias(f"decile_{k}") for k in range(1, n + 1)))
     rising = F.lit(True)
     for k in range(1, n):
         rising = rising & (F.col(f"decile_{k + 1}") >= F.col(f"decile_{k}"))
     return means.withColumn("decile_monotonic", F.coalesce(rising, F.lit(False)))
 
 
-def _sharpe(r: Column, horizon: int) -> Column:
+def _sharpe(r: Column, horizon: int | str) -> Column:
     s = F.stddev_samp(r)
-    return F.when((F.count(r) >= 2) & (s > 0), F.avg(r) / s * (TRADING_DAYS / horizon) ** 0.5)
+    scale = F.sqrt(TRADING_DAYS / F.first(horizon)) if isinstance(horizon, str) else F.lit((TRADING_DAYS / horizon) ** 0.5)
+    return F.when((F.count(r) >= 2) & (s > 0), F.avg(r) / s * scale)
 
 
-def sharpe_by_year(deciles: DataFrame, *, horizon: int = 1) -> DataFrame:
-    return deciles.groupBy("test_year").agg(_sharpe(F.col("long_short"), horizon).alias("sharpe"))
+def sharpe_by_year(deciles: DataFrame, *, horizon: int | str = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    return deciles.groupBy(*by, "test_year").agg(_sharpe(F.col("long_short"), horizon).alias("sharpe"))
 
 
-def pooled_sharpe(deciles: DataFrame, *, horizon: int = 1) -> DataFrame:
+def pooled_sharpe(deciles: DataFrame, *, horizon: int | str = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """The other convention: one ratio of half the long-short return over all formation dates."""
     r = F.col("long_short") * 0.5
-    return deciles.agg(_sharpe(r, horizon).alias("gross_sharpe"), (F.avg(r) * 10_000).alias("long_short_bps"), F.count("*").alias("n_formations"))
-
-
-def cumulative_long_short(deciles: DataFrame) -> DataFrame:
-    """date, cumulative: running product of 1 + long_short. A row for each formation date, some thousands at most."""
-    w = Window.partitionBy(F.lit(0)).orderBy("date")
-    return deciles.where("long_short is not null").select("date", F.aggregate(F.collect_list("long_short").over(w), F.lit(1.0), lambda p, r: p * (1 + r)).alias("cumulative"))
-
-
-def stress_windows(spark, ic: DataFrame, sharpe: DataFrame, windows: dict = STRESS) -> DataFrame:
-    """window, years_covered, n_years, mean_ic, mean_gross_sharpe; a window without data has a row of its own."""
-    w = spark.createDataFrame([(k, a, b) for k, (a, b) in windows.items()], "window string, a int, b int")
-    years = ic.join(sharpe, "test_year", "left")
-    joined = F.broadcast(w).join(years, F.col("test_year").between(F.col("a"), F.col("b")), "left")
-    return joined.groupBy("window").agg(F.sort_array(F.collect_list("test_year")).alias("years_covered"), F.count("test_year").alias("n_years"), F.avg("ic").alias("mean_ic"), F.avg("sharpe").alias("mean_gross_sharpe"))
-
-
-def decile_profile(deciles: DataFrame, n: int = 10) -> DataFrame:
+    return deciles.groupBy(*by).agg(_sharpe(r, horizon).alias("gross_sharpe"), (F.avg(r) * 10_000).alias("long_short_bps"), F.count("*").alias("n_formations"))
+
+
+def cumulative_long_short(deciles: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """date, cumulative: running product of 1 + long_short by date, of each `by`.
+
+    A scan in two levels: within a calendar year in a window of its own, and the product of the years before from a table of years. A
+    product is kept as its sum of logarithms, its number of negative factors and of zeros, which all add up."""
+    x = 1 + F.col("long_short")
+    size = {"log": F.coalesce(F.log(F.abs(F.when(x != 0, x))), F.lit(0.0)), "minus": (x < 0).cast("int"), "zero": (x == 0).cast("int")}
+    rows = deciles.where("long_short is not null").select(*by, "date", F.year("date").alias("year"), *(c.alias(k) for k, c in size.items()))
+    years = rows.groupBy(*by, "year").agg(*(F.sum(k).alias(k) for k in size))
+    seen, past = years.select(*by, "year"), years.withColumnRenamed("year", "past")
+    own = past.withColumnsRenamed({c: f"own_{c}" for c in by})
+    earlier = F.col("past") < F.col("year")
+    for c in by:
+        earlier = earlier & (F.col(c) == F.col(f"own_{c}"))
+    before = seen.join(own, earlier).groupBy(*by, "year").agg(*(F.sum(k).alias(f"{k}_before") for k in size))
+    w = Window.partitionBy(*by, "year").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.select(*by, "year", "date", *(F.sum(k).over(w).alias(k) for k in size)).join(before, [*by, "year"], "left")
+    total = {k: F.col(k) + F.coalesce(F.col(f"{k}_before"), F.lit(0)) for k in size}
+    sign = F.when(total["minus"] % 2 == 1, -1.0).otherwise(1.0)
+    return within.select(*by, "date", F.when(total["zero"] > 0, 0.0).otherwise(sign * F.exp(total["log"])).alias("cumulative"))
+
+
+def stress_windows(spark, ic: DataFrame, sharpe: DataFrame, windows: dict = STRESS, *, runs: list[str] | None = None) -> DataFrame:
+    """window, years_covered, n_years, mean_ic, mean_gross_sharpe; a window without data has a row of its own. runs: of each of these, told by
+    the column run."""
+    by = ["run"] if runs is not None else []
+    w = spark.createDataFrame([(r, k, a, b) for r in (runs or [""]) for k, (a, b) in windows.items()], "run string, window string, a int, b int")
+    w = w if by else w.drop("run")
+    years = ic.join(sharpe, [*by, "test_year"], "left").withColumnsRenamed({c: f"own_{c}" for c in by})
+    held = F.col("test_year").between(F.col("a"), F.col("b"))
+    joined = F.broadcast(w).join(years, held & (F.col("run") == F.col("own_run")) if by else held, "left")  # runs by windows
+    return joined.groupBy(*by, "window").agg(F.sort_array(F.collect_list("test_year")).alias("years_covered"), F.count("test_year").alias("n_years"), F.avg("ic").alias("mean_ic"), F.avg("sharpe").alias("mean_gross_sharpe"))
+
+
+def decile_profile(deciles: DataFrame, n: int = 10, *, by: tuple[str, ...] = ()) -> DataFrame:
     """decile, mean_return, se_across_years, n_years: over yearly means."""
-    yearly = deciles.groupBy("test_year").agg(*(F.avg(f"decile_{k}").alias(str(k)) for k in range(1, n + 1)))
-    long = yearly.unpivot("test_year", [str(k) for k in range(1, n + 1)], "decile", "r")
-    return long.groupBy(F.col("decile").cast("int").alias("decile")).agg(F.avg("r").alias("mean_return"), (F.stddev_samp("r") / F.sqrt(F.count("r"))).alias("se_across_years"), F.count("r").alias("n_years"))
+    yearly = deciles.groupBy(*by, "test_year").agg(*(F.avg(f"decile_{k}").alias(str(k)) for k in range(1, n + 1)))
+    long = yearly.unpivot([*by, "test_year"], [str(k) for k in range(1, n + 1)], "decile", "r")
+    return long.groupBy(*by, F.col("decile").cast("int").alias("decile")).agg(F.avg("r").alias("mean_return"), (F.stddev_samp("r") / F.sqrt(F.count("r"))).alias("se_across_years"), F.count("r").alias("n_years"))
 
 
 def spine(by_year: DataFrame, years) -> DataFrame:
@@ -135,51 +166,50 @@ def run_summary(preds: DataFrame, *, horizon: int = 1, years=None) -> DataFrame:
 
 
 def offset_sensitivity(preds: DataFrame, *, horizon: int = 5) -> DataFrame:
-    """offset and pooled Sharpe of each start of the formation cadence."""
+    """offset and pooled Sharpe of each start of the formation cadence, all formed in one sort: a date is formed by one start only."""
+    found = pooled_sharpe(decile_portfolio(preds, horizon=horizon, offset=None), horizon=horizon, by=("offset",))
+    every = preds.sparkSession.range(horizon).select(F.col("id").cast("int").alias("offset"))
+    return every.join(found, "offset", "left").withColumn("n_formations", F.coalesce("n_formations", F.lit(0)))
+
+
+def stacked(runs: dict[str, tuple[DataFrame, int]]) -> DataFrame:
+    """Predictions of all runs (predictions, horizon) as rows: run, horizon, test_year, date, permno, y, yhat."""
     rows = None
-    for o in range(horizon):
-        r = pooled_sharpe(decile_portfolio(preds, horizon=horizon, offset=o), horizon=horizon).select(F.lit(o).alias("offset"), "gross_sharpe", "long_short_bps", "n_formations")
+    for name, (preds, horizon) in runs.items():
+        r = preds.select(F.lit(name).alias("run"), F.lit(horizon).alias("horizon"), "test_year", "date", "permno", "y", "yhat")
         rows = r if rows is None else rows.unionAll(r)
     return rows
 
 
-def score(preds: DataFrame, run: str, *, horizon: int = 1) -> DataFrame:
-    """One scorecard row: run, IC statistics, mean of yearly Sharpe ratios, monotonicity."""
-    deciles = decile_portfolio(preds, horizon=horizon)
-    sharpe = sharpe_by_year(deciles, horizon=horizon).agg(F.avg("sharpe").alias("mean_gross_sharpe"))
-    one = ic_stats(ic_by_year(preds)).join(sharpe).join(decile_means(deciles).select("decile_monotonic"))  # one row each
-    return one.select(F.lit(run).alias("run"), "mean_ic", "ic_std", "ir", "t_stat", "n_active_years", "mean_gross_sharpe", "decile_monotonic")
+RUN = ("run", "horizon")
 
 
 def scorecard(runs: dict[str, tuple[DataFrame, int]]) -> DataFrame:
-    """A row for each run (predictions, horizon), best mean IC first."""
-    rows = None
-    for name, (preds, horizon) in runs.items():
-        r = score(preds, name, horizon=horizon)
-        rows = r if rows is None else rows.unionByName(r)
+    """A row for each run (predictions, horizon), best mean IC first: run, IC statistics, mean of yearly Sharpe ratios, monotonicity. The run
+    is a key, so the plan has the exchanges of one run's, however many there are."""
+    preds = stacked(runs)
+    deciles = decile_portfolio(preds, horizon="horizon", by=RUN)
+    sharpe = sharpe_by_year(deciles, horizon="horizon", by=RUN).groupBy("run").agg(F.avg("sharpe").alias("mean_gross_sharpe"))
+    parts = (ic_stats(ic_by_year(preds, by=("run",)), by=("run",)), sharpe, decile_means(deciles, by=("run",)).select("run", "decile_monotonic"))
+    rows = preds.sparkSession.createDataFrame([(name,) for name in runs], "run string")
+    for part in parts:
+        rows = rows.join(part, "run", "left")
+    rows = rows.select("run", "mean_ic", "ic_std", "ir", "t_stat", F.coalesce("n_active_years", F.lit(0)).alias("n_active_years"), "mean_gross_sharpe", F.coalesce("decile_monotonic", F.lit(False)).alias("decile_monotonic"))
     return rows.orderBy(F.desc_nulls_last("mean_ic"))
 
 
 def stress_over_runs(spark, runs: dict[str, tuple[DataFrame, int]], windows: dict = STRESS) -> DataFrame:
     """stress_windows of every run (predictions, horizon), with its name."""
-    rows = None
-    for name, (preds, horizon) in runs.items():
-        t = stress_windows(spark, ic_by_year(preds), sharpe_by_year(decile_portfolio(preds, horizon=horizon), horizon=horizon), windows)
-        t = t.select(F.lit(name).alias("run"), *t.columns)
-        rows = t if rows is None else rows.unionByName(t)
-    return rows
+    preds = stacked(runs)
+    sharpe = sharpe_by_year(decile_portfolio(preds, horizon="horizon", by=RUN), horizon="horizon", by=RUN).drop("horizon")
+    return stress_windows(spark, ic_by_year(preds, by=("run",)), sharpe, windows, runs=list(runs))
 
 
 def run_curves(runs: dict[str, tuple[DataFrame, int]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the scorecard's plots show: run and IC by year; run and long-short return cumulated by date; run and mean return by decile."""
-    tables: list = [None, None, None]
-    for name, (preds, horizon) in runs.items():
-        deciles = decile_portfolio(preds, horizon=horizon)
-        own = (ic_by_year(preds), cumulative_long_short(deciles), decile_profile(deciles))
-        for i, t in enumerate(own):
-            t = t.select(F.lit(name).alias("run"), *t.columns)
-            tables[i] = t if tables[i] is None else tables[i].unionByName(t)
-    return tuple(tables)
+    preds, by = stacked(runs), ("run",)
+    deciles = decile_portfolio(preds, horizon="horizon", by=RUN)
+    return ic_by_year(preds, by=by), cumulative_long_short(deciles, by=by), decile_profile(deciles, by=by)
 
 
 def nonzero_by_year(coefs: DataFrame, years=None) -> DataFrame:

@@ -346,7 +346,7 @@ def test_elastic_net_against_the_library(spark):
     xc, yc = x - x.mean(0), y - y.mean()
     alpha, l1 = 0.3, 0.6
     g, c = xc.T @ xc / len(x), xc.T @ yc / len(x)
-    b = validation.coordinate_descent(g, c, alpha, l1, np.zeros(3), tol=1e-12)
+    b = validation.elastic_net(g, c, alpha, l1, np.zeros(3))
     slope = c - g @ b - alpha * (1 - l1) * b  # the optimality conditions of the objective
     assert all(s == pytest.approx(alpha * l1 * np.sign(v), abs=1e-9) if v else abs(s) <= alpha * l1 for s, v in zip(slope, b))
     reg = alpha * l1 + alpha * (1 - l1) * y.std(ddof=1)
@@ -359,7 +359,7 @@ def test_alpha_grid_starts_at_the_null_model():
     g = np.eye(3)
     c = rng.normal(size=3)
     grid = validation.alpha_grid(c, 0.5)
-    assert not validation.coordinate_descent(g, c, grid[0] * 1.0001, 0.5, np.zeros(3)).any()
+    assert not validation.elastic_net(g, c, grid[0] * 1.0001, 0.5, np.zeros(3)).any()
     assert len(grid) == 30 and grid[-1] == pytest.approx(grid[0] * 1e-4)
 
 
