@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled rows that the classifier is fitted on at most (those of least hash of the id), and the part of them held out for
-#: calibration; slots of each feature family (words, word pairs, runs of four characters), and how many of these a labelled text is
-#: fitted by at most (its most frequent ones); rounds and rate of the fit; least probability (see measure()).
-MAX_LABELLED, HELD, SLOTS, MAX_SLOTS, ROUNDS, RATE, KEEP_FROM = 3_000, 4, 1 << 16, 8_192, 80, 0.5, 0.25
+#: calibration; slots of each feature family (words, word pairs, runs of four characters); rounds and rate of the fit; least
+#: probability (see measure()); entries of rows that a step of the fit unpacks together.
+MAX_LABELLED, HELD, SLOTS, ROUNDS, RATE, KEEP_FROM, UNPACKED = 3_000, 4, 1 << 16, 80, 0.5, 0.25, 1 << 22
 FAMILIES, SCALE, FIXED = 3, 30.0, 1 << 20
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -100,7 +100,7 @@ class Classifier:
 
 
 def _rows_of_features(batches):
-    """label, fold, slots and relative frequencies of each labelled text: FAMILIES * MAX_SLOTS entries at most."""
+    """label, fold, slots and relative frequencies of each labelled text: FAMILIES * SLOTS entries at most."""
     for b in batches:
         for a, z, data, off in common.text_chunks(b, 0):
             words = chunk_words(data, off)
@@ -110,9 +110,6 @@ def _rows_of_features(batches):
                 s, v = [], []
                 for k, (slot, lo, hi) in enumerate(per):
                     u, c = np.unique(slot[lo[i] : hi[i]], return_counts=True)
-                    if len(u) > MAX_SLOTS:
-                        best = np.sort(np.lexsort((u, -c))[:MAX_SLOTS])
-                        u, c = u[best], c[best]
                     s.append(u + k * SLOTS)
                     v.append(SCALE * c / max(1, hi[i] - lo[i]))
                 slots.append(np.concatenate(s).astype("<i4").tobytes())
@@ -132,29 +129,34 @@ def solve(got: list[dict]) -> Classifier:
     value = [np.frombuffer(r["values"], "<f4") for r in got]
     fold = np.array([r["fold"] for r in got])
 
-    def packed(which):
+    def unpacked(which):
+        """Slots, values and rows' places of runs of whole rows, a bounded part at a time: each round streams over the rows as they came."""
         size = np.array([len(slot[i]) for i in which])
-        return np.concatenate([slot[i] for i in which]), np.concatenate([value[i] for i in which]).astype(float), np.repeat(np.arange(len(which)), size)
+        part = np.cumsum(size) // UNPACKED
+        for k in np.unique(part):
+            own = np.flatnonzero(part == k)
+            yield np.concatenate([slot[which[i]] for i in own]), np.concatenate([value[which[i]] for i in own]).astype(float), np.repeat(own, size[own])
+
+    def margins(which):
+        return sum(np.bincount(of, v * weights[s], len(which)) for s, v, of in unpacked(which))
 
     learn, held = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
     if len(set(y[learn].tolist())) < 2:
         learn = np.arange(len(y))
-    s, v, of = packed(learn)
     t = y[learn]
     weight = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean())) / len(t)  # both labels count alike
     bias, past, past_bias = 0.0, np.full(FAMILIES * SLOTS, 1e-8), 1e-8
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(of, v * weights[s], len(t)) + bias, -50, 50)))
+        p = 1 / (1 + np.exp(-np.clip(margins(learn) + bias, -50, 50)))
         gap = (p - t) * weight
-        slope = np.bincount(s, v * gap[of], FAMILIES * SLOTS) + 1e-6 * weights
+        slope = sum(np.bincount(s, v * gap[of], FAMILIES * SLOTS) for s, v, of in unpacked(learn)) + 1e-6 * weights
         past += slope**2
         weights -= RATE * 0.1 * slope / np.sqrt(past)
         past_bias += gap.sum() ** 2
         bias -= RATE * 0.1 * gap.sum() / np.sqrt(past_bias)
     own = Classifier(np.rint(weights * FIXED).astype(np.int64).reshape(FAMILIES, SLOTS), float(bias))
     if len(held) >= 20 and len(set(y[held].tolist())) == 2:
-        s, v, of = packed(held)
-        x, t = np.bincount(of, v * weights[s], len(held)) + bias, y[held]
+        x, t = margins(held) + bias, y[held]
         hit = (t * (t.sum() + 1) / (t.sum() + 2) + (1 - t) / ((1 - t).sum() + 2))  # Platt's targets
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton's steps, damped
@@ -171,7 +173,8 @@ def solve(got: list[dict]) -> Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, label: str = "quality") -> Classifier:
-    """solve() of at most max_labelled labelled rows, in one task; only the weights come to the driver."""
+    """solve() of at most max_labelled labelled rows, by all of their features, in one task: a row holds an entry for each distinct slot of its
+    text, so FAMILIES * SLOTS at most. Only the weights come to the driver."""
     rank = F.xxhash64("doc_id")
     used = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     used = used.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(rank, "doc_id").limit(max_labelled)
