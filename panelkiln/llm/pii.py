@@ -22,7 +22,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 
 #: Documents that must hold both an entity and a term; part of the entity's information that a term may disclose at most; bits of the
-#: filters that spare work on entities, terms and pairs that can't matter; counts a task holds before it hands them on.
+#: filters that spare work on terms that can't matter; counts a task holds before it hands them on.
 SUPPORT, DISCLOSED, FILTER_BITS, HOLD = 3, 0.9, 1 << 24, 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -104,17 +104,14 @@ def words_of(text: str, spans):
             yield m.start(), m.end()
 
 
-def occurrences(text: str, spans, entity, term, wanted) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) for every entity of the text and every place of every term with wanted(entity, term); entity() and
-    term() say which can matter at all."""
-    entities, places = set(filter(entity, {entity_of(k, v) for _, k, _, v in spans})), {}
-    if not entities:
-        return []
+def occurrences(text: str, spans, wanted) -> list[tuple[int, int, int]]:
+    """(term, start, end) for every place of every term with wanted(term)."""
+    out = []
     for s, e in words_of(text, spans):
-        if (t := term_of(text[s:e])) and term(h := hashed(t)):
+        if (t := term_of(text[s:e])) and wanted(h := hashed(t)):
             lead = e - s - len(text[s:e].lstrip(_EDGE))
-            places.setdefault(h, []).append((s + lead, s + lead + len(text[s:e].strip(_EDGE))))
-    return sorted((x, t, s, e) for x in entities for t, own in places.items() if wanted(x, t) for s, e in own)
+            out.append((h, s + lead, s + lead + len(text[s:e].strip(_EDGE))))
+    return out
 
 
 def _scan(batches):
@@ -122,7 +119,7 @@ def _scan(batches):
     for b in batches:
         for at in range(0, b.num_rows, 1000):
             few = b.slice(at, 1000)
-            counts, shas, base, entities = [[] for _ in kinds], [], [], []
+            counts, shas, base, entities, terms = [[] for _ in kinds], [], [], [], []
             for t in few.column(1).to_pylist():
                 spans = base_spans(t)
                 said = [f"{KINDS[k]}:{a}:{e}" for a, k, e, _ in spans]
@@ -131,19 +128,21 @@ def _scan(batches):
                 shas.append(hashlib.sha256(",".join(said).encode()).hexdigest())
                 base.append([{"start": a, "kind": k, "end": e} for a, k, e, _ in spans])
                 entities.append(sorted({entity_of(k, v) for _, k, _, v in spans}))
+                terms.append(sorted({hashed(w) for w in {term_of(t[a:z]) for a, z in words_of(t, spans)} if w}) if spans else [])
             yield pa.RecordBatch.from_arrays(
-                [few.column(0), few.column(2), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(base, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))), pa.array(entities, pa.list_(pa.int64()))],
-                ["doc_id", "rk", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "entities"],
+                [few.column(0), few.column(2), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(base, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))), pa.array(entities, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.int64()))],
+                ["doc_id", "rk", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "entities", "words"],
             )
 
 
-SCAN = "doc_id long, rk long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, entities array<long>"
+SCAN = "doc_id long, rk long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, entities array<long>, words array<long>"
 
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Base spans and the entities in them, a row for each row; rk tells rows of one id apart by their text."""
+    """Base spans, the entities in them and, where there are any, the text's distinct terms, a row for each row; row numbers them, rk tells
+    rows of one id apart by their text."""
     rows = common.keyed_text(docs, key, text)
-    return common.settle(rows.select("doc_id", "text", F.xxhash64("text").alias("rk")).mapInArrow(_scan, SCAN), "pii")
+    return common.settle(rows.select("doc_id", "text", F.xxhash64("text").alias("rk")).mapInArrow(_scan, SCAN).withColumn("row", F.monotonically_increasing_id()), "pii")
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
@@ -169,51 +168,49 @@ def has_bit(table: np.ndarray, key: int) -> bool:
     return bool(table[key >> 3] >> (key & 7) & 1)
 
 
-def pair_key(entity: int, term: int) -> int:
-    return entity ^ (term >> 1)
-
-
 def handed_on(sums: dict, names: list[str]):
     keys = zip(*sums, strict=True) if sums else [()] * (len(names) - 1)
     return pa.RecordBatch.from_arrays([*(pa.array(k, pa.int64()) for k in keys), pa.array(sums.values(), pa.int64())], names)
 
 
+def alike(posts: DataFrame, item: str) -> DataFrame:
+    """Of posts (row, item): item, same (the least item that stands in just the same rows, told by their number and two sums of hashes), n (of
+    rows). What many items have in common is then counted once."""
+    halves = [F.pmod(F.xxhash64("row", F.lit(k)), F.lit(1 << 31)) for k in (1, 2)]
+    told = posts.groupBy(item).agg(F.count("*").alias("n"), *(F.sum(h).alias(f"s{k}") for k, h in enumerate(halves)))
+    first = told.groupBy("n", "s0", "s1").agg(F.min(item).alias("same"))
+    return told.join(first, ["n", "s0", "s1"]).select(item, "same", "n")
+
+
 def revealing(rows: DataFrame, found: DataFrame, *, support: int, disclosed: float) -> DataFrame:
-    """entity, term: the pairs where the term discloses the entity.
+    """row, term: the terms of a row that disclose an entity of it.
 
     With p(e) the part of documents that hold an entity and p(e|t) its part among those that hold the term, the term discloses
     PMI(e, t) / -log p(e) = 1 - log p(e|t) / log p(e) of the entity's information. Counts are of documents, over all of them, wherever
-    in the document the term stands."""
+    in the document the term stands.
+
+    Entities that stand in just the same documents are counted as one, and so are such terms: a page of k addresses and m words that is
+    copied has one pair to count, not k x m. A term of more documents than holding ** disclosed * n ** (1 - disclosed) discloses no entity
+    that `holding` documents hold, so frequent terms go before they are paired."""
     spark = rows.sparkSession
     n = max(2, rows.count())
-    none = spark.createDataFrame([], "entity long, term long")
-    holding = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("holding"))
-    holding = common.settle(holding.where((F.col("holding") >= support) & (F.col("holding") * 2 <= n)), "holding")
-    table = bit_table(holding.select("entity"))
-    if not table.any():
+    none = spark.createDataFrame([], "row long, term long")
+    own = found.where(F.size("entities") > 0)
+    posts = own.select("row", F.explode("entities").alias("entity"))
+    entities = common.settle(alike(posts, "entity").where((F.col("n") >= support) & (F.col("n") * 2 <= n)), "entities")
+    most = entities.agg(F.max("n")).first()[0]
+    if most is None:
         return none
-    sent_entities = common.shared(spark, table)
-
-    def pairs(batches):
-        bit, sums = sent_entities.value, {}
-        for b in batches:
-            for t in b.column(0):
-                t = t.as_py()
-                spans = base_spans(t)
-                own = {e for e in {entity_of(k, v) for _, k, _, v in spans} if has_bit(bit, e)}
-                if own:
-                    terms = {hashed(w) for w in {term_of(t[s:e]) for s, e in words_of(t, spans)} if w}
-                    for e in own:
-                        for w in terms:
-                            sums[e, w] = sums.get((e, w), 0) + 1
-                        if len(sums) > HOLD:
-                            yield handed_on(sums, ["entity", "term", "both"])
-                            sums = {}
-        yield handed_on(sums, ["entity", "term", "both"])
-
-    both = rows.select("text").mapInArrow(pairs, "entity long, term long, both long").groupBy("entity", "term").agg(F.sum("both").alias("both")).where(F.col("both") >= support)
-    both = common.settle(both.join(holding, "entity"), "pairs")
-    table = bit_table(both.select("term"))
+    held = common.settle(posts.join(entities, "entity").select("row", F.col("same").alias("e"), F.col("n").alias("holding")).distinct(), "held")
+    room = lambda holding: F.pow(holding, F.lit(disclosed)) * float(n) ** (1 - disclosed) + 1e-6
+    words = own.join(held.select("row").distinct(), "row", "left_semi").select("row", F.explode("words").alias("term"))
+    terms = common.settle(alike(words, "term").where((F.col("n") >= support) & (F.col("n") <= room(F.lit(most)))), "terms")
+    said = common.settle(words.join(terms, "term").select("row", "term", F.col("same").alias("t"), "n"), "said")
+    met = held.join(said.select("row", "t", "n").distinct(), "row").where(F.col("n") <= room(F.col("holding")))
+    both = met.groupBy("e", "t").agg(F.count("*").alias("both"), F.first("holding").alias("holding")).where(F.col("both") >= support)
+    both = common.settle(both, "pairs")
+    chosen = common.settle(terms.join(both.select(F.col("t").alias("same")).distinct(), "same", "left_semi").select("term", F.col("same").alias("t")), "chosen")
+    table = bit_table(chosen.select("term"))
     if not table.any():
         return none
     sent_terms = common.shared(spark, table)
@@ -244,31 +241,34 @@ def revealing(rows: DataFrame, found: DataFrame, *, support: int, disclosed: flo
                 sums = {}
         yield handed_on(sums, ["term", "n"])
 
-    terms = rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
+    with_term = rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("with_term")).join(chosen, "term")
     told = 1 - F.log(F.least(F.lit(1.0), F.col("both") / F.greatest("with_term", "both"))) / F.log(F.least(F.col("holding") / F.lit(float(n)), F.lit(1 - 1e-9)))
-    return common.settle(both.join(terms, "term").where(told >= disclosed).select("entity", "term"), "revealing")
+    pairs = common.settle(both.join(with_term, "t").where(told >= disclosed).select("e", "term"), "revealing")
+    marked = said.join(pairs, "term").join(held, ["row", "e"], "left_semi")
+    return common.settle(marked.select("row", "term").distinct(), "marked")
 
 
-def marks(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """m_doc, m_rk, terms: every place of a term in a document that holds an entity which the term discloses."""
-    keys = (F.expr("entity ^ shiftright(term, 1)"), F.col("entity"), F.col("term"))
-    sent = common.shared(rows.sparkSession, [bit_table(pairs.select(k.alias("key"))) for k in keys])
+def marks(rows: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """m_doc, m_rk, terms: every place of the terms (row, term) in their documents."""
+    sent = common.shared(rows.sparkSession, bit_table(terms.select("term")))
 
     def run(batches):
-        bit, of_entity, of_term = sent.value
+        of_term = sent.value
         for b in batches:
-            if not bit.any():
+            if not of_term.any():
                 continue
             doc, rk = b.column(0).to_pylist(), b.column(2).to_pylist()
             for i, t in enumerate(b.column(1)):
                 t = t.as_py()
                 spans = base_spans(t)
-                got = occurrences(t, spans, lambda e: has_bit(of_entity, e), lambda w: has_bit(of_term, w), lambda e, w: has_bit(bit, pair_key(e, w))) if spans else []
+                got = occurrences(t, spans, lambda w: has_bit(of_term, w)) if spans else []
                 if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([doc[i]] * len(got), pa.int64()), pa.array([rk[i]] * len(got), pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*got, strict=True))], ["m_doc", "m_rk", "entity", "term", "start", "end"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc[i]] * len(got), pa.int64()), pa.array([rk[i]] * len(got), pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*got, strict=True))], ["p_doc", "p_rk", "p_term", "start", "end"])
 
-    seen = rows.select("doc_id", "text", F.xxhash64("text").alias("rk")).mapInArrow(run, "m_doc long, m_rk long, entity long, term long, start long, end long")
-    return seen.join(pairs, ["entity", "term"], "left_semi").groupBy("m_doc", "m_rk").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    seen = rows.select("doc_id", "text", F.xxhash64("text").alias("rk")).mapInArrow(run, "p_doc long, p_rk long, p_term long, start long, end long")
+    own = found.select("row", F.col("doc_id").alias("m_doc"), F.col("rk").alias("m_rk")).join(terms, "row").select("m_doc", "m_rk", "term").distinct()
+    here = (F.col("p_rk") == F.col("m_rk")) & (F.col("p_term") == F.col("term")) & F.col("p_doc").eqNullSafe(F.col("m_doc"))
+    return seen.join(own, here, "left_semi").groupBy(F.col("p_doc").alias("m_doc"), F.col("p_rk").alias("m_rk")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
 
 
 def find(docs: DataFrame, *, support: int = SUPPORT, disclosed: float = DISCLOSED, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,8 +279,8 @@ def find(docs: DataFrame, *, support: int = SUPPORT, disclosed: float = DISCLOSE
     Repeated rows: each returned, and each counts as a document. Empty table: no rows. Other columns are not read."""
     rows = common.keyed_text(docs, key, text)
     found = scan(docs, key, text)
-    terms = marks(rows, revealing(rows, found, support=support, disclosed=disclosed))
-    joined = found.drop("entities").join(terms, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("rk") == F.col("m_rk")), "left")
+    terms = marks(rows, found, revealing(rows, found, support=support, disclosed=disclosed))
+    joined = found.drop("entities", "words", "row").join(terms, F.col("doc_id").eqNullSafe(F.col("m_doc")) & (F.col("rk") == F.col("m_rk")), "left")
     empty = F.array().cast("array<struct<start: long, end: long>>")
     return joined.withColumn("terms", F.coalesce("terms", empty)).drop("m_doc", "m_rk")
 
