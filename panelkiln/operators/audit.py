@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
-from ..sources.panel import settled
+from ..sources.scratch import settled
 
 
 def counts(df: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..plans import library
 from ..plans.compile import evaluate, to_sql
 from ..plans.expr import parse
-from ..sources.panel import BARS_SQL, bars_from_lines, forward_returns, settled
+from ..sources.panel import BARS_SQL, bars_from_lines, forward_returns
+from ..sources.scratch import settled
 from . import audit, prune, scorecard, validation
 
 FEATURES = {"f_rev": parse("-1 * (close / delay(close, 1) - 1)"), "f_vol": parse("volume / ts_mean(volume, 5) - 1"), "f_range": parse("(high - low) / close"), "f_loc": parse("(close - low) / (high - low + 0.01)")}

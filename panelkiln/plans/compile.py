@@ -66,8 +66,8 @@ class Plan:
             return self.column[id(node)]
         return self.text(node, d)
 
-    def text(self, node: Node, d: str) -> str:
-        """The node's SQL, its operands by name."""
+    def text(self, node: Node, d: str, over=str) -> str:
+        """The node's SQL, its operands by name. over: what to write for a window function, its SQL by default."""
         op, a, p = node.op, [self.name(x, d) for x in node.args], node.param
         if op == "field":
             return str(p)
@@ -95,7 +95,7 @@ class Plan:
             return f"sqrt({a[0]})"
         if op == "sign":
             return S.sign(d, a[0])
-        return {"log": S.slog, "nn": S.number_or_null, "finite": S.finite_or_null, "nonzero": S.nonzero, "float": S.indicator}[op](d, a[0]) if op not in TIME | CROSS else (over_time if op in TIME else over_names)(d, op, a, p)
+        return {"log": S.slog, "nn": S.number_or_null, "finite": S.finite_or_null, "nonzero": S.nonzero, "float": S.indicator}[op](d, a[0]) if op not in TIME | CROSS else (over_time if op in TIME else over_names)(d, op, a, p, over)
 
     def ordered(self):
         return [self.steps[k] for k in sorted(self.steps)]
@@ -105,66 +105,93 @@ class Plan:
         return f"{S.decimals(d, x, digits) if digits is not None else x} AS {name}"
 
 
-def over_time(d: str, op: str, a: list[str], n: int) -> str:
+#: Windows up to which order statistics and products are written out as comparisons of lags; longer ones gather a list for each row.
+UNROLL = 12
+
+
+def over_time(d: str, op: str, a: list[str], n: int, over=str) -> str:
     """Sums and what is made of them are snapped by the greatest magnitude in the window."""
     x = a[0]
     w = f"OVER ({TIME_KEYS} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-    lag = lambda k: x if not k else f"lag({x}, {k}) OVER ({TIME_KEYS})"
-    size = lambda v: f"max(abs({v})) {w}"
+    lag = lambda k: x if not k else over(f"lag({x}, {k}) OVER ({TIME_KEYS})")
+    call = lambda f: over(f"{f} {w}")
+    size = lambda v: call(f"max(abs({v}))")
     if op == "delay":
         return lag(n)
     if op == "delta":
         return f"({x} - {lag(n)})"
-    full = f"count({x}) {w} = {n}"
+    full = f"{call(f'count({x})')} = {n}"
     if op == "decay_linear":
         whole = " + ".join(f"{S.number(n - k)} * {lag(k)}" for k in range(n))
         return S.snapped(d, f"(({whole}) / {S.number(n * (n + 1) / 2)})", size(x))
     items = f"{'collect_list' if d == 'spark' else 'list'}({x}) {w}"
+    unrolled = d == "spark" and n <= UNROLL
     if op in ("ts_sum", "ts_mean", "ts_min", "ts_max"):
-        value = f"{dict(ts_sum='sum', ts_mean='avg', ts_min='min', ts_max='max')[op]}({x}) {w}"
+        value = call(f"{dict(ts_sum='sum', ts_mean='avg', ts_min='min', ts_max='max')[op]}({x})")
         value = S.snapped(d, value, size(x)) if op in ("ts_sum", "ts_mean") else value
     elif op == "ts_stddev":
-        value = S.snapped(d, f"stddev_samp({x}) {w}", size(x))
+        value = S.snapped(d, call(f"stddev_samp({x})"), size(x))
     elif op == "ts_product":
-        value = f"aggregate({items}, {S.number(1)}, (p, v) -> p * v)" if d == "spark" else f"product({x}) {w}"
+        value = "(" + " * ".join(lag(k) for k in range(n - 1, -1, -1)) + ")" if unrolled else f"aggregate({over(items)}, {S.number(1)}, (p, v) -> p * v)" if d == "spark" else f"product({x}) {w}"
         value = S.snapped(d, value, f"abs({value})")
     elif op == "ts_rank":
-        value = f"size(filter({items}, v -> v <= {x})) / {S.number(n)}" if d == "spark" else f"len(list_filter({items}, lambda v: v <= {x})) / {S.number(n)}"
+        below = "(1 + " + " + ".join(["0", *(f"CASE WHEN {lag(k)} <= {x} THEN 1 ELSE 0 END" for k in range(1, n))]) + ")"
+        below = below if unrolled else f"size(filter({over(items)}, v -> v <= {x}))" if d == "spark" else f"len(list_filter({items}, lambda v: v <= {x}))"
+        value = f"({below} / {S.number(n)})"
     elif op in ("ts_argmax", "ts_argmin"):
         best = op[-3:]
-        place = f"array_position({items}, array_{best}({items}))" if d == "spark" else f"list_position({items}, list_{best}({items}))"
-        value = f"CAST({n} - {place} AS DOUBLE)"
+        if unrolled:  # the oldest of equals
+            most = call(f"{best}({x})")
+            value = "CAST(CASE " + " ".join(f"WHEN {lag(k)} = {most} THEN {k}" for k in range(n - 1, 0, -1)) + " ELSE 0 END AS DOUBLE)" if n > 1 else S.number(0)
+        else:
+            place = f"array_position({over(items)}, array_{best}({over(items)}))" if d == "spark" else f"list_position({items}, list_{best}({items}))"
+            value = f"CAST({n} - {place} AS DOUBLE)"
     else:
         y = a[1]
-        full = f"count(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END) {w} = {n}"
-        cov = f"covar_samp({x}, {y}) {w}"
+        full = call(f"count(CASE WHEN {x} IS NOT NULL AND {y} IS NOT NULL THEN 1 END)") + f" = {n}"
+        cov = call(f"covar_samp({x}, {y})")
         if op == "ts_cov":
             value = S.snapped(d, cov, f"({size(x)} * {size(y)})")
         else:
-            sx, sy = f"stddev_samp({x}) {w}", f"stddev_samp({y}) {w}"
+            sx, sy = call(f"stddev_samp({x})"), call(f"stddev_samp({y})")
             full += f" AND {sx} > 1E-12 * {size(x)} AND {sy} > 1E-12 * {size(y)}"
             value = S.decimals(d, f"({cov} / ({sx} * {sy}))", 8)
     return f"(CASE WHEN {full} THEN {value} END)"
 
 
-def over_names(d: str, op: str, a: list[str], p) -> str:
+def over_names(d: str, op: str, a: list[str], p, over=str) -> str:
     x, w = a[0], "OVER (PARTITION BY date)"
-    size = f"max(abs({x})) {w}"
+    call = lambda f, own=w: over(f"{f} {own}")
+    size = call(f"max(abs({x}))")
     if op == "rank":  # average rank of ties over the count of values; one partitioning by date
         o = f"PARTITION BY date ORDER BY {x} ASC NULLS LAST"
-        return f"(CASE WHEN {x} IS NOT NULL THEN (rank() OVER ({o}) + count({x}) OVER ({o} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2E0 / count({x}) {w} END)"
+        upto = call(f"count({x})", f"OVER ({o} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        return f"(CASE WHEN {x} IS NOT NULL THEN ({call('rank()', f'OVER ({o})')} + {upto}) / 2E0 / {call(f'count({x})')} END)"
     if op == "scale":
-        whole = f"sum(abs({x})) {w}"
+        whole = call(f"sum(abs({x}))")
         part = f"{x} / ({whole})"
         return f"(CASE WHEN {whole} > 0 THEN {S.snapped(d, part, f'abs({part})')} * {S.number(p)} END)"
     if op == "xs_mean":
-        return S.snapped(d, f"avg({x}) {w}", size)
+        return S.snapped(d, call(f"avg({x})"), size)
     if op == "xs_std":
-        return S.snapped(d, f"stddev_samp({x}) {w}", size)
+        return S.snapped(d, call(f"stddev_samp({x})"), size)
     if op == "xs_quantile":
-        return f"{'percentile' if d == 'spark' else 'quantile_cont'}({x}, {p}) {w}"
+        return call(f"{'percentile' if d == 'spark' else 'quantile_cont'}({x}, {p})")
     own = f"OVER (PARTITION BY date, {p})"
-    return f"(CASE WHEN {p} IS NOT NULL THEN {S.snapped(d, f'({x} - avg({x}) {own})', f'max(abs({x})) {own}')} END)"
+    mean = call(f"avg({x})", own)
+    return f"(CASE WHEN {p} IS NOT NULL THEN {S.snapped(d, f'({x} - {mean})', call(f'max(abs({x}))', own))} END)"
+
+
+def step_of(frame: DataFrame, plan: Plan, nodes: list[Node]) -> DataFrame:
+    """frame with the nodes' columns. Each window function of the step is computed once, however often and by however many nodes it is named:
+    Catalyst would evaluate each mention."""
+    calls: dict[str, str] = {}
+    columns = frame.columns
+    name = plan.column[id(nodes[0])]  # names of the step's window functions are built on that of its first node
+    texts = [f"{plan.text(n, 'spark', lambda t: calls.setdefault(t, f'{name}_w{len(calls)}'))} AS {plan.column[id(n)]}" for n in nodes]
+    if calls:
+        frame = frame.selectExpr("*", *(f"{t} AS {c}" for t, c in calls.items()))
+    return frame.selectExpr(*columns, *texts)
 
 
 def evaluate(panel: DataFrame, signals: dict[str, Node], *, keep: tuple[str, ...] = ("permno", "segment_id", "date"), digits: int | None = None, settle=None, kernels: bool = False) -> DataFrame:
@@ -179,7 +206,7 @@ def evaluate(panel: DataFrame, signals: dict[str, Node], *, keep: tuple[str, ...
         if settle and phase is not None and key[0] != phase:
             frame = settle(frame)
         phase = key[0]
-        frame = frame.selectExpr("*", *(f"{plan.text(n, 'spark')} AS {plan.column[id(n)]}" for n in plan.steps[key]))
+        frame = step_of(frame, plan, plan.steps[key])
     return frame.selectExpr(*keep, *(plan.result(name, node, "spark", digits) for name, node in signals.items()))
 
 

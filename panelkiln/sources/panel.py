@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window
@@ -81,6 +80,12 @@ def prepare(df: DataFrame, *, max_gap_days: int = MAX_GAP_DAYS, horizons=()) ->
     return forward_returns(df, horizons) if horizons else df
 
 
+def first_segments(df: DataFrame, *, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
+    """permno, year, first_segment: the segment that each name's first row of a year lies in, counted from its first row of all."""
+    rows = df.select("permno", "date").withColumn("segment", segment_id(max_gap_days=max_gap_days))
+    return rows.groupBy("permno", F.year("date").alias("year")).agg(F.min("segment").alias("first_segment"))
+
+
 def bars_from_lines(spark: SparkSession, sf_dir: str, *, max_gap_days: int = 30) -> DataFrame:
     """A panel from order lines: a supplier is a security, its day's unit prices make the bar. Aggregation has a partial step."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
@@ -114,11 +119,6 @@ WITH line AS (
 )"""
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder where one is set, which all executors share, else kept on the executors' disks."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist(StorageLevel.DISK_ONLY)
-
-
 def write_by_year(df: DataFrame, path: str, *, single: bool = False) -> None:
     """Parquet by year of date; a rerun replaces only the years it holds. single: doubles as floats."""
     if single:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from panelkiln import queries as Q
 from panelkiln.functions import quantiles as quantiles_
+from panelkiln.sources import scratch
 from panelkiln.operators import audit, prune, scorecard, validation
 from panelkiln.plans import library
 from panelkiln.plans.compile import Plan, evaluate, to_sql
@@ -401,13 +402,35 @@ def test_frames_by_year(spark, tmp_path, monkeypatch):
     args = dict(start_year=2016, end_year=2017, warmup_years=1, numbers=[12, 101], min_coverage=0.0)
     got, base, pool = validation.model_frame_by_year(spark, path, out, **args)
     whole, _, _ = validation.model_frame(P.prepare(P.load_panel(spark, path, end_year=2017), horizons=(1, 5)), numbers=[12, 101], min_coverage=0.0)
-    columns = ["fwd_ret_1d", "rev_5d", "alpha_012", "alpha_101", "ret_21d"]
+    columns = ["segment_id", "fwd_ret_1d", "rev_5d", "alpha_012", "alpha_101", "ret_21d"]
     a, b = (t.where("year(date) >= 2016").select("permno", "date", *columns).toPandas().sort_values(["permno", "date"]).reset_index(drop=True) for t in (got, whole))
     assert len(a) == len(b) > 3000 and dict(got.dtypes)["alpha_101"] == "float"
     for c in columns:
         assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-5, equal_nan=True), c
+    few = validation.model_frame_by_year(spark, path, out, **args, top_n=8)[0]  # other parameters, other frames
+    assert few.groupBy("date").count().agg(F.max("count")).first()[0] == 8 and validation.model_frame_by_year(spark, path, out, **args, horizons=(1,))[0].columns.count("fwd_ret_5d") == 0
+    loader, n = P.load_panel, got.count()
     monkeypatch.setattr(validation, "load_panel", None)
-    assert validation.model_frame_by_year(spark, path, out, **args)[0].count() == got.count()
+    assert validation.model_frame_by_year(spark, path, out, **args)[0].count() == n
+    # a write that was killed: no mark, a rest of a file
+    monkeypatch.setattr(validation, "load_panel", loader)
+    year = next(p for p in (tmp_path / "frames").rglob("year=2017*") if "fwd_ret_5d" in spark.read.parquet(str(p)).columns and spark.read.parquet(str(p)).count() > 1500)
+    rows = spark.read.parquet(str(year)).count()
+    for f in year.iterdir():
+        f.unlink()
+    (year / "_temporary").mkdir()
+    assert validation.model_frame_by_year(spark, path, out, **args)[0].count() == n and spark.read.parquet(str(year)).count() == rows
+
+
+def test_scratch_is_empty_after_its_scope(spark):
+    with scratch.scope(spark) as own:
+        df = scratch.settled(spark.range(5), "five")
+        assert df.count() == 5 and scratch.exists(spark, own)
+    assert not scratch.exists(spark, own)
+    with pytest.raises(ZeroDivisionError), scratch.scope(spark) as own:
+        scratch.settled(spark.range(5))
+        raise ZeroDivisionError
+    assert not scratch.exists(spark, own)
 
 
 def test_run_prune(spark, tmp_path):
