@@ -11,6 +11,7 @@ from panelkiln.operators import queries as O
 from panelkiln.plans import library
 from panelkiln.plans.compile import evaluate
 from panelkiln.sources.panel import bars_from_lines
+from panelkiln.sources.scratch import scope
 
 
 def main() -> None:
@@ -31,7 +32,8 @@ def main() -> None:
     seconds = {}
     for name, f in runs.items():
         start = time.time()
-        f(spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with scope(spark):
+            f(spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 2)
     print(json.dumps({"metric": "panel_suite_seconds", "value": round(sum(seconds.values()), 2), "unit": "sec", "queries": seconds, "sf": sf_dir.rstrip("/").rpartition("sf")[2]}))
     spark.stop()
