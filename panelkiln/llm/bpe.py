@@ -149,7 +149,7 @@ def _shared_codec(spark, ranks_path: str, pattern: str):
 def encode(docs: DataFrame, *, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers) for each row.
 
-    Null text: empty, no ids. Null id: returned as null. Repeated rows: each returned. Empty table: no rows. Other columns are
+    Null text: empty, no ids. Very long texts: whole. Null id: returned as null. Repeated rows: each returned. Empty table: no rows. Other columns are
     not read. No special tokens: their strings are ordinary text."""
     get = _shared_codec(docs.sparkSession, ranks_path, pattern)
 
@@ -178,7 +178,10 @@ def decode(encoded: DataFrame, *, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, *, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode the ids, in one pass that keeps neither."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, then decode the ids, in one pass that keeps neither.
+
+    Null text: empty, no ids. Very long texts: whole. Null id: returned as null. Repeated rows: each returned. Empty table: no rows. Other
+    columns are not read."""
     get = _shared_codec(docs.sparkSession, ranks_path, pattern)
 
     def run(batches):

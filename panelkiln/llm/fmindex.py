@@ -179,7 +179,7 @@ def remove_repeated_words(docs: DataFrame, *, key: str = "doc_id", text: str = "
 
     A word goes if a window of 50 words that covers it also starts in a document of smaller id. Matches lie within documents and are
     judged on the input. Null text: no words. Null id: taken as smaller than any. Repeated rows (id and text): judged as one document,
-    each returned. An id with several texts: a document for each, in order of the texts' hashes. Texts under 50 words: kept whole. Empty
+    each returned. An id with several texts: a document for each, in order of the texts' hashes. Texts under 50 words: kept whole. Very long texts: whole, too. Empty
     table: no rows. Other columns are not read. Words are compared by 64 hash bits."""
     return substrings.remove_repeats(docs, substrings.WORDS, search, key=key, text=text, most=most)
 

@@ -152,7 +152,7 @@ def pack(
     the target mixture but for a document at each queue's end. shares: weights by source; else a source's weight is its tokens to the
     power of temper, so 1 is the corpus's own mixture, and less gives small sources more. The stream is cut every `length` tokens; only the
     last sequence can be short, and is padded unless its length is a power of two. Null text: only the end id. Null source: a queue of
-    its own, after the others if shares are given. Null id: returned as null. Repeated rows: each packed. Empty table: no rows. Other
+    its own, after the others if shares are given. Very long texts: whole. Null id: returned as null. Repeated rows: each packed. Empty table: no rows. Other
     columns are not read. The order of documents within a source is that of their parts of the input."""
     encoded = common.settle(encode_queues(docs, tokenizer_path=tokenizer_path, ranks_path=ranks_path, pattern=pattern, end_id=end_id, key=key, text=text, source=source), "packing")
     placed = schedule(encoded, window=window, shares=shares, temper=temper).select("doc_id", "n", "place", "ids")

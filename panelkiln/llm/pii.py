@@ -276,7 +276,7 @@ def find(docs: DataFrame, *, support: int = SUPPORT, disclosed: float = DISCLOSE
     finds, every place of the terms that disclose an entity of the document.
 
     An entity that over half of all documents hold discloses nothing. Null text: empty, no spans. Null id: returned as null.
-    Repeated rows: each returned, and each counts as a document. Empty table: no rows. Other columns are not read."""
+    Very long texts: whole. Repeated rows: each returned, and each counts as a document. Empty table: no rows. Other columns are not read."""
     rows = common.keyed_text(docs, key, text)
     found = scan(docs, key, text)
     terms = marks(rows, found, revealing(rows, found, support=support, disclosed=disclosed))
@@ -305,7 +305,8 @@ def generalised(text: str, base, terms) -> str:
 
 def redact(docs: DataFrame, *, support: int = SUPPORT, disclosed: float = DISCLOSED, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with each span of the text replaced by its kind in brackets: entities and disclosing terms alike are generalised. A null text
-    stays null; all columns and rows stay, whatever the columns' names."""
+    stays null, an empty one empty; very long texts are read whole. Rows without an id and repeated rows are treated alike. All columns and
+    rows stay, whatever the columns' names; an empty table stays empty."""
     found = find(docs, support=support, disclosed=disclosed, key=key, text=text)
     doc, rk, base, terms = (common.fresh(docs.columns, c) for c in ("doc", "rk", "base", "terms"))
     spans = found.where((F.size("base") > 0) | (F.size("terms") > 0)).select(F.col("doc_id").alias(doc), F.col("rk").alias(rk), F.col("base").alias(base), F.col("terms").alias(terms)).dropDuplicates([doc, rk])

@@ -197,7 +197,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, probability for each row.
 
     kept is false where a counted rule fails, else whether the calibrated probability of good quality reaches keep_from. Null
-    text: no words, so the counted rule fails. Null id: returned as null. Repeated rows: each returned; a label counts once for an
+    text: no words, so the counted rule fails. Very long texts: whole. Null id: returned as null. Repeated rows: each returned; a label counts once for an
     id, the lower if they differ. Empty tables: no rows; without labels of both kinds only the counted rules reject. Other columns
     are not read."""
     rows = common.keyed_text(docs, key, text)
@@ -220,7 +220,10 @@ def judge(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLE
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, keep_from: float = KEEP_FROM, text: str = "text") -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns, in one pass."""
+    """The rows of docs that judge() keeps, with all their columns, in one pass.
+
+    Null, empty and very long texts: as in judge(), so a null text goes. Rows without an id and repeated rows: each by its text. All columns
+    stay, whatever their names. Empty table: no rows."""
     model = fit(common.keyed_text(docs, text=text), labels, max_labelled=max_labelled)
     sent = common.shared(docs.sparkSession, (model.weights.astype(np.int32), model.bias, model.slope, model.shift))
 

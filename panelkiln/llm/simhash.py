@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, bits: int = BITS, key:
 
     Texts with fewer words than a shingle are one shingle; without words the fingerprint is 0, linked like any other. Null text:
     empty. Null id: returned with its fingerprint and a null component unless linked to a row with an id. Repeated rows: each
-    returned. Empty table: no rows. Other columns are not read."""
+    returned. Very long texts: whole. Empty table: no rows. Other columns are not read."""
     rows = common.settle(fingerprint_rows(docs, shingle, key, text), "fingerprints")
     fps = common.settle(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "distinct")
     roots = graph.components(links(fps, bits))
@@ -467,7 +467,7 @@ def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key:
     and the whole shingle sets verify each survivor once.
 
     Texts without words are copies of each other. Null text: no words. Null id: returned with a null component, links nothing. Repeated
-    rows: each returned; an id with several texts is a node for each. Empty table: no rows. Other columns are not read."""
+    rows: each returned; an id with several texts is a node for each. Very long texts: whole. Empty table: no rows. Other columns are not read."""
     whole = common.keyed_text(docs, key, text)
 
     def identify(batches):
@@ -518,7 +518,8 @@ def similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key:
 
 def keep_one(docs: DataFrame, groups: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each group of similar(): that of the least id, of two texts with that id the one of lesser hash, of rows that
-    repeat both any one. Rows without an id stay. All columns stay, whatever their names."""
+    repeat both any one. Rows without an id stay. Null, empty and very long texts: told by the whole text's hash, null as empty. All columns
+    stay, whatever their names. Empty table: no rows."""
     own, hashed, n = (common.fresh(docs.columns, c) for c in ("own", "hashed", "n"))
     first = groups.where("component_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     counted = groups.where("component_id is not null").groupBy("component_id", "doc_id", "text_hash").agg(F.count("*").alias("n"))

@@ -50,14 +50,14 @@ def remove_repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "
     A byte goes if a 100-byte string that covers it also starts earlier: in a document of smaller id, or earlier in its own. Matches
     lie within documents and are judged on the input. Null text: empty. Null id: taken as smaller than any. Repeated rows (id and
     text): judged as one document, each returned. An id with several texts: a document for each, in order of the texts' hashes. Texts
-    under 100 bytes: kept whole. Empty table: no rows. Other columns are not read. Runs of windows that are equal as a whole are told
+    under 100 bytes: kept whole. Texts of up to 2 ** 30 bytes (PLACE_BITS); Arrow batches end at twice that. Empty table: no rows. Other columns are not read. Runs of windows that are equal as a whole are told
     by 128 hash bits, all other strings by their bytes."""
     return substrings.remove_repeats(docs, substrings.BYTES, search, key=key, text=text, most=most)
 
 
 def cut_repeated_bytes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated bytes gone from the text, and with them what is left of a character that lost one. A null text stays
-    null; all rows and columns stay, whatever the columns' names."""
+    null, an empty one empty. Very long texts: whole. All rows and columns stay, whatever the columns' names; an empty table stays empty."""
     cut = common.fresh(docs.columns, "cut")
     joined = substrings.cut_repeats(docs, substrings.BYTES, search, cut, key=key, text=text)
     edges = F.flatten(F.transform(cut, lambda s: F.array(s["start"], s["end"])))

@@ -94,7 +94,7 @@ def frequent_table(texts: list[str], vocabulary: bytes, entries: int = TABLE_ENT
 def count_tokens(docs: DataFrame, *, tokenizer_path: str, max_tokens: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row, as the library counts it without added special tokens.
 
-    Null text: empty, 0 tokens. Null id: returned as null. Repeated rows: each returned. Empty table: no rows. Other columns
+    Null text: empty, 0 tokens. Very long texts: whole. Null id: returned as null. Repeated rows: each returned. Empty table: no rows. Other columns
     are not read. Special strings in a text are one token each, as in the library's default."""
     spark = docs.sparkSession
     rows = common.keyed_text(docs, key, text)

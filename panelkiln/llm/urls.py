@@ -186,7 +186,7 @@ def filter_urls(pages: DataFrame, *, rules=RULES, key: str = "page_id", url: str
 
     Where no rule fits, the verdict is the model's: allow if the length-normalised log-likelihood difference of host and path
     reaches the calibrated threshold. Null or odd url: empty host and path, judged by the model as ratio 0. With no ruled URL of
-    one kind the threshold is 0. Null id: returned as null. Repeated rows: each returned. Empty table: no rows. Other columns are
+    one kind the threshold is 0. Very long URLs: whole. Null id: returned as null. Repeated rows: each returned. Empty table: no rows. Other columns are
     not read."""
     u = F.col(url)
     rows = pages.select(F.col(key).cast("long").alias("page_id"), host_of(u).alias("host"), path_of(u).alias("path"))
