@@ -671,8 +671,9 @@ def wide_functions(data):
 
 
 def test_every_formula_by_another_evaluator(spark):
+    """Each but alpha_096 with some dozens of known values at least: that one needs a dozen windows of three days in a row without a constant rank."""
     rng = np.random.default_rng(12)
-    days, names = 290, 6
+    days, names = 290, 8
     close = 30 * np.exp(np.cumsum(rng.normal(size=(days, names)) * 0.03, axis=0))
     wide = {"close": close, "open": close * np.exp(rng.normal(size=close.shape) * 0.01), "volume": rng.integers(100, 5000, close.shape).astype(float)}
     wide["high"], wide["low"] = (f(wide["open"], close) * np.exp(s * rng.uniform(0.001, 0.02, close.shape)) for f, s in ((np.maximum, 1), (np.minimum, -1)))
@@ -693,8 +694,9 @@ def test_every_formula_by_another_evaluator(spark):
             want = eval(to_python(formula), {"__builtins__": {}}, scope).astype(float).to_numpy().ravel()  # noqa: S307
             have = got[name].to_numpy().astype(float)
             same = np.isclose(have, want, rtol=1e-6, atol=1e-7) | (np.isnan(have) & np.isnan(want))
-            if (~same).sum() > 17:  # of 1,740: a tie of values that differ in the tenth digit may fall either way
-                wrong[name] = int((~same).sum())
+            known = int((~np.isnan(want)).sum())
+            if known < 40 and name != "alpha_096" or (~same).sum() > 0.01 * known:  # a tie of values that differ in the tenth digit may fall either way
+                wrong[name] = (known, int((~same).sum()))
     assert wrong == {}
 
 
