@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelkiln.llm import merkle, minhash, periodic, queries, simhash
+from panelkiln.llm import merkle, minhash, periodic, pii, quality, queries, simhash
 
 from .test_llm import DOC, corpus
 
@@ -283,3 +284,45 @@ def test_tampering_is_seen(spark, tmp_path):
     for r in found:
         assert (r.leaf, r.subroot, r.root, r.proof_sha256) == (*want[r.doc_id][1:4], hashlib.sha256(want[r.doc_id][4].encode()).hexdigest())
         assert r.verified == (not (zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.doc_id % 2))
+
+
+# 6, 7 and 9: hot and long inputs
+
+
+def labelled_batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(texts), pa.array([i % 2 for i in range(len(texts))], pa.int32()), pa.array([i % 4 for i in range(len(texts))], pa.int32()), pa.array(range(len(texts)), pa.int64())], ["text", "label", "fold", "rank"])
+
+
+def test_long_labelled_texts_are_fitted_by_all_features():
+    text = " ".join(f"w{i}" for i in range(30_000))
+    row = next(quality._rows_of_features([labelled_batch([text])])).to_pylist()[0]
+    slots = np.frombuffer(row["slots"], "<i4")
+    assert all((slots // quality.SLOTS == k).sum() > 8_192 for k in (0, 1))
+    data = np.frombuffer(text.encode(), np.uint8)
+    off = np.array([0, len(data)])
+    first = next(iter(quality.features(data, off, quality.chunk_words(data, off))))[0]
+    assert set(slots[slots < quality.SLOTS].tolist()) == set(first.tolist())  # the slots that scoring reads
+
+
+def test_fit_in_bounded_parts(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["good", "fine", "dull", "spam"][i % 2 :: 2]) + str(rng.randrange(9)) for _ in range(40)) for i in range(60)]
+    rows = [r for b in quality._rows_of_features([labelled_batch(texts)]) for r in b.to_pylist()]
+    whole = quality.solve(list(rows))
+    monkeypatch.setattr(quality, "UNPACKED", 500)
+    parts = quality.solve(list(rows))
+    assert np.abs(whole.weights - parts.weights).max() <= 2 and parts.bias == pytest.approx(whole.bias) and (parts.slope, parts.shift) == pytest.approx((whole.slope, whole.shift), rel=1e-4)
+
+
+def test_items_of_the_same_documents_are_one(spark):
+    posts = spark.createDataFrame([(r, i) for i in range(50) for r in range(3)] + [(r, 99) for r in range(2)] + [(r, 70 + r) for r in range(3)], "row long, item long")
+    got = {r.item: (r.same, r.n) for r in pii.alike(posts, "item").collect()}
+    assert all(got[i] == (0, 3) for i in range(50)) and got[99] == (99, 2) and [got[70 + r] for r in range(3)] == [(70 + r, 1) for r in range(3)]
+
+
+def test_a_copied_directory_page(spark):
+    """Entities and terms that stand in the same documents: all are marked, and one pair is counted."""
+    page = " ".join(f"u{i}@h{i}.example.org name{i}x" for i in range(300))
+    rows = [(i, page) for i in range(3)] + [(10 + i, f"plain words number {i} of no one") for i in range(20)]
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(len(found[i].terms) == 300 and found[i].n_email == 300 for i in range(3)) and not any(found[10 + i].terms for i in range(20))
