@@ -756,3 +756,45 @@ def test_empty_panel(spark):
     assert evaluate(df.where("false"), {"v": parse("ts_rank(rank(x), 3)")}).count() == 0
     assert where(field("x") < 1, num(1), num(2)) is not None
     assert "s0" in to_sql("WITH panel AS (SELECT 1)", {"v": parse("rank(x)")})
+
+
+def test_prefix_product_over_years(spark):
+    """Negative and zero factors, years that come after them, and runs apart from each other."""
+    days = pd.bdate_range("2019-11-01", "2022-02-28")[::7]
+    rng = np.random.default_rng(5)
+    r = rng.normal(size=(len(days), 2)) * 0.4
+    r[10, 0], r[25, 0], r[40, 1] = -2.5, -1.75, -1.0
+    pdf = pd.DataFrame({"run": np.repeat(["a", "b"], len(days)), "date": np.tile(days.date, 2), "long_short": r.T.ravel()})
+    got = scorecard.cumulative_long_short(spark.createDataFrame(pdf).repartition(4), by=("run",)).toPandas().sort_values(["run", "date"])
+    assert got.cumulative.to_numpy() == pytest.approx(np.cumprod(1 + r, axis=0).T.ravel(), rel=1e-9, abs=1e-12)
+    one = scorecard.cumulative_long_short(spark.createDataFrame(pdf[pdf.run == "b"])).toPandas().sort_values("date")
+    assert one.cumulative.to_numpy() == pytest.approx(np.cumprod(1 + r[:, 1]), rel=1e-9, abs=1e-12)
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan.count("Window ["), plan.count("HashAggregate("), plan.count("Join")
+
+
+def test_runs_and_offsets_share_a_plan(spark):
+    df, _ = preds_frame(spark)
+    every = scorecard.decile_portfolio(df, horizon=3, offset=None).collect()
+    for o in range(3):
+        assert sorted(r.date for r in every if r.offset == o) == sorted(r.date for r in scorecard.decile_portfolio(df, horizon=3, offset=o).collect())
+    assert exchanges(scorecard.offset_sensitivity(df, horizon=2)) == exchanges(scorecard.offset_sensitivity(df, horizon=9))
+    two, six = ({f"r{k}": (df, 1 + k % 2) for k in range(n)} for n in (2, 6))
+    assert exchanges(scorecard.scorecard(two)) == exchanges(scorecard.scorecard(six))
+    alone = scorecard.scorecard({"r0": (df, 1)}).first()
+    assert alone == next(r for r in scorecard.scorecard(two).collect() if r.run == "r0")
+
+
+def test_matrices_add_up_over_tasks(spark):
+    """Gram matrices and rank correlations don't depend on how the rows lie, and a fit of many runs is that of each by itself."""
+    df, pdf = synthetic(spark)
+    one, many = ({(r.year, r.late, r.i, r.j): r.value for r in validation.gram_cells(t, ["x1", "x2"], "y").collect()} for t in (df.coalesce(1), df.repartition(6)))
+    assert one.keys() == many.keys() and all(many[k] == pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in one.items())
+    runs = validation.walk_forwards(df, {"a": (["x3", "x1"], "y"), "b": (["x2"], "y")}, min_test_year=2021)
+    alone = validation.walk_forward(df, ["x3", "x1"], "y", min_test_year=2021)
+    for t, f in alone.fits.items():
+        assert runs["a"].fits[t].coef == pytest.approx(f.coef, abs=1e-10) and runs["b"].fits[t].alpha > 0
+    assert {r.feature for r in runs["a"].coefs.collect()} == {"x1", "x3"}
