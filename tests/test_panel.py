@@ -475,7 +475,7 @@ def test_quantiles(spark):
     for c in "abc":
         assert got[c] == pytest.approx(list(np.quantile(pdf[c], probs))), c
     assert got["d"] == [None] * len(probs)
-    d = audit.difference(spark.createDataFrame(pd.DataFrame({"x": pdf.a})), F.col("x"), F.lit(0.0)).first()
+    d = audit.differences(spark.createDataFrame(pd.DataFrame({"x": pdf.a})), {"x": (F.col("x"), F.lit(0.0))}).first()
     assert (d.median_abs, d.p99_abs) == pytest.approx(tuple(np.quantile(np.abs(pdf.a), (0.5, 0.99))))
 
 
