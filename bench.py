@@ -23,7 +23,7 @@ def main() -> None:
         "flagship_alpha_003": Q.flagship,
         "classic_features": lambda s, d: evaluate(bars_from_lines(s, d), library.classic_features()),
         "baseline_features": lambda s, d: evaluate(bars_from_lines(s, d), library.baseline_features()),
-        "alphas_first_15_by_windows": lambda s, d: evaluate(bars_from_lines(s, d), library.alpha_features(list(library.ALPHAS)[:15])),
+        "alphas_first_15": lambda s, d: evaluate(bars_from_lines(s, d), library.alpha_features(list(library.ALPHAS)[:15])),
         "alphas_all_90_by_kernels": lambda s, d: evaluate(bars_from_lines(s, d), library.alpha_features(), kernels=True),
         "pool_105_by_kernels": lambda s, d: evaluate(bars_from_lines(s, d), library.pool(), kernels=True),
         **{k: O.QUERIES[k][0] for k in ("daily_ic", "decile_portfolio", "mean_daily_spearman", "walk_forward_elastic_net", "return_identity")},

@@ -378,7 +378,7 @@ A7_SQL = A7_SQL[0] + f",\na7 AS (SELECT {A7_SQL[1]})"
 
 
 def degeneracy(spark, sf_dir):
-    a7 = evaluate(bars_from_lines(spark, sf_dir), A7, keep=("permno", "date"), digits=10)
+    a7 = evaluate(bars_from_lines(spark, sf_dir), A7, keep=("permno", "date"), digits=10, kernels=False)
     return snap(audit.degeneracy(a7, "alpha_007"))
 
 

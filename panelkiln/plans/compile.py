@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions import semantics as S
+from .costs import choose
 from .expr import BOOLEAN, CROSS, TIME, Node
 
 TIME_KEYS = "PARTITION BY permno, segment_id ORDER BY date"
@@ -97,6 +98,21 @@ class Plan:
             return S.sign(d, a[0])
         return {"log": S.slog, "nn": S.number_or_null, "finite": S.finite_or_null, "nonzero": S.nonzero, "float": S.indicator}[op](d, a[0]) if op not in TIME | CROSS else (over_time if op in TIME else over_names)(d, op, a, p, over)
 
+    def fields(self) -> set[str]:
+        """Columns of the panel that expressions read."""
+        seen: set[int] = set()
+        found: set[str] = {"permno", "segment_id", "date"}
+        todo = list(self.outputs.values())
+        while todo:
+            n = todo.pop()
+            if id(n) in seen:
+                continue
+            seen.add(id(n))
+            todo += n.args
+            if n.op in ("field", "indneutralize"):
+                found.add(n.param)
+        return found
+
     def ordered(self):
         return [self.steps[k] for k in sorted(self.steps)]
 
@@ -194,71 +210,83 @@ def step_of(frame: DataFrame, plan: Plan, nodes: list[Node]) -> DataFrame:
     return frame.selectExpr(*columns, *texts)
 
 
-def evaluate(panel: DataFrame, signals: dict[str, Node], *, keep: tuple[str, ...] = ("permno", "segment_id", "date"), digits: int | None = None, settle=None, kernels: bool = False) -> DataFrame:
+def evaluate(panel: DataFrame, signals: dict[str, Node], *, keep: tuple[str, ...] = ("permno", "segment_id", "date"), digits: int | None = None, settle=None, kernels: bool | None = None, at_most: int | None = None) -> DataFrame:
     """keep and one double column for each signal. settle: what to do with the frame between phases (say, write and reread).
-    kernels: the phases as array kernels on Arrow batches, which pays for wide batches of signals; by default window functions."""
+    kernels: the phases as array kernels on Arrow batches (True) or as window functions (False); by default what costs.choose() finds cheaper for
+    each phase, and windows, which spill, wherever a group has more rows than a worker should hold. at_most: rows of a security or a date at most, where
+    known; else they may be counted first."""
     plan = Plan(signals)
-    phase = None
-    frame = panel
-    if kernels:
-        return _by_kernels(panel, plan, signals, keep, digits, settle)
-    for key in sorted(plan.steps):
-        if settle and phase is not None and key[0] != phase:
+    phases = sorted({p for p, _ in plan.steps})
+    last_use = _last_use(plan, keep)
+    if kernels is None:
+        by_kernels = choose(panel, plan, carried_of(plan, last_use, panel.columns), at_most)
+    else:
+        by_kernels = {p for p in phases if p and kernels}
+    flags = {plan.column[id(n)] for nodes in plan.steps.values() for n in nodes if n.op in BOOLEAN}
+    frame = panel.select(*(c for c in panel.columns if c in last_use))
+    for i, p in enumerate(phases):
+        steps = [plan.steps[k] for k in sorted(plan.steps) if k[0] == p]
+        if settle and i and phases[i - 1]:
             frame = settle(frame)
-        phase = key[0]
-        frame = step_of(frame, plan, plan.steps[key])
+        if p in by_kernels:
+            frame = _kernel_phase(frame, plan, p, steps, last_use, flags)
+            continue
+        for nodes in steps:
+            frame = step_of(frame, plan, nodes)
     return frame.selectExpr(*keep, *(plan.result(name, node, "spark", digits) for name, node in signals.items()))
 
 
-def _by_kernels(panel: DataFrame, plan: Plan, signals: dict[str, Node], keep, digits, settle) -> DataFrame:
-    from .kernels import Phase
+def _last_use(plan: Plan, keep) -> dict[str, int]:
+    """The last phase that reads a column or field; 99 for what the result reads."""
+    last: dict[str, int] = {}
 
-    phases = sorted({p for p, _ in plan.steps})
-    last_use: dict[str, int] = {}
+    def own(x: Node) -> str | None:
+        return plan.column.get(id(x), x.param if x.op == "field" else None)
 
     def uses(node: Node, phase: int) -> None:
-        """Columns and fields that a node of this phase reads."""
         for x in node.args:
-            name = plan.column.get(id(x), x.param if x.op == "field" else None)
+            name = own(x)
             if name is not None:
-                last_use[name] = max(last_use.get(name, 0), phase)
+                last[name] = max(last.get(name, 0), phase)
             if id(x) not in plan.column:
                 uses(x, phase)
         if node.op == "indneutralize":
-            last_use[node.param] = max(last_use.get(node.param, 0), phase)
+            last[node.param] = max(last.get(node.param, 0), phase)
 
     for (p, _), nodes in plan.steps.items():
         for n in nodes:
             uses(n, p)
-    end = 99
-    for n in signals.values():
-        name = plan.column.get(id(n), n.param if n.op == "field" else None)
+    for n in plan.outputs.values():
+        name = own(n)
         if name is not None:
-            last_use[name] = end
+            last[name] = END
         if id(n) not in plan.column:
-            uses(n, end)
-    for k in ("permno", "segment_id", "date", *keep):
-        last_use[k] = end
-    flags = {plan.column[id(n)] for nodes in plan.steps.values() for n in nodes if n.op in BOOLEAN}
-    names = dict(plan.column)
-    frame = panel.select(*(c for c in panel.columns if c in last_use))
-    for i, p in enumerate(phases):
-        steps = [plan.steps[k] for k in sorted(plan.steps) if k[0] == p]
-        if p == 0:  # scalars alone need no order
-            for step in steps:
-                frame = frame.selectExpr("*", *(f"{plan.text(n, 'spark')} AS {plan.column[id(n)]}" for n in step))
-            continue
-        if settle and i:
-            frame = settle(frame)
-        made = [plan.column[id(n)] for step in steps for n in step]
-        carried = [c for c in [*frame.columns, *made] if last_use.get(c, 0) > p]
-        key = "permno" if p % 2 else "date"
-        types = dict(frame.dtypes)
-        schema = ", ".join(f"{c} {types.get(c) or ('boolean' if c in flags else 'double')}" for c in carried)
-        work = Phase(steps, names, p % 2 == 1, carried, flags)
-        ordered = frame.repartition(key).sortWithinPartitions(key, "date")
-        frame = ordered.mapInArrow(_Run(work, key), schema)
-    return frame.selectExpr(*keep, *(plan.result(name, node, "spark", digits) for name, node in signals.items()))
+            uses(n, END)
+    return last | dict.fromkeys(("permno", "segment_id", "date", *keep), END)
+
+
+END = 99
+
+
+def carried_of(plan: Plan, last_use: dict[str, int], columns) -> dict[int, int]:
+    """Phase -> columns that leave it."""
+    out, have = {}, list(columns)
+    for p in sorted({p for p, _ in plan.steps}):
+        have = [c for c in [*have, *(plan.column[id(n)] for k in sorted(plan.steps) if k[0] == p for n in plan.steps[k])] if last_use.get(c, 0) > p]
+        out[p] = len(have)
+    return out
+
+
+def _kernel_phase(frame: DataFrame, plan: Plan, p: int, steps, last_use: dict[str, int], flags: set[str]) -> DataFrame:
+    from .kernels import Phase
+
+    made = [plan.column[id(n)] for step in steps for n in step]
+    carried = [c for c in [*frame.columns, *made] if last_use.get(c, 0) > p]
+    key = "permno" if p % 2 else "date"
+    types = dict(frame.dtypes)
+    schema = ", ".join(f"{c} {types.get(c) or ('boolean' if c in flags else 'double')}" for c in carried)
+    work = Phase(steps, dict(plan.column), p % 2 == 1, carried, flags)
+    return frame.repartition(key).sortWithinPartitions(key, "date").mapInArrow(_Run(work, key), schema)
 
 
 class _Run:

@@ -65,7 +65,7 @@ COARSE = {"ts_cov": 4, "adv_20": 4}
 
 
 def _signal(columns: dict[str, Node], digits: int = 8) -> Query:
-    return lambda spark, sf_dir: evaluate(bars_from_lines(spark, sf_dir), columns, digits=digits)
+    return lambda spark, sf_dir: evaluate(bars_from_lines(spark, sf_dir), columns, digits=digits, kernels=False)
 
 
 def alpha_library() -> dict[str, Node]:
@@ -77,6 +77,11 @@ def all_alphas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(bars_from_lines(spark, sf_dir), alpha_library(), digits=7, kernels=True)
 
 
+def chosen(columns: Callable[[], dict[str, Node]]) -> Query:
+    """A batch of signals whose phases go to the executor that the estimates prefer."""
+    return lambda spark, sf_dir: evaluate(bars_from_lines(spark, sf_dir), columns(), digits=7)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """alpha_003: both partitionings, ranks within trailing correlations."""
     return _signal({"alpha_003": parse(library.ALPHAS[3])})(spark, sf_dir)
@@ -122,10 +127,13 @@ PANEL = {
 }
 
 
+BATCHES = {"classic_library": library.classic_features, "first_alphas": lambda: library.alpha_features(list(library.ALPHAS)[:15])}
+
+
 def queries() -> dict[str, Query]:
     from .operators.queries import QUERIES
 
-    return {k: f for k, (f, _) in PANEL.items()} | {"alpha_library": all_alphas} | {k: _signal(v, COARSE.get(k, 8)) for k, v in signals().items()} | {k: f for k, (f, _) in QUERIES.items()}
+    return {k: f for k, (f, _) in PANEL.items()} | {"alpha_library": all_alphas} | {k: chosen(f) for k, f in BATCHES.items()} | {k: _signal(v, COARSE.get(k, 8)) for k, v in signals().items()} | {k: f for k, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -133,5 +141,6 @@ def oracle_sql() -> dict[str, str]:
 
     out = {k: s for k, (_, s) in PANEL.items()}
     out["alpha_library"] = to_sql(BARS_SQL, alpha_library(), digits=7)
+    out |= {k: to_sql(BARS_SQL, f(), digits=7) for k, f in BATCHES.items()}
     out |= {k: to_sql(BARS_SQL, v, digits=COARSE.get(k, 8)) for k, v in signals().items()}
     return out | {k: s for k, (_, s) in QUERIES.items() if s}

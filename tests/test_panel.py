@@ -172,10 +172,39 @@ def test_expressions_are_interned_and_levelled():
 
 def test_one_exchange_for_each_phase(spark):
     df, _ = random_panel(spark)
-    plan = evaluate(df, {f"v{i}": parse(f"correlation(rank(x), rank(y), {i})") for i in (3, 4, 5)})._jdf.queryExecution().executedPlan().toString()
+    plan = evaluate(df, {f"v{i}": parse(f"correlation(rank(x), rank(y), {i})") for i in (3, 4, 5)}, kernels=False)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_each_phase_goes_to_the_cheaper_executor(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from panelkiln.plans import costs
+
+    def phases(df, nodes, **k):
+        plan = evaluate(df, nodes, **k)._jdf.queryExecution().executedPlan().toString()
+        return plan.count("MapInArrow"), plan.count("Window [")
+
+    df, _ = random_panel(spark, 3, names=6, days=30)
+    df = df.repartition(2)
+    cheap = {"v": parse("ts_mean(x, 3)")}
+    wide = {f"v{i}": parse(f"ts_rank(rank(x + {i}), 14)") for i in range(6)}
+    assert phases(df, cheap)[0] == 0
+    assert phases(df, wide) == (2, 0)
+    assert phases(df, {"v": parse("delay(rank(x), 2)"), **{f"r{i}": rank(field("y") + i) for i in range(6)}})[0] == 1  # ranks pay, the lag doesn't
+    a, b, c = ({(r.permno, r.date): tuple(r) for r in evaluate(df, wide, kernels=k, at_most=n).collect()} for k, n in ((None, None), (False, None), (None, costs.GROUP_ROWS + 1)))
+    assert a == b == c and len(a) == df.count()
+    assert phases(df, wide, at_most=costs.GROUP_ROWS + 1)[0] == 0 and phases(df, wide, at_most=30)[0] == 2
+    assert phases(df.withColumn("x", F.col("x").cast("decimal(10, 2)")), wide)[0] == 0
+    assert phases(df.withColumn("permno", F.when(F.col("permno") > 2, F.col("permno"))), wide)[0] == 0  # null keys
+    assert costs.counting(df) == costs.STORED and costs.counting(df.groupBy("permno", "date").count()) == costs.DERIVED
+    monkeypatch.setattr(costs, "GROUP_ROWS", 10)  # dates of 6 names fit, histories of 30 days don't
+    found = phases(df, wide)
+    assert found[0] == 1 and found[1] >= 1
+    assert {(r.permno, r.date): tuple(r) for r in evaluate(df, wide).collect()} == b
+    assert evaluate(df.where("false"), wide).count() == 0
+
+
 def test_segments_labels_and_gaps(spark):
     days = [1, 2, 12, 23]  # gaps of 1, 10 and 11 days
     df = frame(spark, [(1, dt.date(2020, 1, d), float(d), 1.0, 1.0) for d in days], "permno long, date date, close double, high double, low double")
