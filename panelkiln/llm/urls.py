@@ -125,7 +125,7 @@ def score(rows: DataFrame) -> DataFrame:
 
     Counts are an exact distributed table of each context, and context and byte, of each order. URLs are cut to chunks, a chunk asks once
     for each of its keys, so a frequent key meets a row for a chunk and not for an URL, and what it is told comes to its URLs."""
-    held = F.coalesce(F.pmod(F.xxhash64("page_id"), F.lit(HELD)) == 0, F.lit(False))
+    held = F.pmod(F.xxhash64("host", "path"), F.lit(HELD)) == 0  # repeated URLs are all on one side
 
     def number(batches):
         i = 0
@@ -166,7 +166,7 @@ def score(rows: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The held-out fifth of the ruled URLs sets it."""
+    """The held-out fifth of the different ruled URLs sets it, each row of them counted."""
     step = F.greatest(F.lit(-2048), F.least(F.lit(2048), F.rint(F.col("ratio") / STEP))).cast("int")
     ruled = scored.where(F.col("ruled").isNotNull() & F.col("held"))
     seen = ruled.groupBy(step.alias("step"), F.when(F.col("ruled") == "allow", 0).otherwise(1).alias("kind")).count().collect()  # 4097 * 2 rows at most

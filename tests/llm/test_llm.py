@@ -221,7 +221,7 @@ def test_url_counts_are_exact(spark):
     data = [(i, f"{name()}.com", f"/{'fr' if i % 2 else 'de'}/{i}" if i < 3600 else f"/{i}") for i in range(4000)]
     df = spark.createDataFrame([(i, f"http://{h}{p}") for i, h, p in data], "page_id long, url string")
     got = by_id(urls.filter_urls(df.select(urls.F.col("page_id"), "url")).withColumnRenamed("page_id", "doc_id"))
-    held = {r.page_id for r in df.where(urls.F.expr("pmod(xxhash64(page_id), 5) = 0")).collect()}
+    held = {r.page_id for r in spark.createDataFrame(data, "page_id long, host string, path string").where("pmod(xxhash64(host, path), 5) = 0").collect()}
     counts = [Counter(), Counter()]
     for i, h, p in data[:3600]:
         site = h + p
@@ -241,6 +241,17 @@ def test_url_counts_are_exact(spark):
         assert got[i].ratio == pytest.approx(total / len(site), abs=1e-6)
 
 
+def test_repeated_urls_are_all_held_out_or_none(spark):
+    kinds = [("net.com", "/fr/a"), ("xq.com", "/de/b")] + [(f"h{i}.com", f"/{'fr' if i % 2 else 'de'}/{i}") for i in range(40)]
+    rows = [(i, *kinds[i % len(kinds)], "allow" if "/fr/" in kinds[i % len(kinds)][1] else "block") for i in range(420)]
+    df = spark.createDataFrame([(i, h, p, p[:4], v) for i, h, p, v in rows], "page_id long, host string, path string, rule string, ruled string")
+    sides = {}
+    for r in urls.score(df).collect():
+        sides.setdefault((r.host, r.path), set()).add(r.held)
+    assert len(sides) == len(kinds) and all(len(s) == 1 for s in sides.values())
+    assert 0 < sum(s == {True} for s in sides.values()) < len(kinds)
+
+
 # 5 and 8
 
 
