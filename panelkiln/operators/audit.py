@@ -53,6 +53,11 @@ def segment_counts(df: DataFrame, *, max_gap_days: int) -> DataFrame:
     return by.agg(F.sum("n").alias("n_segments")).join(long)  # one row each
 
 
+def reentries(df: DataFrame) -> DataFrame:
+    """permno, n_segments: the names that came back after a gap. Rows without a segment count for none."""
+    return df.groupBy("permno").agg(F.countDistinct("segment_id").alias("n_segments")).where("n_segments > 1")
+
+
 def differences(df: DataFrame, parts: dict[str, tuple[Column, Column]]) -> DataFrame:
     """check, n, median_abs, p99_abs, share_lt_1e8, share_lt_1e4 of |a - b| of each check. All are columns of one frame that is settled, their
     quantiles asked for together."""

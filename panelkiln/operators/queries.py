@@ -182,6 +182,43 @@ def _null_rank(c: str) -> str:
 SPEARMAN = FEAT + f", big AS (SELECT * FROM ft WHERE date IN (SELECT date FROM ft GROUP BY date HAVING count(*) >= {MIN_NAMES})), rks AS (SELECT date, {', '.join(map(_null_rank, FEATURES))} FROM big), prs AS (" + " UNION ALL ".join(_pair_sql(a, b) for a in FEATURES for b in FEATURES) + f") SELECT f1, f2, {sql_snap('rho')} FROM prs"
 
 
+#: The candidate pool but alpha_084, which reaches 1e284: its decimals no two engines share.
+POOL_NUMBERS = [n for n in library.ALPHAS if n != 84]
+
+
+def pool_spearman(spark, sf_dir):
+    """Mean daily rank correlations of the whole pool, as pruning sees them: both orders of each pair."""
+    pool = library.pool(POOL_NUMBERS)
+    return snap(prune.mean_daily_spearman(evaluate(bars_from_lines(spark, sf_dir), pool, keep=("permno", "date"), digits=7), list(pool), min_names=MIN_NAMES))
+
+
+def _pool_spearman_sql() -> str:
+    pool = list(library.pool(POOL_NUMBERS))
+    values = to_sql(BARS_SQL, library.pool(POOL_NUMBERS), keep=("permno", "date"), digits=7).rsplit("\nSELECT ", 1)
+    pairs = {f"p{i}_{j}": (pool[i], pool[j]) for i in range(len(pool)) for j in range(i, len(pool))}
+    return values[0] + f""",
+ft AS (SELECT {values[1]}), big AS (SELECT date, {', '.join(f'CASE WHEN NOT isinf({c}) THEN {c} END AS {c}' for c in pool)} FROM ft WHERE date IN (SELECT date FROM ft GROUP BY date HAVING count(*) >= {MIN_NAMES})
+), rks AS (SELECT date, {', '.join(map(_null_rank, pool))} FROM big
+), day AS (SELECT date, {', '.join(f'corr(r_{a}, r_{b}) AS {k}' for k, (a, b) in pairs.items())} FROM rks GROUP BY date
+), mean AS (SELECT {', '.join(f'avg(CASE WHEN NOT isnan({k}) THEN {k} END) AS {k}' for k in pairs)} FROM day
+), lng AS (UNPIVOT mean ON COLUMNS(*) INTO NAME pair VALUE rho
+), nm(pair, f1, f2) AS (VALUES {', '.join(f"('{k}', '{a}', '{b}')" for k, (a, b) in pairs.items())}
+), one AS (SELECT f1, f2, CASE WHEN f1 = f2 THEN 1E0 ELSE rho END AS rho FROM lng JOIN nm USING (pair))
+SELECT f1, f2, {sql_snap('rho')} FROM one UNION ALL SELECT f2 AS f1, f1 AS f2, {sql_snap('rho')} FROM one WHERE f1 <> f2"""
+
+
+def model_frame(spark, sf_dir):
+    """The frame that models are fitted on, with every feature kept: baseline features and pool, infinities gone."""
+    frame, _, _ = validation.model_frame(bars_from_lines(spark, sf_dir), targets=(), min_coverage=0.0, numbers=POOL_NUMBERS)
+    return snap(frame, 7)
+
+
+def _model_frame_sql() -> str:
+    features = library.baseline_features() | library.pool(POOL_NUMBERS)
+    values = to_sql(BARS_SQL, features, digits=7).rsplit("\nSELECT ", 1)
+    return values[0] + f",\nft AS (SELECT {values[1]})\nSELECT permno, segment_id, date, {', '.join(f'CASE WHEN NOT isinf({c}) THEN {c} END AS {c}' for c in features)} FROM ft"
+
+
 CLOSE = 0.2
 
 
@@ -419,6 +456,8 @@ QUERIES = {
     "ablation_summary": (lambda s, d: snap(scorecard.ablation_summary(scorecard.ablation_detail(*schemes(s, d))).select("config", "pearson_ic__paired_rank", "pearson_ic__paired_standardize", "pearson_ic__paired_delta", "pearson_ic__n_paired_years")), f"{PAIR}, a AS (SELECT config, test_year, pearson_ic AS r FROM det WHERE scheme = 'rank'), b AS (SELECT config, test_year, pearson_ic AS s FROM det WHERE scheme = 'standardize'), t AS (SELECT config, avg(r) AS pearson_ic__paired_rank, avg(s) AS pearson_ic__paired_standardize, avg(s - r) AS pearson_ic__paired_delta, count(*) AS pearson_ic__n_paired_years FROM a JOIN b USING (config, test_year) WHERE r IS NOT NULL AND s IS NOT NULL GROUP BY config) SELECT config, {sql_snap('pearson_ic__paired_rank', 'pearson_ic__paired_standardize', 'pearson_ic__paired_delta')}, pearson_ic__n_paired_years FROM t"),
     "feature_coverage": (lambda s, d: snap(prune.coverage(features(s, d), list(FEATURES))), f"{FEAT}, t AS ({' UNION ALL '.join(f'''SELECT '{c}' AS feature, avg(CASE WHEN {c} IS NOT NULL THEN 1E0 ELSE 0E0 END) AS coverage FROM ft''' for c in FEATURES)}) SELECT feature, {sql_snap('coverage')} FROM t"),
     "mean_daily_spearman": (spearman, SPEARMAN),
+    "pool_spearman": (pool_spearman, _pool_spearman_sql()),
+    "model_frame": (model_frame, _model_frame_sql()),
     "greedy_prune": (greedy, _greedy_sql()),
     "split_table": (splits, SPLITS),
     "gram_by_year": (gram, GRAM),
@@ -436,6 +475,7 @@ QUERIES = {
     "ohlc_sanity": (lambda s, d: snap(audit.ohlc_sanity(bars_from_lines(s, d))), f"{BARS_SQL} SELECT avg(CASE WHEN high < greatest(open, close) THEN 1E0 ELSE 0E0 END) AS high_lt_body, avg(CASE WHEN low > least(open, close) THEN 1E0 ELSE 0E0 END) AS low_gt_body, avg(CASE WHEN close <= 0 THEN 1E0 ELSE 0E0 END) AS nonpos_close, avg(CASE WHEN volume < 0 THEN 1E0 ELSE 0E0 END) AS neg_volume FROM panel"),
     "gap_histogram": (lambda s, d: audit.gap_histogram(bars_from_lines(s, d)), f"{BARS_SQL} SELECT CAST(least(g, 60) AS INTEGER) AS gap_days, count(*) AS n FROM (SELECT date_diff('day', lag(date) OVER (PARTITION BY permno ORDER BY date), date) AS g FROM panel) WHERE g IS NOT NULL GROUP BY ALL ORDER BY gap_days LIMIT 15"),
     "segment_counts": (lambda s, d: audit.segment_counts(bars_from_lines(s, d), max_gap_days=30), f"{BARS_SQL} SELECT (SELECT CAST(sum(m) AS BIGINT) FROM (SELECT max(segment_id) + 1 AS m FROM panel GROUP BY permno)) AS n_segments, (SELECT count(*) FROM gap WHERE g = 1) AS n_long_gaps"),
+    "reentries": (lambda s, d: audit.reentries(bars_from_lines(s, d)), f"{BARS_SQL} SELECT permno, count(DISTINCT segment_id) AS n_segments FROM panel GROUP BY permno HAVING count(DISTINCT segment_id) > 1"),
     "return_identity": (lambda s, d: snap(audit.return_identity(labelled(s, d))), f"{LAB} " + " UNION ALL ".join(_diff_sql(*x) for x in (("ret_vs_price", "ret", "back"), ("fwd1_vs_next_ret", "fwd_ret_1d", "next"), ("fwd1_vs_price", "fwd_ret_1d", "px1"), ("fwd5_vs_price", "fwd_ret_5d", "px5")))),
     "alpha_007_degeneracy": (degeneracy, f"{A7_SQL} SELECT (SELECT round_even(avg(CASE WHEN alpha_007 = -1 THEN 1E0 ELSE 0E0 END) * 1E8, 0) / 1E8 FROM a7) AS share_eq, (SELECT count(DISTINCT alpha_007) FROM a7) AS n_distinct, (SELECT round_even(avg(CASE WHEN n = 1 THEN 1E0 ELSE 0E0 END) * 1E8, 0) / 1E8 FROM (SELECT count(DISTINCT alpha_007) AS n FROM a7 GROUP BY date)) AS share_dates_constant, (SELECT min(n) FROM (SELECT count(DISTINCT alpha_007) AS n FROM a7 GROUP BY year(date))) AS by_year_min, (SELECT quantile_cont(CAST(n AS DOUBLE), 0.5) FROM (SELECT count(DISTINCT alpha_007) AS n FROM a7 GROUP BY year(date))) AS by_year_median"),
 }

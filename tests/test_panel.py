@@ -205,6 +205,14 @@ def test_each_phase_goes_to_the_cheaper_executor(spark, monkeypatch):
     assert evaluate(df.where("false"), wide).count() == 0
 
 
+def test_reentries(spark):
+    from panelkiln.operators import audit
+
+    df = spark.createDataFrame([(1, 0), (1, 1), (1, 1), (2, 0), (2, 0), (3, None), (3, 0), (None, 0), (None, 1)], "permno long, segment_id int")
+    assert sorted((r.permno or 0, r.n_segments) for r in audit.reentries(df).collect()) == [(0, 2), (1, 2)]
+    assert audit.reentries(df.where("false")).count() == 0
+
+
 def test_segments_labels_and_gaps(spark):
     days = [1, 2, 12, 23]  # gaps of 1, 10 and 11 days
     df = frame(spark, [(1, dt.date(2020, 1, d), float(d), 1.0, 1.0) for d in days], "permno long, date date, close double, high double, low double")
