@@ -835,3 +835,45 @@ def test_matrices_add_up_over_tasks(spark):
     for t, f in alone.fits.items():
         assert runs["a"].fits[t].coef == pytest.approx(f.coef, abs=1e-10) and runs["b"].fits[t].alpha > 0
     assert {r.feature for r in runs["a"].coefs.collect()} == {"x1", "x3"}
+
+
+def test_late_operators_let_fields_travel(spark):
+    from panelkiln.plans.compile import _last_use, carried_of
+
+    nodes = library.alpha_features()
+    width = {}
+    for late in (False, True):
+        plan = Plan(nodes, late)
+        width[late] = sum(carried_of(plan, _last_use(plan, Q.KEYS), plan.fields()).values())
+    assert width[True] < 0.55 * width[False]
+    df, _ = random_panel(spark)
+    nodes = {"a": parse("correlation(rank(x), rank(y), 3)"), "b": rank(parse("delay(x, 2)")), "c": parse("delay(y, 1) - x")}
+    one = {(r.permno, r.date): (r.a, r.b, r.c) for r in evaluate(df, nodes, kernels=False).collect()}
+    duck = duckdb.connect()
+    duck.register("given", df.toPandas())
+    sql = to_sql("WITH panel AS (SELECT permno, segment_id, date::DATE AS date, CASE WHEN NOT isnan(x) THEN x END AS x, CASE WHEN NOT isnan(y) THEN y END AS y FROM given)", nodes)
+    want = {(r[0], r[2]): r[3:] for r in duck.execute(sql).fetchall()}
+    assert one.keys() == want.keys() and all(g == pytest.approx(w, abs=1e-8) if None not in g else [v is None for v in g] == [v is None for v in w] for g, w in ((one[k], want[k]) for k in want))
+
+
+def test_tasks_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(P, "SMALL", 0)
+    monkeypatch.setattr(P, "TASK_ROWS", 500)
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    n = lines.count()
+    assert P.input_rows(lines) == n and P.input_rows(spark.createDataFrame([(1,)], "x int")) == 0
+    assert P.bars_from_lines(spark, SF).rdd.getNumPartitions() == -(-n // 500)
+    n += spark.read.parquet(f"{SF}/supplier.parquet").count()
+    for kernels in (False, True):
+        assert evaluate(P.bars_from_lines(spark, SF), {"v": rank(parse("delay(close, 1)"))}, kernels=kernels, laid=True).rdd.getNumPartitions() == -(-n // 500)
+
+
+def test_one_exchange_makes_bars_and_trailing_windows(spark):
+    for kernels in (False, True):
+        plan = evaluate(P.bars_from_lines(spark, SF), {"v": parse("ts_mean(close, 5)")}, kernels=kernels, laid=True)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_long_windows_leave_the_jvm(spark):
+    shape = lambda name: Q.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("MapInArrow" in shape(name) for name in ("alpha_032", "alpha_037", "alpha_071", "classic_library")) and "MapInArrow" not in shape("alpha_011")
