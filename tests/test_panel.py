@@ -877,3 +877,20 @@ def test_one_exchange_makes_bars_and_trailing_windows(spark):
 def test_long_windows_leave_the_jvm(spark):
     shape = lambda name: Q.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert all("MapInArrow" in shape(name) for name in ("alpha_032", "alpha_037", "alpha_071", "classic_library")) and "MapInArrow" not in shape("alpha_011")
+
+
+def test_pool_ranks_in_one_sort_and_features_once(spark, monkeypatch):
+    df, _ = random_panel(spark)
+    wide = df.select("permno", "date", *(F.col("x").alias(f"x{i}") for i in range(9)))
+    names = [f"x{i}" for i in range(9)]
+    ranks = validation.rank_normalized(wide, names, ["permno", "date"])
+    assert ranks._jdf.queryExecution().optimizedPlan().toString().count("Window") == 0
+    want = {(r.permno, r.date): r.x0 for r in validation.rank_normalized(wide, ["x0"], ["permno", "date"]).collect()}
+    assert {(r.permno, r.date): r.x8 for r in ranks.collect()} == want
+    made = []
+    monkeypatch.setattr(validation, "settled", lambda frame: made.append(frame) or scratch.settled(frame))
+    with scratch.scope(spark):
+        frame, _, _ = validation.model_frame(P.bars_from_lines(spark, SF), targets=(), numbers=[12, 41])
+        assert len(made) == 1 and "Window" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(prune, "coverage", lambda *a: pytest.fail("coverage was counted"))
+    assert prune.drop_low_coverage(df, ["x", "y"], 0.0)[1:] == (["x", "y"], [])
