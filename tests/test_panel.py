@@ -894,3 +894,16 @@ def test_pool_ranks_in_one_sort_and_features_once(spark, monkeypatch):
         assert len(made) == 1 and "Window" not in frame._jdf.queryExecution().optimizedPlan().toString()
     monkeypatch.setattr(prune, "coverage", lambda *a: pytest.fail("coverage was counted"))
     assert prune.drop_low_coverage(df, ["x", "y"], 0.0)[1:] == (["x", "y"], [])
+
+
+def test_of_lines_alike_the_first_of_the_file_counts(spark, tmp_path):
+    duck = duckdb.connect()
+    for first, second in ((10, 20), (20, 10)):
+        sf = tmp_path / f"{first}"
+        sf.mkdir()
+        duck.execute(f"COPY (SELECT 1::BIGINT AS l_orderkey, 1::BIGINT AS l_suppkey, 1::INTEGER AS l_linenumber, 1e0 AS l_quantity, px::DOUBLE AS l_extendedprice, TIMESTAMP '2000-01-01' AS l_shipdate FROM (VALUES ({first}), ({second})) t(px)) TO '{sf}/lineitem.parquet'")
+        duck.execute(f"COPY (SELECT 1::BIGINT AS s_suppkey, 1::INTEGER AS s_nationkey, 1e0 AS s_acctbal) TO '{sf}/supplier.parquet'")
+        got = P.bars_from_lines(spark, str(sf)).first()
+        duck.execute(f"CREATE OR REPLACE VIEW lineitem AS FROM '{sf}/lineitem.parquet'; CREATE OR REPLACE VIEW supplier AS FROM '{sf}/supplier.parquet'")
+        want = duck.execute(f"{P.BARS_SQL} SELECT open, close FROM panel").fetchone()
+        assert (got.open, got.close) == (first, first) == want
