@@ -9,6 +9,8 @@ from . import substrings
 
 #: Every so-manieth place of an indexed text is kept; from the others the search steps back to one.
 SAMPLE = 16
+#: The k lowest bits of a word, for k from 0 to 63.
+LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class Bits:
@@ -18,16 +20,21 @@ class Bits:
         padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8")
-        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1].astype(np.uint32)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])[:-1]
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Ones before place i."""
         w = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[w] + np.bitwise_count(self.words[w] & mask).astype(np.int64)
+        return self.before[w] + np.bitwise_count(self.words[w] & LOW[i & 63])
 
     def at(self, i: np.ndarray) -> np.ndarray:
-        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return (self.words[i >> 6] >> (i & 63).view(np.uint64)) & np.uint64(1) == 1
+
+    def both(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bits at places i, and the ones before."""
+        w, k = i >> 6, i & 63
+        word = self.words[w]
+        return (word >> k.view(np.uint64)) & np.uint64(1) == 1, self.before[w] + np.bitwise_count(word & LOW[k])
 
     def place(self, k: np.ndarray) -> np.ndarray:
         """Where the k-th one (from 0) stands."""
@@ -68,34 +75,78 @@ class Wavelet:
         """The symbols at places i, and how often each stands before its place."""
         c = np.zeros(len(i), np.int64)
         for bits, zeros in zip(self.levels, self.zeros, strict=True):
-            one, ones = bits.at(i), bits.ones(i)
+            one, ones = bits.both(i)
             c, i = c << 1 | one, np.where(one, zeros + ones, i - ones)
         return c, i - self.start[c]
 
 
+def suffixes(first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of a text in order, and their ranks by the first `depth` symbols (a power of two), equal ones alike. The last symbol is 0 and
+    stands nowhere else.
+
+    By doubling, from as many symbols as fit a word; those that already differ from all others are not sorted again."""
+    n, bits, step = len(first), int(first.max()).bit_length(), 1
+    key = first
+    while 2 * step * bits <= 63 and 2 * step <= depth:
+        after = np.zeros(n, np.int64)
+        after[: n - step] = key[step:]
+        key, step = key << (step * bits) | after, 2 * step
+    order = np.argsort(key)
+    new = np.ones(n, bool)  # where suffixes change in so many symbols
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    rank, at = np.empty(n, np.int64), np.arange(n)
+    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+    ranks = rank if step < depth else rank.copy()
+    while True:
+        alone = new[at] & np.append(new[at[1:]], True)
+        at = at[~alone]
+        if not len(at):
+            return order, ranks
+        own = order[at]
+        key = rank[own] * n + rank[own + step]  # what holds the last symbol stands alone, so none of these ends here
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        order[at] = own
+        new[at[1:]] = key[1:] != key[:-1]
+        rank[own] = np.maximum.accumulate(np.where(new[at], at, 0))
+        step *= 2
+        if step == depth:
+            ranks = rank.copy()
+
+
+def in_parts(text: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """A text's symbols with the parting ones told apart, in the order of what follows them: suffixes keep their order, and differ by the end of a
+    part, so sorting them is a matter of the longest part. Parts are sorted first, then the text as one of parts."""
+    end = np.append(np.flatnonzero(parts) + 1, len(text))
+    wide = text.astype(">i8").tobytes()
+    own = [wide[8 * a : 8 * z] for a, z in zip([0, *end[:-1].tolist()], end.tolist(), strict=True)]
+    name = {p: k for k, p in enumerate(sorted(set(own)))}
+    order, _ = suffixes(np.array([name[p] for p in own]), 1)
+    follows = np.empty(len(own), np.int64)
+    follows[order] = np.arange(len(own))
+    out = np.where(text > 1, text + len(own), 0)
+    out[parts] = follows[1:] + 1
+    return out
+
+
 class Index:
     """FM-index of a text of symbols 0 .. size - 1, of which 0 parts it; an end of its own comes after, below all. Kept are the symbols before the sorted suffixes, as a wavelet
     matrix; how many symbols are lesser than each; a bit where suffixes change within their first window - 1 symbols; and every
-    SAMPLE-th place of the text, with a bit for the suffixes that start there. Neither the text nor its suffix array is kept."""
+    SAMPLE-th place of the text and the first of each part, with a bit for the suffixes that start there. Neither the text nor its suffix array is kept."""
 
     def __init__(self, text: np.ndarray, size: int, window: int):
         text, size = np.append(text.astype(np.int64) + 1, 0), size + 1
         n = self.n = len(text)
-        rank, ranks, step, parts = text, [text], 1, 0
-        while parts < n:  # by doubling, until all suffixes differ
-            after = np.zeros(n, np.int64)
-            after[: n - step] = rank[step:] + 1
-            _, rank = np.unique(rank * (n + size + 2) + after, return_inverse=True)
-            ranks.append(rank)
-            step, parts = 2 * step, int(rank.max()) + 1
-        order = np.argsort(rank, kind="stable")
+        run = 1 << (window - 1).bit_length() - 1
+        parts = text == 1
+        order, ranks = suffixes(in_parts(text, parts), run)
+        kept = (order % SAMPLE == 0) | parts[order - 1]
         self.count = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
         self.last = Wavelet(text[order - 1], size)
-        self.sampled = Bits(order % SAMPLE == 0)
-        self.places = order[order % SAMPLE == 0].astype(np.uint32)
+        self.sampled = Bits(kept)
+        self.places = order[kept].astype(np.uint32)
         # alike in window - 1 symbols: two overlapping runs of a power of two
-        r = min((window - 1).bit_length() - 1, len(ranks) - 1)
-        a, b = ranks[r][order], ranks[r][np.minimum(order + window - 1 - (1 << r), n - 1)]
+        a, b = ranks[order], ranks[np.minimum(order + window - 1 - run, n - 1)]
         new = np.ones(n + 1, bool)  # and one past the end
         new[1:n] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         self.changes = Bits(new)
@@ -103,8 +154,8 @@ class Index:
     def back(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray):
         """The suffixes that begin with c and go on as those between lo and hi."""
         c = c + 1
-        base = self.count[c]
-        return base + self.last.rank(c, lo), base + self.last.rank(c, hi)
+        found = self.count[np.concatenate([c, c])] + self.last.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
+        return found[: len(c)], found[len(c) :]
 
     def shorter(self, lo: np.ndarray):
         """The suffixes alike in window - 1 symbols with that at lo."""

@@ -371,6 +371,19 @@ def test_fm_index_counts_and_locates():
         assert z[0] - a[0] == len(re.findall(f"(?={''.join(map(str, pattern[:-1]))})", s))
 
 
+def test_fm_index_sorts_copies_once(monkeypatch):
+    """What an index sorts doesn't grow with the length of copied passages, only with that of its parts; the order stays that of whole suffixes."""
+    rng = np.random.default_rng(4)
+    text = np.tile(np.concatenate([np.append(rng.integers(1, 200, 40), 0) for _ in range(60)]), 2)
+    handled, unique, argsort = [], np.unique, np.argsort
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: (handled.append(len(x)), unique(x, *a, **k))[1])
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: (handled.append(len(x)), argsort(x, *a, **k))[1])
+    index = fmindex.Index(text, 200, 50)
+    assert sum(handled) < 8 * len(text)
+    s = text.tolist()
+    assert index.locate(np.arange(1, index.n)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
 def test_packed_columns():
     rng = np.random.default_rng(0)
     cols = [rng.integers(-(1 << 62), 1 << 62, 50), np.arange(50), np.full(50, -5)]
