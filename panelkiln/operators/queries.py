@@ -124,11 +124,12 @@ COEFS = (
 
 
 def schemes(spark, sf_dir):
-    p = predictions(spark, sf_dir)
+    """Predictions and coefficients of two schemes; both are made once, as every measure reads them again."""
+    p = settled(predictions(spark, sf_dir), "predictions")
     both = p.withColumn("scheme", F.lit("rank")).unionByName(p.withColumn("yhat", F.when(F.col("test_year") == 1997, 0.0).otherwise(F.col("yhat") * F.abs("yhat"))).withColumn("scheme", F.lit("standardize")))
-    c = coefs(spark, sf_dir)
+    c = settled(coefs(spark, sf_dir), "coefs")
     z = c.withColumn("scheme", F.lit("rank")).unionByName(c.withColumn("coef", F.when(F.col("test_year") == 1997, 0.0).otherwise(F.col("coef"))).withColumn("scheme", F.lit("standardize")))
-    years = both.select("test_year").distinct()
+    years = p.select("test_year").distinct()
     return both.withColumn("config", F.lit("c")), z.join(years, "test_year", "left_semi").withColumn("config", F.lit("c"))
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..sources.panel import input_rows, spread
+from ..sources.scratch import settled
+
 TRADING_DAYS = 252
 #: Years of market stress.
 STRESS = {"2008_gfc": (2008, 2008), "2020_covid": (2020, 2020), "2022_rate_hikes": (2022, 2022), "2025_tariffs": (2025, 2025)}
@@ -28,9 +31,11 @@ def pearson(x: str, y: str) -> Column:
 
 def daily_ic(preds: DataFrame, *, keys=("date",), least: int = 3) -> DataFrame:
     """keys and ic: Spearman correlation of y and yhat of each date; null with fewer than `least` rows, or with a constant yhat or y.
-    The variants of the reports differ in these guards only. Ranks of each side are sorted within the date, one exchange in all."""
+    The variants of the reports differ in these guards only. Ranks of each side are sorted within the date, one exchange in all, sized by the input."""
     # pairwise complete, as y or yhat may be null
     both = preds.where(F.col("y").isNotNull() & F.col("yhat").isNotNull())
+    if "date" in keys:  # tasks grow in number with the input, not in size
+        both = spread(both, input_rows(both), "date", always=False)
     rows = preds.groupBy(*keys).agg(F.count("*").alias("rows"))
     ranked = both.select(*keys, average_rank("y", *keys).alias("ry"), average_rank("yhat", *keys).alias("rh"), "y", "yhat")
     ic = ranked.groupBy(*keys).agg(pearson("ry", "rh").alias("ic"))
@@ -264,7 +269,9 @@ def ablation_detail(preds: DataFrame, coefs: DataFrame) -> DataFrame:
 
 
 def ablation_summary(detail: DataFrame, schemes=("rank", "standardize")) -> DataFrame:
-    """Per config: means by scheme, folds, and paired means and difference over years where both schemes have a value."""
+    """Per config: means by scheme, folds, and paired means and difference over years where both schemes have a value. The detail, a row for each
+    run and year, is settled first, as it is read several times."""
+    detail = settled(detail, "detail")
     sets = detail.groupBy("config", "scheme").agg(F.sort_array(F.collect_set("test_year")).alias("y")).select("y").distinct()
     if sets.count() > 1:
         raise ValueError("runs disagree on their test years")

@@ -907,3 +907,25 @@ def test_of_lines_alike_the_first_of_the_file_counts(spark, tmp_path):
         duck.execute(f"CREATE OR REPLACE VIEW lineitem AS FROM '{sf}/lineitem.parquet'; CREATE OR REPLACE VIEW supplier AS FROM '{sf}/supplier.parquet'")
         want = duck.execute(f"{P.BARS_SQL} SELECT open, close FROM panel").fetchone()
         assert (got.open, got.close) == (first, first) == want
+
+
+@pytest.mark.parametrize("name", ["ablation_summary", "normalization_ablation"])
+def test_ablation_makes_its_predictions_once(spark, name):
+    """What the measures read again is settled: no order line is left in the plan."""
+    from panelkiln.operators.queries import QUERIES
+
+    with scratch.scope(spark):
+        found = QUERIES[name][0](spark, SF)
+        assert found.inputFiles() and not any("lineitem" in f for f in found.inputFiles())
+        assert found.count()
+
+
+def test_ranks_of_predictions_have_tasks_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(P, "SMALL", 0)
+    rows = [(1990, dt.date(1990, 1, 1) + dt.timedelta(d), k, float((k * 7 + d) % 11), float(k)) for d in range(40) for k in range(20)]
+    with scratch.scope(spark):
+        preds = scratch.settled(frame(spark, rows, "test_year int, date date, permno long, y double, yhat double"))
+        want = {tuple(r) for r in scorecard.daily_ic(preds).collect()}
+        monkeypatch.setattr(P, "TASK_ROWS", 50)
+        found = scorecard.daily_ic(preds)
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString() and {tuple(r) for r in found.collect()} == want
