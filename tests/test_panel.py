@@ -929,3 +929,54 @@ def test_ranks_of_predictions_have_tasks_by_their_rows(spark, monkeypatch):
         monkeypatch.setattr(P, "TASK_ROWS", 50)
         found = scorecard.daily_ic(preds)
         assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString() and {tuple(r) for r in found.collect()} == want
+
+
+def moved(df) -> list[int]:
+    """Columns at each exchange of a plan."""
+    found, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Repartition"):
+            found.append(node.output().size())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("digits", [None, 7])
+def test_securities_keep_what_dates_do_not_need(spark, monkeypatch, digits):
+    """Both sides' packed trips give what whole rows give, to the last bit."""
+    from panelkiln.plans import kernels
+
+    monkeypatch.setattr(kernels, "ROWS", 50)
+    df, _ = random_panel(spark, seed=5)
+    df = df.withColumn("v", F.rint(F.col("y") * 100) / 100)
+    x, y, z, v = (field(c) for c in "xyzv")
+    r, s, i = rank(y), rank(x * y), indneutralize(v)
+    c = timed("ts_corr", r, 4, s)
+    nodes = {"a": rank(c) * timed("ts_rank", y, 3), "b": timed("ts_mean", rank(c) + timed("delta", v, 1), 3), "d": -1 * rank(timed("decay_linear", i, 3)), "e": where(rank(timed("delay", y, 1)) < rank(c), x, num(1)), "f": timed("ts_max", rank(timed("ts_corr", s, 3, v)), 2) / z, "g": scale(timed("ts_sum", r, 2)), "h": timed("delay", where(rank(c) < s, num(1), num(2)), 1), "k": z}
+    plain, apart = (evaluate(df, nodes, kernels=True, laid=True, digits=digits, settle=settle) for settle in (lambda f: f, None))
+    assert len(Plan(nodes, late=True).steps) > 3 and max(moved(apart)) < max(moved(plain))
+    want, got = ({(q.permno, q.date): tuple(q) for q in f.collect()} for f in (plain, apart.select(plain.columns)))
+    assert got == want and any(q[-1] is None for q in map(lambda t: t[:4], want.values()))
+
+
+def test_the_whole_library_travels_packed(spark):
+    assert max(moved(Q.all_alphas(spark, SF))) < 20
+
+
+def test_packed_rows_are_what_they_were():
+    from panelkiln.plans.kernels import Packed
+
+    date = np.repeat([0, 1], 5)
+    r = np.array([1, 2.5, 2.5, 4, np.nan, 1, 2, 3, 4, 5]) / np.repeat([4, 5], 5)
+    have = {"p": np.array([-0.0, np.inf, np.nan, 1e284, 5e-324, 1, 2, 3, 4, 1 / 3]), "c": np.array([0.12345678, -1, np.nan, 1, 0, 0.5, 0.1, -0.3, 0.7, 1e-8]), "r": r, "o": np.array([1.23456785, -7e300, np.inf, -np.inf, np.nan, -0.0, -2.5e-8, 429.4967296, -1e9, 1e10])}
+    packed = Packed(["p"], ["c"], ["r"], set(), ["o"], 7)
+    from panelkiln.plans import kernels
+
+    got = packed.unpack(packed.pack(have, date))
+    with np.errstate(all="ignore"):
+        want = have | {"o": kernels.decimals(have["o"], 7)}
+    for c in have:
+        assert np.array_equal(got[c], want[c], equal_nan=True) and np.array_equal(np.signbit(got[c]), np.signbit(want[c])), c
+    again = packed.unpack(packed.pack(got))  # without dates: their numbers came along
+    assert np.array_equal(again["r"], r, equal_nan=True) and np.array_equal(again["o"], got["o"], equal_nan=True)
