@@ -980,3 +980,16 @@ def test_packed_rows_are_what_they_were():
         assert np.array_equal(got[c], want[c], equal_nan=True) and np.array_equal(np.signbit(got[c]), np.signbit(want[c])), c
     again = packed.unpack(packed.pack(got))  # without dates: their numbers came along
     assert np.array_equal(again["r"], r, equal_nan=True) and np.array_equal(again["o"], got["o"], equal_nan=True)
+
+
+def test_correlations_of_rounded_values_travel_packed(spark, monkeypatch):
+    """The same correlations, in as many tasks as the rows need."""
+    monkeypatch.setattr(P, "SMALL", 0), monkeypatch.setattr(P, "TASK_ROWS", 100)
+    rng = np.random.default_rng(1)
+    rows = [(dt.date(1990, 1, 1) + dt.timedelta(d), *(None if rng.random() < 0.1 else float("inf") if rng.random() < 0.02 else round(float(v), 2) for v in rng.normal(size=3))) for d in range(30) for _ in range(25)]
+    with scratch.scope(spark):
+        df = scratch.settled(frame(spark, rows, "date date, a double, b double, c double"))
+        plain, packed = (prune.mean_daily_spearman(df, ["a", "b", "c"], min_names=5, digits=digits) for digits in (None, 7))
+        assert max(moved(packed)) < max(moved(plain)) and "REPARTITION_BY_NUM" in packed._jdf.queryExecution().executedPlan().toString()
+        round_ = lambda f: {(r.f1, r.f2): round(r.rho, 12) for r in f.collect()}  # noqa: E731  (sums of dates by task)
+        assert len(round_(plain)) == 9 and round_(packed) == round_(plain)
