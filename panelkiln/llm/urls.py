@@ -149,7 +149,8 @@ def score(rows: DataFrame) -> DataFrame:
                     key = np.concatenate(distinct(data, off))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), chunk[a])), pa.array(key)], ["chunk", "key"])
 
-    told = sites.select("site", "chunk").mapInArrow(ask, "chunk long, key long").join(counts, "key").select("chunk", "key", "n0", "n1")
+    # by exchange always: Spark takes what the chunks ask for to be as small as the compressed URLs, and would send it through the driver
+    told = sites.select("site", "chunk").mapInArrow(ask, "chunk long, key long").hint("merge").join(counts, "key").select("chunk", "key", "n0", "n1")
 
     def ratios(own: pa.Table, told: pa.Table) -> pa.Table:
         own = own.combine_chunks()

@@ -241,6 +241,16 @@ def test_url_counts_are_exact(spark):
         assert got[i].ratio == pytest.approx(total / len(site), abs=1e-6)
 
 
+def test_what_urls_ask_for_is_not_broadcast(spark):
+    """The keys that chunks ask for are many times the URLs' files, whose size Spark goes by: no table may go through the driver, however small it seems."""
+    df = spark.createDataFrame([(i, f"http://h{i % 7}.com/{'fr' if i % 2 else 'de'}/{i}") for i in range(60)], "page_id long, url string")
+    plans, settle = [], urls.common.settle
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(urls.common, "settle", lambda rows, name: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or settle(rows, name))
+        assert urls.score(df.select("page_id", urls.host_of(urls.F.col("url")).alias("host"), urls.path_of(urls.F.col("url")).alias("path"), urls.F.lit("r").alias("rule"), urls.F.lit("allow").alias("ruled"))).count() == 60
+    assert "SortMergeJoin" in plans[-1] and "Broadcast" not in plans[-1]
+
+
 def test_repeated_urls_are_all_held_out_or_none(spark):
     kinds = [("net.com", "/fr/a"), ("xq.com", "/de/b")] + [(f"h{i}.com", f"/{'fr' if i % 2 else 'de'}/{i}") for i in range(40)]
     rows = [(i, *kinds[i % len(kinds)], "allow" if "/fr/" in kinds[i % len(kinds)][1] else "block") for i in range(420)]
