@@ -375,6 +375,19 @@ def test_walk_forward_finds_the_signal(spark):
         validation.walk_forward(df, list(library.INTERACTIONS), "y", min_test_year=2022, max_test_year=2022, normalize="standardize")
 
 
+def test_folds_follow_the_data(spark, tmp_path):
+    """Every year with years for both blocks before it is tested, whenever the bars begin."""
+    from panelkiln.operators.queries import QUERIES
+
+    df, _ = synthetic(spark)
+    assert sorted(validation.walk_forward(df, ["x1", "x2", "x3"], "y", n_alphas=2).fits) == list(range(2017, 2023))
+    assert not validation.walk_forward(df.where("false"), ["x1"], "y", n_alphas=2).fits
+    spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("l_shipdate", F.col("l_shipdate") - F.expr("interval 10 years")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{SF}/supplier.parquet").write.parquet(f"{tmp_path}/supplier.parquet")
+    years = {r.test_year for r in QUERIES["elastic_net_coefficients"][0](spark, str(tmp_path)).collect()}
+    assert years == set(range(1987, 1992))
+
+
 def test_elastic_net_against_the_library(spark):
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
