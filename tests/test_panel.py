@@ -1006,3 +1006,36 @@ def test_correlations_of_rounded_values_travel_packed(spark, monkeypatch):
         assert max(moved(packed)) < max(moved(plain)) and "REPARTITION_BY_NUM" in packed._jdf.queryExecution().executedPlan().toString()
         round_ = lambda f: {(r.f1, r.f2): round(r.rho, 12) for r in f.collect()}  # noqa: E731  (sums of dates by task)
         assert len(round_(plain)) == 9 and round_(packed) == round_(plain)
+
+
+@pytest.mark.parametrize("task_rows", [None, 100])
+def test_blocks_bring_what_was_sent(spark, monkeypatch, task_rows):
+    """Few or many buckets, several flushes of a task and a missing date: the values of windows."""
+    from panelkiln.plans import kernels
+
+    monkeypatch.setattr(kernels, "ROWS", 60), monkeypatch.setattr(kernels, "HELD", 2000)
+    if task_rows:
+        monkeypatch.setattr(P, "SMALL", 0), monkeypatch.setattr(P, "TASK_ROWS", task_rows)
+    df, _ = random_panel(spark, seed=8)
+    df = df.withColumn("date", F.when((F.col("permno") != 3) | (F.col("date") != "2020-01-01"), F.col("date")))
+    nodes = {"a": timed("ts_mean", rank(timed("delta", field("y"), 2)), 3), "b": rank(timed("ts_corr", rank(field("y")), 4, field("z"))), "c": timed("delay", indneutralize(field("x")), 1)}
+    with scratch.scope(spark):
+        df = scratch.settled(df.repartition("permno"))
+        df = df.repartition(5, "permno")
+        got, want = ({(r.permno, r.date): tuple(r)[3:] for r in evaluate(df, nodes, kernels=k, laid=True).collect()} for k in (True, False))
+    assert got.keys() == want.keys() and len(got) == 480
+    for k, w in want.items():
+        assert got[k] == pytest.approx(w, abs=1e-9) if None not in w else [v is None for v in got[k]] == [v is None for v in w], k
+
+
+def test_blocks_and_buckets(spark):
+    from panelkiln.plans import kernels
+
+    keys = np.array([0, 7, 12345678901, -3, 7, 99] * 50)
+    want = [r.b for r in spark.createDataFrame([(i, int(k)) for i, k in enumerate(keys)], "i int, k long").select("i", (F.crc32(F.col("k").cast("string")) % 5).alias("b")).orderBy("i").collect()]
+    assert kernels.buckets(keys, 5).tolist() == want
+    rows = np.concatenate([keys.view(np.uint8).reshape(-1, 8), np.tile(np.arange(11, dtype=np.uint8), (len(keys), 1))], 1)
+    sent = kernels.blocks_of(rows, keys, 5)
+    assert sum(map(len, sent.column(1).to_pylist())) < rows.size / 5
+    for bucket, b in zip(*(c.to_pylist() for c in sent.columns), strict=True):
+        assert np.array_equal(kernels.unblock([b], rows.shape[1]), rows[np.array(want) == bucket])
