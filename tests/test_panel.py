@@ -1008,6 +1008,11 @@ def test_correlations_of_rounded_values_travel_packed(spark, monkeypatch):
         assert len(round_(plain)) == 9 and round_(packed) == round_(plain)
 
 
+def test_choice_of_kernels_travels_packed(spark):
+    """Where all phases go by kernels by choice, what travels is packed as in a batch that is all kernels."""
+    assert max(moved(Q.queries()["first_alphas"](spark, SF))) < 12
+
+
 @pytest.mark.parametrize("task_rows", [None, 100])
 def test_blocks_bring_what_was_sent(spark, monkeypatch, task_rows):
     """Few or many buckets, several flushes of a task and a missing date: the values of windows."""
