@@ -1044,3 +1044,22 @@ def test_blocks_and_buckets(spark):
     assert sum(map(len, sent.column(1).to_pylist())) < rows.size / 5
     for bucket, b in zip(*(c.to_pylist() for c in sent.columns), strict=True):
         assert np.array_equal(kernels.unblock([b], rows.shape[1]), rows[np.array(want) == bucket])
+
+
+def test_own_rows_keep_types_and_gaps(spark):
+    """Fields travel in blocks as what they were, NaN beside NULL; where one can't, whole rows travel."""
+    import pyarrow as pa
+
+    from panelkiln.plans import kernels
+
+    t = pa.table({"permno": pa.array([2, 1, 2], pa.int32()), "date": pa.array([None, dt.date(2020, 1, 1), dt.date(1960, 5, 5)]), "x": pa.array([None, math.nan, -0.0]), "n": pa.array([2**62, None, -1]), "on": pa.array([True, None, False]), "day": pa.array([dt.date(2000, 1, 1), None, dt.date(1, 1, 1)]), "f": pa.array([0.1, None, 3.0], pa.float32())})
+    stored = kernels.Stored({"permno": "int", "date": "date", "x": "double", "n": "bigint", "on": "boolean", "day": "date", "f": "float"}, 4)
+    rows = stored.rows(t.to_batches()[0])
+    got = stored.table(kernels.unblock([kernels.block(rows)], stored.width))
+    assert rows.shape[1] == stored.width and got.schema.types == t.schema.types and str(got.to_pydict()) == str(t.to_pydict())
+
+    df, _ = random_panel(spark, seed=9)
+    node = {"a": timed("ts_mean", rank(timed("delta", field("y"), 2)), 3)}
+    plain = evaluate(df, node, kernels=True, laid=True, keep=("permno", "date", "sic2"))
+    named = evaluate(df.withColumn("ticker", F.lit("a")), node, kernels=True, laid=True, keep=("permno", "date", "sic2", "ticker"))
+    assert {tuple(r) for r in plain.collect()} == {tuple(r)[:3] + tuple(r)[4:] for r in named.collect()} and dict(plain.dtypes)["sic2"] == "int"
