@@ -1063,3 +1063,14 @@ def test_own_rows_keep_types_and_gaps(spark):
     plain = evaluate(df, node, kernels=True, laid=True, keep=("permno", "date", "sic2"))
     named = evaluate(df.withColumn("ticker", F.lit("a")), node, kernels=True, laid=True, keep=("permno", "date", "sic2", "ticker"))
     assert {tuple(r) for r in plain.collect()} == {tuple(r)[:3] + tuple(r)[4:] for r in named.collect()} and dict(plain.dtypes)["sic2"] == "int"
+
+
+def test_the_model_frame_is_rounded_before_it_travels(spark, monkeypatch):
+    """What only the result reads comes back from the dates as whole numbers, and is rounded once."""
+    from panelkiln.operators.queries import QUERIES
+    from panelkiln.plans import kernels
+
+    seen, init = [], kernels.Packed.__init__
+    monkeypatch.setattr(kernels.Packed, "__init__", lambda self, plain, corr=(), ranks=(), flags=frozenset(), rounded=(), digits=0: seen.append((len(rounded), digits)) or init(self, plain, corr, ranks, flags, rounded, digits))
+    QUERIES["model_frame"][0](spark, SF)
+    assert max(seen)[0] > 30 and max(seen)[1] == 7
