@@ -1074,3 +1074,18 @@ def test_the_model_frame_is_rounded_before_it_travels(spark, monkeypatch):
     monkeypatch.setattr(kernels.Packed, "__init__", lambda self, plain, corr=(), ranks=(), flags=frozenset(), rounded=(), digits=0: seen.append((len(rounded), digits)) or init(self, plain, corr, ranks, flags, rounded, digits))
     QUERIES["model_frame"][0](spark, SF)
     assert max(seen)[0] > 30 and max(seen)[1] == 7
+
+
+def test_ranks_of_many_features_travel_in_blocks(spark, monkeypatch):
+    """A single phase of dates: the same ranks, whatever keys are missing, and one packed column on the way."""
+    df, _ = random_panel(spark, seed=4)
+    df = df.withColumn("permno", F.when(F.col("permno") != 2, F.col("permno"))).withColumn("date", F.when(F.dayofmonth("date") != 9, F.col("date")))
+    wide = df.select("permno", "date", "sic2", *((F.col("y") * i).alias(f"x{i}") for i in range(9)))
+    names = [f"x{i}" for i in range(9)]
+    with scratch.scope(spark):
+        wide = scratch.settled(wide)
+        blocks = validation.rank_normalized(wide, names, ["permno", "date", "sic2"])
+        assert max(moved(blocks)) == 2
+        windows = evaluate(wide, {c: library.centred(field(c)) for c in names}, keep=("permno", "date", "sic2"), kernels=False)
+        key = lambda f: sorted(map(str, f.collect()))
+        assert key(blocks) == key(windows)
